@@ -96,7 +96,11 @@ def percentile_columns(
     suffix: str = "_country_pct",
     nulls_last: bool = False,
 ) -> DataFrame:
-    """Within-group average-rank percentiles of several columns, joined back by id."""
+    """Within-group average-rank percentiles of several columns, joined back by id.
+
+    The rows are written once: they feed both the ranking and the join back.
+    """
+    df = settle(df)
     long = melt(df, [identifier, group], columns)
     ranks = value_ranks(long, [group, "metric"], nulls_last)
     same = F.col("l.value").eqNullSafe(F.col("r.value")) if nulls_last else F.col("l.value") == F.col("r.value")
