@@ -1,6 +1,6 @@
 """Every registered query; importing the section modules registers them."""
 
-from emberfield.plans import audit_queries, feature_queries, geo_queries  # noqa: F401
+from emberfield.plans import audit_queries, evaluation_queries, feature_queries, geo_queries  # noqa: F401
 from emberfield.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
