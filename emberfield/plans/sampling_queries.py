@@ -99,7 +99,7 @@ def g5(spark, folder):
     return sampling.round_robin_batches(g3(spark, folder), 25).select("source_id", "country", "batch_order", "position", "batch")
 
 
-CTES["items"] = "SELECT DISTINCT user_id AS item_id, 'chip_' || user_id AS chip_id, user_id AS batch_order FROM events"
+CTES["items"] = "SELECT c_custkey AS item_id, 'chip_' || c_custkey AS chip_id, c_nationkey AS batch_order FROM customer"
 CTES["ledger"] = """
 SELECT i.*, COALESCE(a.status, 'pending') AS status, COALESCE(n, 0) AS attempts, attempt_id FROM items i LEFT JOIN (
   SELECT item_id, status, attempt_id, COUNT(*) OVER (PARTITION BY item_id) AS n,
@@ -109,9 +109,11 @@ ON a.item_id = i.item_id AND rn = 1
 
 
 def items(spark, folder):
-    users = bindings.table(spark, folder, "events").select("user_id").distinct()
-    name = F.concat(F.lit("chip_"), F.col("user_id").cast("string"))
-    return users.select(F.col("user_id").alias("item_id"), name.alias("chip_id"), F.col("user_id").alias("batch_order"))
+    """One work item per customer; only some were ever attempted."""
+    name = F.concat(F.lit("chip_"), F.col("c_custkey").cast("string"))
+    return bindings.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("item_id"), name.alias("chip_id"), F.col("c_nationkey").alias("batch_order")
+    )
 
 
 @query("g6_attempt_ledger", "SELECT * FROM ledger")
@@ -119,21 +121,11 @@ def g6(spark, folder):
     return ledger.attempt_ledger(items(spark, folder), bindings.attempts(spark, folder))
 
 
-CTES["early_attempts"] = "SELECT * FROM attempts WHERE attempted_at < TIMESTAMP '2024-01-02 12:00:00'"
-
-
-@query(
-    "g7_next_batch",
-    """
-SELECT i.item_id, i.batch_order, COALESCE(a.status, 'pending') AS status FROM items i LEFT JOIN (
-  SELECT item_id, status, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY status = 'ok' DESC, attempted_at DESC, attempt_id DESC) AS rn FROM early_attempts) a
-ON a.item_id = i.item_id AND rn = 1 WHERE COALESCE(a.status, 'pending') <> 'ok' ORDER BY i.batch_order, i.item_id LIMIT 20""",
-)
+@query("g7_next_batch", "SELECT item_id, batch_order, status FROM ledger WHERE status <> 'ok' ORDER BY batch_order, item_id LIMIT 50")
 def g7(spark, folder):
-    """Open items after the first day and a half of attempts, failed ones retried."""
-    early = bindings.attempts(spark, folder).where(F.col("attempted_at") < F.expr("TIMESTAMP_NTZ '2024-01-02 12:00:00'"))
-    states = ledger.attempt_ledger(items(spark, folder), early)
-    return ledger.next_batch(states, 20, retry_failed=True).select("item_id", "batch_order", "status")
+    """The next fifty open items, failed ones retried."""
+    states = ledger.attempt_ledger(items(spark, folder), bindings.attempts(spark, folder))
+    return ledger.next_batch(states, 50, retry_failed=True).select("item_id", "batch_order", "status")
 
 
 @query(

@@ -5,6 +5,8 @@ The SQL text is shared by Spark and the oracle, so both engines read equal rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,9 +68,9 @@ SEED_COLUMNS = """seed, source_id, country, block_id, is_eog_flare, eog_flare_id
 
 PIXELS = """
 SELECT chip_id, row, col,
-       AVG(price) / 100000 AS blue, AVG(price) / 90000 + 0.01 AS green,
-       AVG(quantity) / 60 AS red, AVG(tax) * 8 AS nir,
-       AVG(discount) * 8 AS swir16, AVG(quantity * tax) / 4 - 0.06 AS swir22,
+       ROUND(AVG(price) / 100000, 8) AS blue, ROUND(AVG(price) / 90000 + 0.01, 8) AS green,
+       ROUND(AVG(quantity) / 60, 8) AS red, ROUND(AVG(tax) * 8, 8) AS nir,
+       ROUND(AVG(discount) * 8, 8) AS swir16, ROUND(AVG(quantity * tax) / 4 - 0.06, 8) AS swir22,
        CASE WHEN MAX(line) % 7 = 0 THEN 3 WHEN MAX(line) % 3 = 0 THEN 5 ELSE 4 END AS scl,
        CASE WHEN SUM(line) % 13 = 0 THEN 0 WHEN SUM(line) % 4 = 0 THEN 50
             WHEN SUM(line) % 4 = 1 THEN 10 WHEN SUM(line) % 4 = 2 THEN 40 ELSE 80 END AS landcover
@@ -100,8 +102,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def _bind(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
     """Run binding SQL over frames without leaving views behind."""
     for name in frames:
-        text = text.replace(f"FROM {name} ", f"FROM {{{name}}} ").replace(f"FROM {name}\n", f"FROM {{{name}}}\n")
-        text = text.replace(f"JOIN {name} ", f"JOIN {{{name}}} ")
+        text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
     return spark.sql(text, **frames)
 
 

@@ -35,7 +35,7 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
 
 
 def cell(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return None
     if hasattr(v, "item") and not hasattr(v, "__len__"):
         v = v.item()
