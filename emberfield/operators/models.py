@@ -19,7 +19,7 @@ from emberfield.operators import folds
 from emberfield.operators.contracts import forbid_leakage, violations
 from emberfield.operators.features import BLOCKED
 from emberfield.operators.ordering import row_numbers
-from emberfield.session import lookup, settle
+from emberfield.session import in_parallel, lookup, settle
 
 LABEL = "is_eog_flare"
 RULE_DAYS, RULE_ENTROPY = (5, 10, 30, 60), (0.0, 0.5, 0.7)
@@ -170,8 +170,8 @@ def gbt(seed: int = 17, rounds: int = 20, depth: int = 4, weight: str | None = N
     return model.setWeightCol(weight) if weight else model
 
 
-def logistic(weight: str | None = None, reg: float = 0.01) -> LogisticRegression:
-    model = LogisticRegression(labelCol=LABEL, featuresCol="features", regParam=reg, maxIter=20)
+def logistic(weight: str | None = None, reg: float = 0.01, rounds: int = 20) -> LogisticRegression:
+    model = LogisticRegression(labelCol=LABEL, featuresCol="features", regParam=reg, maxIter=rounds)
     return model.setWeightCol(weight) if weight else model
 
 
@@ -228,17 +228,19 @@ def pu_gbt_score(columns: Sequence[str], bags: int = 3, ratio: float = 10, seed:
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         drawn = settle(folds.pu_bags(train, bags, ratio, seed))
-        parts = [
-            gbt_score(columns, seed + b, rounds)(drawn.where(F.col("bag") == b).drop("bag"), test) for b in range(bags)
+        fits = [
+            lambda b=b: gbt_score(columns, seed + b, rounds)(drawn.where(F.col("bag") == b).drop("bag"), test)
+            for b in range(bags)
         ]
-        return mean_of(parts)
+        return mean_of(in_parallel(train.sparkSession, fits))
 
     return run
 
 
 def seed_ensemble(columns: Sequence[str], seed: int, offsets: Sequence[int] = (0, 101, 202), rounds: int = 20) -> FitPredict:
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
-        return mean_of([gbt_score(columns, seed + o, rounds)(train, test) for o in offsets])
+        fits = [lambda o=o: gbt_score(columns, seed + o, rounds)(train, test) for o in offsets]
+        return mean_of(in_parallel(train.sparkSession, fits))
 
     return run
 
@@ -294,12 +296,13 @@ def visual_pu_score(
         space = shared.transform(prepared).select("source_id", LABEL, "weight", "features")
         drawn = settle(folds.pu_bags(space, bags, ratio, seed, minimum=5))
         held = settle(shared.transform(with_views(test, width, views)).select("source_id", "features"))
-        parts = []
-        for bag in range(bags):
+
+        def one(bag: int) -> DataFrame:
             part = drawn.where(F.col("bag") == bag)
             model = logistic("weight", 1 / (c * max(part.count(), 1))).fit(part)
-            parts.append(model.transform(held).select("source_id", probability().alias("score")))
-        return mean_of(parts)
+            return model.transform(held).select("source_id", probability().alias("score"))
+
+        return mean_of(in_parallel(train.sparkSession, [lambda b=b: one(b) for b in range(bags)]))
 
     return run
 
@@ -312,9 +315,10 @@ def oof_predict(df: DataFrame, fold: str, fit_predict: FitPredict, values: Seque
     """
     frame = settle(df)
     names = values if values is not None else sorted(r[0] for r in frame.select(fold).distinct().collect())
-    parts = [
-        fit_predict(frame.where(F.col(fold) != v), frame.where(F.col(fold) == v)) for v in names
+    steps = [
+        lambda v=v: fit_predict(frame.where(F.col(fold) != v), frame.where(F.col(fold) == v)) for v in names
     ]
+    parts = in_parallel(df.sparkSession, steps)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -364,15 +368,18 @@ def nested_loco(df: DataFrame, fit_predict: FitPredict, inner_folds: int = 3) ->
     # Blocks merge inside a country only, so one pass serves every held-out country.
     frame = settle(df.join(folds.site_safe_blocks(df), ["country", "block_id"]))
     countries = sorted(r["country"] for r in folds.leave_country_out(frame).select("country").collect())
-    parts = None
-    for country in countries:
+
+    def judge(country: str) -> DataFrame:
         train = frame.where(F.col("country") != country)
         test = frame.where(F.col("country") == country)
         grouped = folds.grouped_folds(train, inner_folds, "evaluation_block")
         inner = oof_predict(grouped, "fold", fit_predict, range(inner_folds))
         chosen = lookup(ev.macro_f1_threshold(inner.select("country", LABEL, "score"), []))
         scored = test.join(fit_predict(train, test), "source_id").join(chosen, F.lit(True))
-        part = scored.select("source_id", "country", "block_id", LABEL, "eog_flare_id", "score", "threshold")
-        part = settle(part)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+        return settle(scored.select("source_id", "country", "block_id", LABEL, "eog_flare_id", "score", "threshold"))
+
+    parts = in_parallel(df.sparkSession, [lambda c=c: judge(c) for c in countries])
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

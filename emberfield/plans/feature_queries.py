@@ -218,12 +218,12 @@ def d13(spark, folder):
     return ft.finalise(rows).select("source_id", *FINAL)
 
 
-@query("d14_attach_labels", "SELECT * FROM window_labels", "lat lon eog_dist_m")
+@query("d14_attach_labels", "SELECT * FROM window_labels", "lat lon eog_dist_m", digits=4)
 def d14(spark, folder):
     return labelled_window(spark, folder, only_ids)
 
 
-@query("d14_attach_full_history_labels", "SELECT f.source_id, block_id, country, lat, lon, is_eog_flare, eog_flare_id, eog_dist_m, eog_offshore FROM f_flags f LEFT JOIN labelled USING (source_id)", "lat lon eog_dist_m")
+@query("d14_attach_full_history_labels", "SELECT f.source_id, block_id, country, lat, lon, is_eog_flare, eog_flare_id, eog_dist_m, eog_offshore FROM f_flags f LEFT JOIN labelled USING (source_id)", "lat lon eog_dist_m", digits=4)
 def d14_full(spark, folder):
     det = detections(spark, folder)
     origin = lookup(grid.origins(det))

@@ -119,7 +119,7 @@ def a6(spark, folder):
     return sites(spark, folder)
 
 
-@query("c1_to_local_m", "SELECT country, latitude, longitude, x, y, COUNT(*) AS n FROM projected GROUP BY ALL", "latitude longitude x y")
+@query("c1_to_local_m", "SELECT country, latitude, longitude, x, y, COUNT(*) AS n FROM projected GROUP BY ALL", "latitude longitude x y", digits=4)
 def c1(spark, folder):
     det = detections(spark, folder)
     return (
@@ -142,7 +142,7 @@ def c3(spark, folder):
 SOURCE = "country, source_id, n_det, lat, lon, x, y, date_min, date_max, n_days, span_days"
 
 
-@query("c4_build_sources", f"SELECT {SOURCE} FROM sources", "lat lon x y")
+@query("c4_build_sources", f"SELECT {SOURCE} FROM sources", "lat lon x y", digits=4)
 def c4(spark, folder):
     return grid.build_sources(located(spark, folder)).select(*SOURCE.split(", "))
 
@@ -165,6 +165,7 @@ def c6(spark, folder):
     "c7_label_sources",
     "SELECT source_id, eog_dist_m, is_eog_flare, eog_flare_id, eog_offshore FROM labelled",
     "eog_dist_m",
+    digits=4,
 )
 def c7(spark, folder):
     return labelled(spark, folder).select("source_id", "eog_dist_m", "is_eog_flare", "eog_flare_id", "eog_offshore")

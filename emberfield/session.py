@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+CONCURRENT_FITS = 4
+"""Independent model fits submitted at once, as a cross-validator does."""
+
 BROADCAST_ROWS = 200_000
 """Largest row count of a narrow lookup table that may be broadcast."""
 
@@ -60,3 +68,11 @@ def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     table = settle(df)
     return F.broadcast(table) if table.count() <= max_rows else table
+
+
+def in_parallel(spark: SparkSession, tasks: Sequence[Callable[[], T]], width: int = CONCURRENT_FITS) -> list[T]:
+    """Run a handful of driver steps, each a chain of distributed jobs, from several threads."""
+    if len(tasks) == 1:
+        return [tasks[0]()]
+    with ThreadPool(min(width, len(tasks))) as pool:
+        return pool.map(lambda step: step(), [inheritable_thread_target(spark)(task) for task in tasks])

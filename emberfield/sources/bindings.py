@@ -1,6 +1,7 @@
 """Views of the driver tables in the shapes the operators work on.
 
 The SQL text is shared by Spark and the oracle, so both engines read equal rows.
+Fractions carry an exponent: plain ones would be exact decimals, slow in Spark.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ CHIP = 20
 LAND_COVER = (10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 100)
 
 DETECTIONS = """
-SELECT CAST(10 + (l_partkey % 40) * 0.05 + (l_suppkey % 3) * 0.001 AS DOUBLE) AS latitude,
-       CAST(40 + (l_partkey % 37) * 0.05 + (l_linenumber % 3) * 0.001 AS DOUBLE) AS longitude,
+SELECT CAST(10 + (l_partkey % 40) * 0.05e0 + (l_suppkey % 3) * 0.001e0 AS DOUBLE) AS latitude,
+       CAST(40 + (l_partkey % 37) * 0.05e0 + (l_linenumber % 3) * 0.001e0 AS DOUBLE) AS longitude,
        300 + l_quantity * 2 AS t_mir, 290 + l_discount * 100 AS t_lwir,
        l_extendedprice / 1000 AS frp, 1 + l_tax AS scan, 1 + l_discount AS track,
        CAST(l_shipdate AS DATE) AS acq_date,
@@ -40,8 +41,8 @@ FROM lineitem
 SITES = """
 SELECT CONCAT('s_', CAST(p_partkey AS VARCHAR(20))) AS flare_id,
        CONCAT('C', CAST(p_partkey % 6 AS VARCHAR(2))) AS country,
-       CAST(10 + (p_partkey % 40) * 0.05 + 0.004 + (p_size % 5) * 0.006 AS DOUBLE) AS lat,
-       CAST(40 + (p_partkey % 37) * 0.05 + 0.002 AS DOUBLE) AS lon,
+       CAST(10 + (p_partkey % 40) * 0.05e0 + 0.004e0 + (p_size % 5) * 0.006e0 AS DOUBLE) AS lat,
+       CAST(40 + (p_partkey % 37) * 0.05e0 + 0.002e0 AS DOUBLE) AS lon,
        CASE WHEN p_size % 4 = 0 THEN 'OFFSHORE' ELSE 'ONSHORE' END AS location,
        CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS y1996,
        CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS DOUBLE) END AS y1997,
@@ -61,16 +62,16 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 """
 
 SEED_COLUMNS = """seed, source_id, country, block_id, is_eog_flare, eog_flare_id,
-       ROUND(score_compact_tabular - (seed - 271) * 0.001 * (LENGTH(source_id) % 2), 3) AS score_compact_tabular,
-       ROUND(score_visual - (seed - 271) * 0.001 * (LENGTH(source_id) % 3), 3) AS score_visual,
-       ROUND((score_compact_tabular + score_visual) / 2 + 0.03 * is_eog_flare
-             - (seed - 271) * 0.001 + 0.0002, 3) AS score_guarded_cv_tabular"""
+       ROUND(score_compact_tabular - (seed - 271) * 0.001e0 * (LENGTH(source_id) % 2), 3) AS score_compact_tabular,
+       ROUND(score_visual - (seed - 271) * 0.001e0 * (LENGTH(source_id) % 3), 3) AS score_visual,
+       ROUND((score_compact_tabular + score_visual) / 2 + 0.03e0 * is_eog_flare
+             - (seed - 271) * 0.001e0 + 0.0002e0, 3) AS score_guarded_cv_tabular"""
 
 PIXELS = """
 SELECT chip_id, row, col,
-       ROUND(AVG(price) / 100000, 8) AS blue, ROUND(AVG(price) / 90000 + 0.01, 8) AS green,
+       ROUND(AVG(price) / 100000, 8) AS blue, ROUND(AVG(price) / 90000 + 0.01e0, 8) AS green,
        ROUND(AVG(quantity) / 60, 8) AS red, ROUND(AVG(tax) * 8, 8) AS nir,
-       ROUND(AVG(discount) * 8, 8) AS swir16, ROUND(AVG(quantity * tax) / 4 - 0.06, 8) AS swir22,
+       ROUND(AVG(discount) * 8, 8) AS swir16, ROUND(AVG(quantity * tax) / 4 - 0.06e0, 8) AS swir22,
        CASE WHEN MAX(line) % 7 = 0 THEN 3 WHEN MAX(line) % 3 = 0 THEN 5 ELSE 4 END AS scl,
        CASE WHEN SUM(line) % 13 = 0 THEN 0 WHEN SUM(line) % 4 = 0 THEN 50
             WHEN SUM(line) % 4 = 1 THEN 10 WHEN SUM(line) % 4 = 2 THEN 40 ELSE 80 END AS landcover
