@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfield.operators.features import BLOCKED
-from emberfield.session import settle
+from emberfield.session import with_row
 
 
 def canonical_row(columns: Sequence[str]) -> Column:
@@ -130,8 +130,7 @@ def panel_complete(df: DataFrame, scores: Sequence[str], seeds: int = 3) -> Data
     reference = prints.agg(F.min("fingerprint").alias("_a"), F.max("fingerprint").alias("_b"), F.count(F.lit(1)).alias("_n"))
     same = (F.col("_a") == F.col("_b")) & (F.col("_n") == seeds)
     return (
-        per_seed.join(distinct, "seed")
-        .join(F.broadcast(settle(reference)), F.lit(True))
+        with_row(per_seed.join(distinct, "seed"), reference)
         .withColumn("passed", same & (F.col("rows") == F.col("sources")) & (F.col("bad_scores") == 0))
         .drop("_a", "_b", "_n")
     )

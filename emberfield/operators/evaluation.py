@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from emberfield.functions.columns import share
 from emberfield.operators.ordering import exact_quantiles, row_numbers, running_totals
-from emberfield.session import lookup
+from emberfield.session import lookup, with_row
 
 LABEL = "is_eog_flare"
 SITE = "eog_flare_id"
@@ -29,13 +29,21 @@ def long_scores(df: DataFrame, branches: Sequence[str]) -> DataFrame:
     return df.select(*kept, F.explode(F.array(*pairs)).alias("_p")).select(*kept, "_p.branch", "_p.score")
 
 
+def score_cells(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows and positives of every distinct score."""
+    one = F.lit(1).cast("bigint")
+    return df.groupBy(*keys, "score").agg(F.sum(one).alias("n"), F.sum(one * F.col(LABEL)).alias("pos"))
+
+
 def curve(df: DataFrame, keys: Sequence[str], weight: Column | None = None) -> DataFrame:
     """Distinct scores per key with rows and positives at or above each one.
 
-    Columns: score, n, pos, seen, found, seen_group, found_group.
+    Columns: score, n, pos, seen, found, seen_group, found_group. With a weight,
+    ``df`` holds score cells (n, pos) to be weighted.
     """
-    w = F.lit(1).cast("bigint") if weight is None else weight
-    cells = df.groupBy(*keys, "score").agg(F.sum(w).alias("n"), F.sum(w * F.col(LABEL)).alias("pos"))
+    cells = score_cells(df, keys) if weight is None else df.groupBy(*keys, "score").agg(
+        F.sum(weight * F.col("n")).alias("n"), F.sum(weight * F.col("pos")).alias("pos")
+    )
     return running_totals(cells, keys, [F.col("score").desc()], {"seen": F.col("n"), "found": F.col("pos")})
 
 
@@ -155,9 +163,7 @@ def macro_f1_threshold(df: DataFrame, keys: Sequence[str], country: str = "count
     countries = df.groupBy(*keys).agg(F.count_distinct(country).alias("countries"))
     walked = running_totals(steps, keys, [F.col("score").desc()], {"f1": F.col("step")})
     best = F.max(F.struct(F.col("f1"), (-F.col("score")).alias("low")))
-    joined = walked.join(countries, list(keys)) if keys else walked.join(
-        countries.withColumn("_one", F.lit(1)), F.col("_one") == 1
-    )
+    joined = walked.join(countries, list(keys)) if keys else with_row(walked, countries)
     rated = joined.withColumn("f1", F.round(F.col("f1") / F.col("countries"), 12))
     picked = _grouped(rated, keys, [best.alias("best")])
     return picked.select(*keys, (-F.col("best.low")).alias("threshold"), F.col("best.f1").alias("macro_f1"))
@@ -348,7 +354,8 @@ def bootstrap_differences(
     """Macro AP difference of two branches per repeat. ``df`` is long over both branches."""
     both = df.where(F.col("branch").isin(baseline, candidate))
     weights = resampled_weights(both.select("country", unit, LABEL).distinct() if unit == "block_id" else both, unit, repeats, seed)
-    weighted = both.join(weights, ["country", unit])
+    # A hot block shrinks to its distinct scores before it meets its repeats.
+    weighted = score_cells(both, ["country", unit, "branch"]).join(weights, ["country", unit])
     ap = ranking(weighted, ["repeat", "country", "branch"], ["pr_auc"], F.col("weight"))
     deltas = country_deltas(ap, ["repeat", "country"], "pr_auc", baseline, candidate)
     return deltas.groupBy("repeat").agg(F.avg("delta").alias("difference"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from emberfield.functions.columns import METRES_PER_DEGREE, SATURATION_K, null_if_not_finite
 from emberfield.operators.grid import label_sources, origins, project
 from emberfield.operators.ordering import group_quantiles, percentile_columns
-from emberfield.session import lookup
+from emberfield.session import lookup, settle
 
 # Sensors every country has, and the named feature lists.
 MODEL_SENSORS = ("MODIS", "VIIRS_SNPP")
@@ -290,7 +290,8 @@ def source_features(det: DataFrame, years: Sequence[int] | None = None) -> DataF
     one pass over active days; only medians and distinct pixels shuffle apart.
     """
     derived = derive_detection(det)
-    calendar = calendar_profile(active_days(derived)).withColumns(persistence_columns() | seasonality_columns())
+    calendar = settle(calendar_profile(active_days(derived)).withColumns(persistence_columns() | seasonality_columns()))
+    sizes = calendar.select("source_id", F.col("n_det").alias("count"))
     summed = by_source(
         derived, moment_aggregates(), flag_aggregates(), timing_aggregates(), sensor_aggregates(),
         confidence_aggregates(), spread_aggregates(),
@@ -298,7 +299,7 @@ def source_features(det: DataFrame, years: Sequence[int] | None = None) -> DataF
     out = (
         calendar.drop("_months")
         .join(summed.drop("_sin", "_cos"), "source_id")
-        .join(group_quantiles(derived, ["source_id"], QUANTILES), "source_id")
+        .join(group_quantiles(derived, ["source_id"], QUANTILES, sizes=sizes), "source_id")
         .join(distinct_pixels(derived), "source_id")
     )
     return exposure_normalise(out, years) if years is not None else out

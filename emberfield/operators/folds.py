@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberfield.functions.columns import seeded_order
 from emberfield.operators.components import connected_components
 from emberfield.operators.ordering import row_numbers
-from emberfield.session import lookup
+from emberfield.session import lookup, with_row
 
 LABEL, SITE = "is_eog_flare", "eog_flare_id"
 
@@ -54,11 +54,11 @@ def country_class_weights(df: DataFrame, cap: float = 5.0) -> DataFrame:
     """
     counts = lookup(df.groupBy("country", LABEL).agg(F.count(F.lit(1)).alias("_n")))
     first = counts.agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_k"))
-    capped = counts.join(first, F.lit(True)).withColumn(
+    capped = with_row(counts, first).withColumn(
         "_w", F.least(F.col("_rows") / (F.col("_k") * F.col("_n")), F.lit(cap))
     )
     mean = capped.agg((F.sum(F.col("_w") * F.col("_n")) / F.sum("_n")).alias("_mean"))
-    weights = lookup(capped.join(mean, F.lit(True)).select("country", LABEL, (F.col("_w") / F.col("_mean")).alias("weight")))
+    weights = lookup(with_row(capped, mean).select("country", LABEL, (F.col("_w") / F.col("_mean")).alias("weight")))
     return df.join(weights, ["country", LABEL])
 
 
@@ -82,7 +82,7 @@ def leave_country_out(df: DataFrame) -> DataFrame:
     )
     total = counts.agg(F.sum("n_test").alias("_all"))
     return (
-        counts.join(total, F.lit(True))
+        with_row(counts, total)
         .where(F.col("positives") > 0)
         .select("country", "n_test", (F.col("_all") - F.col("n_test")).alias("n_train"), "positives")
     )
@@ -108,19 +108,16 @@ def persistent_train_filter(train: DataFrame, days: int = 2) -> DataFrame:
 
 def pu_bags(df: DataFrame, bags: int, ratio: float, seed: int, minimum: int = 0) -> DataFrame:
     """All positives plus ratio × positives unlabelled rows per bag, without replacement."""
-    size = lookup(
-        df.agg(F.sum(LABEL).alias("_p"), F.count(F.lit(1)).alias("_n"))
-        .select(
-            F.least(
-                F.col("_n") - F.col("_p"), F.greatest(F.lit(minimum), F.ceil(F.lit(float(ratio)) * F.col("_p")))
-            ).alias("_take")
-        )
+    size = df.agg(F.sum(LABEL).alias("_p"), F.count(F.lit(1)).alias("_n")).select(
+        F.least(
+            F.col("_n") - F.col("_p"), F.greatest(F.lit(minimum), F.ceil(F.lit(float(ratio)) * F.col("_p")))
+        ).alias("_take")
     )
     spread = df.withColumn("bag", F.explode(F.array(*[F.lit(b) for b in range(bags)])))
     pool = spread.where(F.col(LABEL) == 0).withColumn(
         "_order", F.sha2(F.concat_ws(":", F.lit(seed) + F.col("bag"), F.col("source_id")), 256)
     )
-    placed = row_numbers(pool, ["bag"], [F.col("_order"), F.col("source_id")], "_r").join(size, F.lit(True))
+    placed = with_row(row_numbers(pool, ["bag"], [F.col("_order"), F.col("source_id")], "_r"), size)
     chosen = placed.where(F.col("_r") <= F.col("_take")).select(*df.columns, "bag")
     return spread.where(F.col(LABEL) == 1).unionByName(chosen)
 

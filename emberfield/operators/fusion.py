@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberfield.functions.columns import calibrate, logit, residual_fusion
 from emberfield.operators.evaluation import average_precision
 from emberfield.operators.ordering import percentile_columns
-from emberfield.session import lookup
+from emberfield.session import lookup, settle, with_row
 
 ALPHAS = (0.0, 0.15, 0.30, 0.50, 0.70)
 LATE_WEIGHTS = tuple(i / 8 for i in range(9))
@@ -26,14 +26,15 @@ def late_fusion_weights(df: DataFrame, first: str, second: str, weights: Sequenc
     )
     ap = average_precision(blended.select("country", "is_eog_flare", "weight", "score"), ["weight", "country"])
     table = ap.groupBy("weight").agg(F.round(F.avg("pr_auc"), 12).alias("macro_ap"))
-    best = lookup(table.agg(F.max(F.struct("macro_ap", (-w).alias("low"))).alias("best")))
-    return table.join(best, F.lit(True)).select("weight", "macro_ap", (w == -F.col("best.low")).alias("selected"))
+    table = settle(table)
+    best = table.agg(F.max(F.struct("macro_ap", (-w).alias("low"))).alias("best")).select((-F.col("best.low")).alias("_best"))
+    return with_row(table, best).select("weight", "macro_ap", (w == F.col("_best")).alias("selected"))
 
 
 def late_fusion(df: DataFrame, first: str, second: str) -> DataFrame:
     """Rows scored with the selected weight; the weight comes from one selected table row."""
-    chosen = lookup(late_fusion_weights(df, first, second).where("selected").select("weight"))
-    return df.join(chosen, F.lit(True)).withColumn(
+    chosen = late_fusion_weights(df, first, second).where("selected").select("weight")
+    return with_row(df, chosen).withColumn(
         "score", F.col("weight") * F.col(first) + (1 - F.col("weight")) * F.col(second)
     )
 
@@ -63,7 +64,7 @@ def crossfit_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         sums += [F.sum(value).alias(f"s_{c}"), F.sum(value * value).alias(f"q_{c}")]
     own = lookup(df.groupBy("country").agg(F.count(F.lit(1)).alias("n"), *sums))
     total = own.agg(*[F.sum(c).alias(f"t_{c}") for c in own.columns if c != "country"])
-    both = own.join(total, F.lit(True))
+    both = with_row(own, total)
     n = F.col("t_n") - F.col("n")
     out = {}
     for c in columns:
@@ -90,7 +91,7 @@ def reference_fusion(
     df: DataFrame, references: DataFrame, compact: Column, visual: Column, alpha: Column, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Fuse with saved reference statistics (mean_c, std_c, mean_v, std_v), one row per key."""
-    joined = df.join(lookup(references), list(keys)) if keys else df.join(lookup(references), F.lit(True))
+    joined = df.join(lookup(references), list(keys)) if keys else with_row(df, references)
     calibrated = calibrate(compact, F.col("mean_c"), F.col("std_c"))
     image = calibrate(visual, F.col("mean_v"), F.col("std_v"))
     return joined.withColumns({"calibrated": calibrated, "fused": residual_fusion(calibrated, image, alpha)}).drop(

@@ -19,7 +19,7 @@ from emberfield.operators import folds
 from emberfield.operators.contracts import forbid_leakage, violations
 from emberfield.operators.features import BLOCKED
 from emberfield.operators.ordering import row_numbers
-from emberfield.session import in_parallel, lookup, settle
+from emberfield.session import in_parallel, settle, with_row
 
 LABEL = "is_eog_flare"
 RULE_DAYS, RULE_ENTROPY = (5, 10, 30, 60), (0.0, 0.5, 0.7)
@@ -42,7 +42,7 @@ def persistence_rule(df: DataFrame) -> DataFrame:
 def persistence_score(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Min-max scaled columns as scores, NULL counting as 0, long over ``branch``."""
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
-    limits = lookup(df.agg(*[f(v).alias(f"_{n}_{c}") for c, v in filled.items() for n, f in (("lo", F.min), ("hi", F.max))]))
+    limits = df.agg(*[f(v).alias(f"_{n}_{c}") for c, v in filled.items() for n, f in (("lo", F.min), ("hi", F.max))])
     pairs = [
         F.struct(
             F.lit(c).alias("branch"),
@@ -50,7 +50,7 @@ def persistence_score(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
         for c, v in filled.items()
     ]
-    return df.join(limits, F.lit(True)).select("source_id", "country", LABEL, F.explode(F.array(*pairs)).alias("p")).select(
+    return with_row(df, limits).select("source_id", "country", LABEL, F.explode(F.array(*pairs)).alias("p")).select(
         "source_id", "country", LABEL, "p.*"
     )
 
@@ -140,7 +140,7 @@ def isolation_rank(df: DataFrame, columns: Sequence[str], trees: int = 300, seed
 
     scored = settle(df.withColumn("_raw", isolation(_matrix(df, columns))))
     limits = scored.agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi"))
-    return scored.join(F.broadcast(settle(limits)), F.lit(True)).withColumn(
+    return with_row(scored, limits).withColumn(
         "score", (F.col("_raw") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9)
     ).drop("_raw", "_lo", "_hi")
 
@@ -374,8 +374,8 @@ def nested_loco(df: DataFrame, fit_predict: FitPredict, inner_folds: int = 3) ->
         test = frame.where(F.col("country") == country)
         grouped = folds.grouped_folds(train, inner_folds, "evaluation_block")
         inner = oof_predict(grouped, "fold", fit_predict, range(inner_folds))
-        chosen = lookup(ev.macro_f1_threshold(inner.select("country", LABEL, "score"), []))
-        scored = test.join(fit_predict(train, test), "source_id").join(chosen, F.lit(True))
+        chosen = ev.macro_f1_threshold(inner.select("country", LABEL, "score"), [])
+        scored = with_row(test.join(fit_predict(train, test), "source_id"), chosen)
         return settle(scored.select("source_id", "country", "block_id", LABEL, "eog_flare_id", "score", "threshold"))
 
     parts = in_parallel(df.sparkSession, [lambda c=c: judge(c) for c in countries])

@@ -148,14 +148,17 @@ def group_quantiles(
     keys: Sequence[str],
     wanted: dict[str, tuple[str, float]],
     hot_rows: int = HOT_GROUP_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Quantiles of many groups: built-in ``percentile`` for ordinary ones, slices for hot ones.
 
     ``wanted`` maps an output name to (column, probability). Group sizes are
-    counted first; the number of hot groups is at most rows / ``hot_rows``.
+    counted first unless given as ``sizes`` (keys, count); the number of hot groups
+    is at most rows / ``hot_rows``.
     """
     plain = [F.percentile(c, F.lit(float(p))).alias(n) for n, (c, p) in wanted.items()]
-    hot = settle(df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys))
+    counted = df.groupBy(*keys).count() if sizes is None else sizes
+    hot = settle(counted.where(F.col("count") > hot_rows).select(*keys))
     if hot.isEmpty():
         return df.groupBy(*keys).agg(*plain)
     cold = df.join(hot, list(keys), "left_anti").groupBy(*keys).agg(*plain)

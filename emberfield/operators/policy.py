@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from emberfield.operators import evaluation as ev
 from emberfield.operators.fusion import ALPHAS, crossfit_fusion
-from emberfield.session import lookup, settle
+from emberfield.session import lookup, settle, with_row
 
 COMPLEXITY = {"compact_tabular": 0, "all77_tabular": 1, "guarded_cv_tabular": 2}
 # Preregistered limits.
@@ -59,7 +59,7 @@ def _select(table: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Mark the first eligible row of a small candidate table."""
     rows = settle(table)
     best = rows.where("eligible").agg(F.min_by(F.col(name), F.struct(*order)).alias("_best"))
-    return rows.join(F.broadcast(best), F.lit(True)).withColumn("selected", F.col(name) == F.col("_best")).drop("_best")
+    return with_row(rows, best).withColumn("selected", F.col(name) == F.col("_best")).drop("_best")
 
 
 def choose_alpha(df: DataFrame, compact: str, visual: str, alphas: Sequence[float] = ALPHAS) -> DataFrame:
@@ -97,10 +97,11 @@ def choose_branch(df: DataFrame, baseline: str = "compact_tabular") -> DataFrame
     """Branch choice on inner scores with an F1 guard; the simpler branch wins ties."""
     ap = ev.average_precision(df, ["branch", "country"])
     f1 = ev.macro_f1_threshold(df, ["branch"]).select("branch", F.col("macro_f1"))
+    f1 = settle(f1)
     table = guard_table(ap, baseline).join(f1, "branch")
-    base = lookup(f1.where(F.col("branch") == baseline).select(F.col("macro_f1").alias("_f1")))
+    base = f1.where(F.col("branch") == baseline).select(F.col("macro_f1").alias("_f1"))
     rated = (
-        table.join(base, F.lit(True))
+        with_row(table, base)
         .withColumn("macro_f1_delta", F.round(F.col("macro_f1") - F.col("_f1"), 12))
         .drop("_f1")
         .withColumn(
@@ -162,7 +163,7 @@ def selection_guard(
         ("bootstrap_lower_95", "lower_95", ">=", limit["bootstrap_lower_95"]),
         ("macro_f1_delta", "macro_f1_delta", ">=", limit["macro_f1_delta"]),
     ]
-    return conditions(lookup(seen).join(lookup(boot), F.lit(True)), rules)
+    return conditions(with_row(seen, boot), rules)
 
 
 def population_guard(metrics: DataFrame, baseline: str = "population", candidate: str = "rank_blend") -> DataFrame:
@@ -204,9 +205,9 @@ def acceptance(
         F.min("macro_pr_auc_gain").alias("seed_min"),
         F.percentile("macro_pr_auc_gain", F.lit(0.5)).alias("seed_median"),
     )
-    row = lookup(seen)
+    row = seen
     for part in (review, gains, bootstrap.select("lower_95")):
-        row = row.join(lookup(part), F.lit(True))
+        row = with_row(row, part)
     row = row.withColumns(
         {"integrity": F.lit(int(integrity)), "alphas": F.lit(sum(a > 0 for a in alphas.values()))}
     )
@@ -236,7 +237,7 @@ def transfer_decision(ap: DataFrame, budgets: DataFrame, baseline: str, candidat
     at20 = budgets.where(F.abs(F.col("review_fraction") - 0.2) < 1e-9)
     sites = ev.country_deltas(at20, [], "sites_found", baseline, candidate).select(F.col("delta").alias("site_delta"))
     return conditions(
-        lookup(delta).join(lookup(sites), F.lit(True)),
+        with_row(delta, sites),
         [
             ("pr_auc_delta_at_least_minus_0_01", "ap_delta", ">=", -0.01),
             ("positive_site_loss_at_20_no_more_than_one", "site_delta", ">=", -1),

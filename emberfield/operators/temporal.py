@@ -209,17 +209,13 @@ def fit_scale(sequence: DataFrame) -> DataFrame:
 def robust_scale(sequence: DataFrame, training: DataFrame) -> DataFrame:
     """Scale every month with statistics of the training sources; absent months 0, clipped at ±8."""
     scales = fit_scale(sequence.join(training.select("source_id"), "source_id", "left_semi"))
-    wide = lookup(
-        scales.agg(
-            F.map_from_entries(F.collect_list(F.struct("metric", F.struct("center", "scale")))).alias("_s")
-        )  # one entry per channel
-    )
+    fitted = {row["metric"]: row for row in scales.collect()}  # one row per channel
 
     def scaled(c: str) -> Column:
-        value = (F.col(c) - F.col("_s")[c]["center"]) / F.col("_s")[c]["scale"]
+        value = (F.col(c) - fitted[c]["center"]) / fitted[c]["scale"]
         return F.when(F.col("presence") == 1, F.greatest(F.least(value, F.lit(8.0)), F.lit(-8.0))).otherwise(F.lit(0.0))
 
-    return sequence.join(wide, F.lit(True)).withColumns({c: scaled(c) for c in CONTINUOUS}).drop("_s")
+    return sequence.withColumns({c: scaled(c) for c in CONTINUOUS})
 
 
 def bag_mask(meta: DataFrame, keep: float, seed: int, excluded: Sequence[str] = ()) -> DataFrame:

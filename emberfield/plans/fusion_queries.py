@@ -12,7 +12,7 @@ from emberfield.plans.evaluation_queries import (
 )
 from emberfield.plans.feature_queries import percentile_sql
 from emberfield.plans.registry import CTES, query
-from emberfield.session import lookup
+from emberfield.session import lookup, with_row
 from emberfield.sources import bindings
 
 COMPACT, VISUAL, GUARDED = "score_compact_tabular", "score_visual", "score_guarded_cv_tabular"
@@ -81,8 +81,7 @@ def k3(spark, folder):
     from emberfield.functions.columns import calibrate
 
     rows = predictions(spark, folder)
-    stats = lookup(fusion.logit_statistics(rows, COMPACT))
-    return rows.join(stats, F.lit(True)).select("source_id", calibrate(F.col(COMPACT), F.col("mean"), F.col("std")).alias("calibrated"))
+    return with_row(rows, fusion.logit_statistics(rows, COMPACT)).select("source_id", calibrate(F.col(COMPACT), F.col("mean"), F.col("std")).alias("calibrated"))
 
 
 @query("k4_residual_fusion", f"SELECT source_id, {fuse_sql(COMPACT, VISUAL, '0.3')} AS fused FROM predictions", "fused")

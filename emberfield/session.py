@@ -70,6 +70,12 @@ def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= max_rows else table
 
 
+def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate as literals, so no join is planned."""
+    row = one_row.first()
+    return df.withColumns({n: F.lit(row[n]).cast(t) for n, t in one_row.dtypes})
+
+
 def in_parallel(spark: SparkSession, tasks: Sequence[Callable[[], T]], width: int = CONCURRENT_FITS) -> list[T]:
     """Run a handful of driver steps, each a chain of distributed jobs, from several threads."""
     if len(tasks) == 1:
