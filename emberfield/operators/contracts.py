@@ -19,16 +19,17 @@ def canonical_row(columns: Sequence[str]) -> Column:
 def table_fingerprint(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Order-free digest of a table, per key if given.
 
-    Row digests are summed digit-wise in 32-bit words, so partial sums combine on
-    the map side and no task holds a list of rows. The sums wrap nothing: words
-    are below 2^32 and added as decimals. Duplicated rows change the digest.
+    The first 128 bits of the row digests are summed as two 64-bit words, so
+    partial sums combine on the map side and no task holds a list of rows. Words
+    are added as decimals with room for 10^18 rows. Duplicated rows change the
+    digest.
     """
     digest = df.select(*keys, canonical_row(columns).alias("_d"))
-    words = [F.conv(F.substring("_d", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
+    words = [F.conv(F.substring("_d", 1 + 16 * i, 16), 16, 10).cast("decimal(28,0)") for i in range(2)]
     sums = digest.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), *[F.sum(w).alias(f"_w{i}") for i, w in enumerate(words)]
     )
-    text = F.concat_ws(":", F.col("rows").cast("string"), *[F.coalesce(F.col(f"_w{i}"), F.lit(0)).cast("string") for i in range(8)])
+    text = F.concat_ws(":", F.col("rows").cast("string"), *[F.coalesce(F.col(f"_w{i}"), F.lit(0)).cast("string") for i in range(2)])
     return sums.select(*keys, "rows", F.sha2(text, 256).alias("fingerprint"))
 
 

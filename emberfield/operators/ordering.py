@@ -23,7 +23,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """Add inclusive running sums ``name`` and group sums ``name_group``.
 
     ``order`` must be total within the keys wherever ties matter; keys must not
-    be NULL.
+    be NULL. Data that fits one slice skips the offsets.
     """
     keys = list(keys) or ["_whole"]
     values = {f"_v_{name}": value for name, value in totals.items()}
@@ -31,6 +31,13 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     placed = settle(
         base.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_slice", F.spark_partition_id())
     )
+    helpers = ["_slice", "_whole", *values]
+    if placed.rdd.getNumPartitions() == 1:
+        # Adaptive execution merged everything into one slice of ordinary size.
+        whole = Window.partitionBy(*keys)
+        upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        sums = {n: F.sum(f"_v_{n}").over(upto) for n in totals}
+        return placed.withColumns(sums | {f"{n}_group": F.sum(f"_v_{n}").over(whole) for n in totals}).drop(*helpers)
     per_slice = placed.groupBy(*keys, "_slice").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in totals])
     span = Window.partitionBy(*keys)
     earlier = span.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,7 +51,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return (
         placed.join(offsets, [*keys, "_slice"])
         .withColumns({n: F.sum(f"_v_{n}").over(within) + F.col(f"_b_{n}") for n in totals})
-        .drop("_slice", "_whole", *values, *[f"_b_{n}" for n in totals])
+        .drop(*helpers, *[f"_b_{n}" for n in totals])
     )
 
 

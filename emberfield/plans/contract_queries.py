@@ -16,8 +16,8 @@ PANEL = ["source_id", "country", "is_eog_flare", "eog_flare_id", "block_id"]
 
 def fingerprint_sql(frame, columns, keys=""):
     row = " || CHR(31) || ".join(f"COALESCE(CAST({c} AS VARCHAR), '<NA>')" for c in columns)
-    words = ", ".join(f"SUM(CAST('0x' || SUBSTR(d, {1 + 8 * i}, 8) AS BIGINT)) AS w{i}" for i in range(8))
-    text = " || ':' || ".join(["rows", *(f"w{i}" for i in range(8))])
+    words = ", ".join(f"SUM(CAST('0x' || SUBSTR(d, {1 + 16 * i}, 16) AS UBIGINT)) AS w{i}" for i in range(2))
+    text = " || ':' || ".join(["rows", *(f"w{i}" for i in range(2))])
     lead = f"{keys}, " if keys else ""
     group = f"GROUP BY {keys}" if keys else ""
     return f"SELECT {lead}rows, SHA256({text}) AS fingerprint FROM (SELECT {lead}COUNT(*) AS rows, {words} FROM (SELECT {lead}SHA256({row}) AS d FROM {frame}) {group})"

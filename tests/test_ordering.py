@@ -81,3 +81,19 @@ def test_results_do_not_depend_on_partitions(spark, skewed, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     want = ordering.row_numbers(df, ["key"], [F.col("value"), F.col("id")])
     assert digest == want.agg(F.sum(F.xxhash64("id", "row").cast("decimal(38,0)"))).first()[0]
+
+
+def test_many_slices_equal_one(spark, skewed):
+    """With adaptive merging off every slice is kept, so offsets are exercised."""
+    pdf, df = skewed
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordering.row_numbers(df, ["key"], [F.col("value").desc(), F.col("id")]).toPandas()
+        med = ordering.exact_quantiles(df, ["key"], "value", {"q": 0.5}).toPandas().set_index("key")["q"].sort_index()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = pdf.sort_values(["value", "id"], ascending=[False, True])
+    want["row"] = want.groupby("key").cumcount() + 1
+    merged = got.merge(want, on="id")
+    assert (merged["row_x"] == merged["row_y"]).all()
+    assert np.allclose(med, pdf.groupby("key")["value"].median().sort_index())
