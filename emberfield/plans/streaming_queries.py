@@ -11,6 +11,7 @@ from emberfield.streaming import detections as st
 
 
 def stream(spark, folder, name):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # naive timestamps are UTC, day windows too
     schema = bindings.table(spark, folder, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
