@@ -1,4 +1,4 @@
-"""Scorer queries: rules and scaled scores have oracles, fitted models are checked by shape."""
+"""Scorer, feature-table and report queries: rules and scaled scores have oracles, fitted models are checked by shape."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ from emberfield.operators import evaluation as ev
 from emberfield.operators import features as ft
 from emberfield.operators import folds, policy
 from emberfield.operators import models as md
-from emberfield.plans.evaluation_queries import confusion_sql
+from emberfield.plans.audit_queries import scratch
+from emberfield.plans.evaluation_queries import confusion_sql, scores
 from emberfield.plans.feature_queries import labelled_window, located_window
 from emberfield.plans.registry import CTES, query
 from emberfield.session import settle
-from emberfield.sources import bindings
+from emberfield.sources import bindings, ingest
 
 COLUMNS = list(ft.THERMAL_RAW)
 WIDTH, VIEWS = 32, 2
@@ -183,3 +184,25 @@ def k19(spark, folder):
     train, _ = split(spark, folder)
     scored = md.nested_loco(train, md.logistic_score(COLUMNS), inner_folds=2)
     return ev.country_metrics(scored, ["country"], F.col("threshold"))
+
+
+@query("a7_load_features", "SELECT source_id, country, n_days FROM labelled_features WHERE country IN ('C0', 'C3')")
+def a7(spark, folder):
+    """Write the calendar features partitioned by country, load two countries back."""
+    target = scratch(spark)
+    rows = calendar(spark, folder).select("source_id", "country", "n_days")
+    rows.write.partitionBy("country").parquet(target)
+    return ingest.load_features(spark, target, ["C0", "C3"])
+
+
+@query(
+    "a8_write_report",
+    "SELECT branch, country, n, tp, fp, fn, tn, f1 FROM country_confusion",
+    "f1",
+)
+def a8(spark, folder):
+    """Write a metric table as CSV and read it under its own schema."""
+    table = ev.binary_metrics(scores(spark, folder), ["branch", "country"], 0.55).select("branch", "country", "n", "tp", "fp", "fn", "tn", "f1")
+    target = scratch(spark)
+    ingest.write_report(table, target)
+    return spark.read.schema(table.schema).option("header", True).csv(target)
