@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 from typing import TypeVar
@@ -55,9 +56,17 @@ def use_checkpoint_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and cut its lineage."""
-    use_checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a columnar table under the checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()``, but later reads prune columns and carry
+    statistics. The table goes when the session's file system closes.
+    """
+    spark = df.sparkSession
+    place = f"{use_checkpoint_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
