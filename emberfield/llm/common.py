@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from emberfield.session import settle
 
@@ -44,36 +46,37 @@ def batches_by_size(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tu
         yield start, len(texts)
 
 
-def per_text(function: Callable[[list], dict[str, list]], schema: pa.Schema, text: str) -> Callable:
-    """mapInArrow function: keeps the other columns, replaces ``text`` by the columns that ``function`` makes.
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
-    ``function`` gets a list of values of bounded total size and returns one value
-    per text for each new field of ``schema``.
+
+def map_texts(df: DataFrame, text: str, function: Callable[[list[bytes]], dict[str, list]], fields: str) -> tuple[DataFrame, str]:
+    """``df`` with one more struct column, made from the UTF-8 bytes of whole texts in Arrow batches.
+
+    ``function`` gets texts of bounded total size (NULL: empty) and returns a value per
+    text for each of ``fields`` (DDL). Returns the column's name too; as it is a fresh
+    one, no column of ``df`` can clash with what the operator makes.
     """
+    made, raw = StructType.fromDDL(fields), free_name(df, "_bytes")
+    name = free_name(df, "_made")
+    kinds = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            rest = [n for n in batch.schema.names if n != text]
-            sized = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
-            for lo, hi in batches_by_size(sized):
-                made = function(texts[lo:hi])
-                columns = {n: batch.column(n).slice(lo, hi - lo) for n in rest} | made
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for f in schema for c in (columns[f.name],)], schema=schema
-                )
-
-    return run
-
-
-def arrow_schema(df: DataFrame, new: str) -> tuple[pa.Schema, str]:
-    """Arrow schema and Spark DDL of the columns of ``df`` followed by those of the DDL string ``new``."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    added = StructType.fromDDL(new)
-    whole = StructType([*df.schema.fields, *added.fields])
-    return to_arrow_schema(whole), whole
+            texts = batch.column(raw).to_pylist()
+            kept = [(n, batch.column(n)) for n in batch.schema.names if n != raw]
+            for lo, hi in batches_by_size(texts):
+                values = function(texts[lo:hi])
+                added = pa.StructArray.from_arrays([pa.array(values[f.name], type=f.type) for f in kinds], fields=list(kinds))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for _, c in kept), added], names=[*(n for n, _ in kept), name])
+
+    given = df.withColumn(raw, F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    schema = StructType([*df.schema.fields, StructField(name, made)])
+    return given.mapInArrow(run, schema), name
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

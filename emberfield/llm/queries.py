@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import mixing, sharding
+from emberfield.llm import mixing, quality, sharding, simhash
 from emberfield.llm.common import table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +41,18 @@ def op2(spark, folder):
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "row_number",
     )
+
+
+@register("op7_quality")
+def op7(spark, folder):
+    """All documents judged by base rules and labelled lines."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged, name = quality.judge(docs, quality.fit(docs, table(spark, folder, "labels")))
+    return judged.select("doc_id", f"{name}.*")
+
+
+@register("op9_simhash")
+def op9(spark, folder):
+    """All documents with their fingerprint and near-duplicate component."""
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
