@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import mixing, quality, sharding, simhash
+from emberfield.llm import linespread, mixing, quality, sharding, simhash
 from emberfield.llm.common import table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,11 @@ def op9(spark, folder):
     """All documents with their fingerprint and near-duplicate component."""
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op6_line_spread", linespread.remove_sql())
+def op6(spark, folder):
+    """All documents cleared of lines that many sites carry."""
+    cleaned, name = linespread.remove_boilerplate(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return cleaned.select("doc_id", f"{name}.*", digest.alias("text_sha256"))
