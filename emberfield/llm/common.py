@@ -54,10 +54,12 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def map_texts(df: DataFrame, text: str, function: Callable[[list[bytes]], dict[str, list]], fields: str) -> tuple[DataFrame, str]:
+def map_texts(
+    df: DataFrame, text: str, function: Callable[[list[bytes]], dict[str, list]], fields: str, limit: int = CHUNK_BYTES
+) -> tuple[DataFrame, str]:
     """``df`` with one more struct column, made from the UTF-8 bytes of whole texts in Arrow batches.
 
-    ``function`` gets texts of bounded total size (NULL: empty) and returns a value per
+    ``function`` gets texts of about ``limit`` bytes in all (NULL: empty) and returns a value per
     text for each of ``fields`` (DDL). Returns the column's name too; as it is a fresh
     one, no column of ``df`` can clash with what the operator makes.
     """
@@ -69,7 +71,7 @@ def map_texts(df: DataFrame, text: str, function: Callable[[list[bytes]], dict[s
         for batch in batches:
             texts = batch.column(raw).to_pylist()
             kept = [(n, batch.column(n)) for n in batch.schema.names if n != raw]
-            for lo, hi in batches_by_size(texts):
+            for lo, hi in batches_by_size(texts, limit):
                 values = function(texts[lo:hi])
                 added = pa.StructArray.from_arrays([pa.array(values[f.name], type=f.type) for f in kinds], fields=list(kinds))
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for _, c in kept), added], names=[*(n for n, _ in kept), name])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import linespread, mixing, quality, sharding, simhash
+from emberfield.llm import linespread, mixing, pairbpe, quality, sharding, simhash
 from emberfield.llm.common import table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,13 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file on this machine; every worker has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @register("op1_mixing")
 def op1(spark, folder):
     """All documents mixed to the source targets by the cube method."""
@@ -64,3 +71,11 @@ def op6(spark, folder):
     cleaned, name = linespread.remove_boilerplate(table(spark, folder, "documents").select("doc_id", "source", "text"))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     return cleaned.select("doc_id", f"{name}.*", digest.alias("text_sha256"))
+
+
+@register("op8_pair_bpe")
+def op8(spark, folder):
+    """All documents encoded and decoded with the byte-level vocabulary."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded, name = pairbpe.encode_digests(docs, vocabulary("byte_bpe_50k.json"))
+    return encoded.select("doc_id", f"{name}.*")
