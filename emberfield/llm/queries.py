@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import linespread, mixing, pairbpe, quality, sharding, simhash
+from emberfield.llm import linespread, mixing, pairbpe, prefixcount, quality, sharding, simhash
 from emberfield.llm.common import table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,11 @@ def op8(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     encoded, name = pairbpe.encode_digests(docs, vocabulary("byte_bpe_50k.json"))
     return encoded.select("doc_id", f"{name}.*")
+
+
+@register("op5_prefix_count")
+def op5(spark, folder):
+    """Token counts of all documents, and where a cut to the limit falls."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    counted, name = prefixcount.count_documents(docs, vocabulary("piece_bpe_32k.model"))
+    return counted.select("doc_id", f"{name}.*")
