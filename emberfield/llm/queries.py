@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import chat, linespread, mixing, pairbpe, prefixcount, quality, sharding, simhash
+from emberfield.llm import chat, linespread, mixing, multiindex, pairbpe, prefixcount, quality, sharding, simhash, suffixdedup
 from emberfield.llm.common import table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +102,16 @@ def op10(spark, folder):
         F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICK).alias("text")
     )
     return chat.digests(chat.formatted_paths(chat.chains(given.unionByName(trick))))
+
+
+@register("op3_multi_index")
+def op3(spark, folder):
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return multiindex.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register("op4_suffix_dedup")
+def op4(spark, folder):
+    """All documents without the bytes of strings that also start earlier."""
+    cut = suffixdedup.remove_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
