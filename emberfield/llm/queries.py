@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberfield.llm import chat, linespread, mixing, multiindex, pairbpe, prefixcount, quality, sharding, simhash, suffixdedup
-from emberfield.llm.common import table, word_count
+from emberfield.llm.common import table, vocabulary, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,13 +27,6 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def vocabulary(name: str) -> str:
-    """Place of a public vocabulary file on this machine; every worker has the same package."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @register("op1_mixing")
 def op1(spark, folder):
     """All documents mixed to the source targets by the cube method."""
