@@ -52,9 +52,19 @@ def safe_index(a: Column, b: Column) -> Column:
     return F.when(F.abs(a + b) > 1e-6, (a - b) / (a + b))
 
 
+def is_score(value: Column) -> Column:
+    return value.isNotNull() & ~F.isnan(value.cast("double"))
+
+
+def finite_score(value: Column, name: str = "score") -> Column:
+    """The value itself; a missing or NaN score is an error, not a number."""
+    return F.when(is_score(value), value).otherwise(F.raise_error(F.lit(f"missing or NaN score: {name}")).cast("double"))
+
+
 def logit(score: Column) -> Column:
+    """NULL for a missing score: least and greatest would turn it into a bound."""
     clipped = F.least(F.greatest(score, F.lit(1e-6)), F.lit(1 - 1e-6))
-    return F.ln(clipped) - F.log1p(-clipped)
+    return F.when(is_score(score), F.ln(clipped) - F.log1p(-clipped))
 
 
 def sigmoid(value: Column) -> Column:
@@ -63,13 +73,13 @@ def sigmoid(value: Column) -> Column:
 
 def calibrate(score: Column, mean: Column, std: Column) -> Column:
     """Logit, z-score against reference statistics, back through the sigmoid."""
-    return sigmoid((logit(score) - mean) / F.greatest(std, F.lit(1e-6)))
+    return sigmoid((logit(score) - mean) / F.when(std.isNotNull(), F.greatest(std, F.lit(1e-6))))
 
 
 def residual_fusion(compact: Column, visual: Column, alpha: Column) -> Column:
-    """Move an uncertain compact score towards the visual one."""
+    """Move an uncertain compact score towards the visual one; NULL if either is missing."""
     moved = compact + alpha * 4 * compact * (1 - compact) * (visual - compact)
-    return F.least(F.greatest(moved, F.lit(0.0)), F.lit(1.0))
+    return F.when(is_score(moved), F.least(F.greatest(moved, F.lit(0.0)), F.lit(1.0)))
 
 
 def seeded_order(seed, identifier: Column) -> Column:

@@ -25,7 +25,10 @@ def _star(edges: DataFrame, directed: DataFrame, larger_only: bool) -> DataFrame
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of undirected edges (a, b); root is the smallest node."""
+    """(node, root) for every node of undirected edges (a, b); root is the smallest node.
+
+    Nodes may be of any orderable type: numbers, text or structs.
+    """
     current = settle(
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

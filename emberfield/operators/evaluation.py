@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberfield.functions.columns import share
+from emberfield.functions.columns import finite_score, share
 from emberfield.operators.ordering import exact_quantiles, row_numbers, running_totals
 from emberfield.session import lookup, with_row
 
@@ -32,6 +32,7 @@ def long_scores(df: DataFrame, branches: Sequence[str]) -> DataFrame:
 def score_cells(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows and positives of every distinct score."""
     one = F.lit(1).cast("bigint")
+    df = df.withColumn("score", finite_score(F.col("score")))
     return df.groupBy(*keys, "score").agg(F.sum(one).alias("n"), F.sum(one * F.col(LABEL)).alias("pos"))
 
 
@@ -98,6 +99,7 @@ def grid_f1_threshold(df: DataFrame, keys: Sequence[str], grid: Sequence[float])
     """Best threshold of a fixed grid, first on ties: conditional sums, no ordering."""
     if not grid:
         raise ValueError("grid cannot be empty")
+    df = df.withColumn("score", finite_score(F.col("score")))
     above = [(F.col("score") >= t).cast("bigint") for t in grid]
     sums = [F.struct(F.sum(a).alias("seen"), F.sum(a * F.col(LABEL)).alias("found")) for a in above]
     counted = _grouped(df, keys, [F.sum(LABEL).alias("p"), F.array(*sums).alias("s")])
@@ -117,6 +119,7 @@ def grid_f1_threshold(df: DataFrame, keys: Sequence[str], grid: Sequence[float])
 
 def binary_metrics(df: DataFrame, keys: Sequence[str], threshold: Column | float) -> DataFrame:
     """Confusion counts and the scores derived from them; ``threshold`` is constant per key."""
+    df = df.withColumn("score", finite_score(F.col("score")))
     y, hit = F.col(LABEL) == 1, F.col("score") >= F.lit(threshold)
     clipped = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
     counts = _grouped(

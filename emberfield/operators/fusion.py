@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberfield.functions.columns import calibrate, logit, residual_fusion
+from emberfield.functions.columns import calibrate, finite_score, logit, residual_fusion
 from emberfield.operators.evaluation import average_precision
 from emberfield.operators.ordering import percentile_columns
 from emberfield.session import lookup, settle, with_row
 
+# The grids and weights of the compared blends.
 ALPHAS = (0.0, 0.15, 0.30, 0.50, 0.70)
 LATE_WEIGHTS = tuple(i / 8 for i in range(9))
 STRUCTURED_WEIGHT = 0.80
@@ -82,7 +83,7 @@ def crossfit_fusion(df: DataFrame, compact: str, visual: str, alphas: Sequence[f
     return (
         df.join(stats, "country")
         .withColumns({"_c": c, "_v": v, "alpha": F.explode(F.array(*[F.lit(float(a)) for a in alphas]))})
-        .withColumn("score", residual_fusion(F.col("_c"), F.col("_v"), F.col("alpha")))
+        .withColumn("score", finite_score(residual_fusion(F.col("_c"), F.col("_v"), F.col("alpha"))))
         .select(*df.columns, "alpha", "score")
     )
 
@@ -122,18 +123,18 @@ def deployment_policy(
     image; the fused branch falls back to the calibrated compact score.
     """
     if branch == "compact_tabular":
-        return df.withColumn("deployed", F.col(compact))
+        return df.withColumn("deployed", finite_score(F.col(compact), compact))
     if branch == "all77_tabular":
         whole = lookup(df.groupBy("country").agg(F.bool_and(available).alias("_whole")))
         return df.join(whole, "country").withColumn(
-            "deployed", F.when(F.col("_whole"), F.col(all77)).otherwise(F.col(compact))
+            "deployed", finite_score(F.when(F.col("_whole"), F.col(all77)).otherwise(F.col(compact)), "deployed")
         ).drop("_whole")
     if branch == "guarded_cv_tabular":
         if references is None:
-            raise ValueError("guarded fusion requires saved calibration references")
+            raise ValueError("no reference statistics given for the fused branch")
         fused = reference_fusion(df, references, F.col(compact), F.col(visual), F.lit(float(alpha)))
         return fused.withColumn(
-            "deployed", F.when(F.col(available), F.col("fused")).otherwise(F.col("calibrated"))
+            "deployed", finite_score(F.when(F.col(available), F.col("fused")).otherwise(F.col("calibrated")), "deployed")
         ).drop("fused", "calibrated")
     raise ValueError(f"unknown deployment branch {branch}")
 
@@ -146,17 +147,17 @@ def seed_pipeline_policy(
     ``compact`` is (source_id, seed, model, score), ``visual`` (source_id, seed,
     score, image_available), ``references`` one row of statistics per seed.
     """
-    by_seed = compact.groupBy("source_id", "seed").agg(F.avg("score").alias("compact"))
+    by_seed = compact.groupBy("source_id", "seed").agg(F.avg(finite_score(F.col("score"))).alias("compact"))
     if not guarded:
         return by_seed.groupBy("source_id").agg(F.avg("compact").alias("score"))
     if visual is None or references is None:
-        raise ValueError("guarded deployment requires every seed fusion input")
+        raise ValueError("visual scores and reference statistics of all seeds are needed")
     if any(a not in ALPHAS for a in alphas.values()):
         raise ValueError(f"seed alpha outside the grid {ALPHAS}")
     alpha = F.create_map(*[F.lit(x) for pair in alphas.items() for x in pair])[F.col("seed")]
     rows = by_seed.join(visual.withColumnRenamed("score", "visual"), ["source_id", "seed"])
     fused = reference_fusion(rows, references, F.col("compact"), F.col("visual"), alpha, ["seed"])
-    score = F.when(F.col("image_available"), F.col("fused")).otherwise(F.col("calibrated"))
+    score = finite_score(F.when(F.col("image_available"), F.col("fused")).otherwise(F.col("calibrated")))
     return fused.groupBy("source_id").agg(F.avg(score).alias("score"))
 
 

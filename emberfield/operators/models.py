@@ -13,7 +13,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberfield.functions.columns import seeded_order
 from emberfield.operators import evaluation as ev
 from emberfield.operators import folds
 from emberfield.operators.contracts import forbid_leakage, violations
@@ -23,7 +22,8 @@ from emberfield.session import in_parallel, settle, with_row
 
 LABEL = "is_eog_flare"
 RULE_DAYS, RULE_ENTROPY = (5, 10, 30, 60), (0.0, 0.5, 0.7)
-TREE_ROWS, TREE_POOL = 256, 8192
+TREE_ROWS, TREE_DRAWS = 256, 2.0
+MOST_FOLDS = 200
 
 
 def persistence_rule(df: DataFrame) -> DataFrame:
@@ -89,17 +89,25 @@ def _grow(rows: np.ndarray, rng: np.random.Generator, limit: int) -> list[list[f
     return nodes
 
 
+def _fraction(seed: int, identifier: Column, part: Column | str) -> Column:
+    """Portable draw in [0, 1) for an id and a purpose."""
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), identifier.cast("string"), F.lit(part).cast("string")), 256)
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def isolation_rank(df: DataFrame, columns: Sequence[str], trees: int = 300, seed: int = 0) -> DataFrame:
     """Isolation score in [0, 1]: trees grow in parallel on small seeded samples, rows are scored in batches.
 
-    Each tree sees at most 256 rows of a pool of at most 8192, so growing is
-    bounded whatever the table size; scoring is a map over all rows.
+    Each tree takes ``TREE_ROWS`` of all rows. One map pass draws about ``TREE_DRAWS``
+    times as many for each tree: a row enters as often as a hash of its id says, and a
+    hash names the tree each time. Each tree is then cut to size in hash order.
     """
-    pool = settle(
-        df.select("source_id", _matrix(df, columns).alias("x"))
-        .orderBy(seeded_order(seed, F.col("source_id")), "source_id").limit(TREE_POOL)
-    )
-    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    rows = settle(df.select("source_id", _matrix(df, columns).alias("x")))
+    rate = TREE_DRAWS * TREE_ROWS * trees / max(rows.count(), 1)
+    times = (F.lit(int(rate)) + (_fraction(seed, F.col("source_id"), "times") < rate % 1).cast("int")).cast("int")
+    drawn = rows.where(times > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), times)))
+    tree = F.floor(_fraction(seed, F.col("source_id"), F.col("_k")) * trees).cast("int")
+    spread = drawn.withColumn("tree", tree).groupBy("tree", "source_id").agg(F.first("x").alias("x"))
     order = F.sha2(F.concat_ws(":", F.lit(seed), "tree", "source_id"), 256)
     samples = row_numbers(spread.withColumn("_o", order), ["tree"], [F.col("_o"), F.col("source_id")], "_r").where(
         F.col("_r") <= TREE_ROWS
@@ -314,7 +322,9 @@ def oof_predict(df: DataFrame, fold: str, fit_predict: FitPredict, values: Seque
     distributed job over a frame written once.
     """
     frame = settle(df)
-    names = values if values is not None else sorted(r[0] for r in frame.select(fold).distinct().collect())
+    names = values if values is not None else sorted(r[0] for r in frame.select(fold).distinct().limit(MOST_FOLDS + 1).collect())
+    if len(names) > MOST_FOLDS:
+        raise ValueError(f"{fold} has more than {MOST_FOLDS} values: not a fold")
     steps = [
         lambda v=v: fit_predict(frame.where(F.col(fold) != v), frame.where(F.col(fold) == v)) for v in names
     ]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from emberfield.session import settle
 
-HOT_GROUP_ROWS = 1_000_000
+HOT_GROUP_ROWS = 50_000
 """Groups above this size take the range-partitioned way to their quantiles."""
 
 
@@ -126,7 +126,11 @@ def percentile_columns(
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Linear-interpolated quantiles of groups of any size."""
+    """Linear-interpolated quantiles of groups of any size.
+
+    Weighs the two neighbours as the built-in ``percentile`` does, so both ways agree to
+    the last bit and a result cannot move when a group grows.
+    """
     cells = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ran = running_totals(cells, keys, [F.col(value)], {"_upto": F.col("_n")})
     picks = []
@@ -140,16 +144,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilitie
     return found.select(
         *keys,
         *[
-            (
-                F.col(f"_lo_{n}")
-                + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))
-                * (F.lit(float(p)) * (F.col("_size") - 1) - F.floor(F.lit(float(p)) * (F.col("_size") - 1)))
-            ).alias(n)
+            _between(F.lit(float(p)) * (F.col("_size") - 1), F.col(f"_lo_{n}"), F.col(f"_hi_{n}")).alias(n)
             for n, p in probabilities.items()
         ],
     )
 
 
+def _between(position: Column, low: Column, high: Column) -> Column:
+    weighed = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
+    return F.when(low == high, low).when(F.ceil(position) == F.floor(position), low).otherwise(weighed)
+
+
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -197,9 +197,9 @@ def builtup_radii(masked: DataFrame) -> DataFrame:
     )
 
 
-def components_8(pixels: DataFrame, size: int = SIDE, code: int = BUILT) -> DataFrame:
+def components_8(pixels: DataFrame, code: int = BUILT) -> DataFrame:
     """8-connected built-up components per 10 000 known pixels and the largest one's share."""
-    node = (F.col("chip_id") * (size * size) + F.col("row") * size + F.col("col")).cast("bigint")
+    node = F.struct("chip_id", "row", "col")  # chip ids may be numbers or text
     built = pixels.where(F.col("landcover") == code).select("chip_id", "row", "col", node.alias("node"))
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]))
     shifted = built.withColumn("s", steps).select(

@@ -50,6 +50,8 @@ def monthly_sequence(det: DataFrame, years: Sequence[int]) -> DataFrame:
     The months of a source, at most 12 per year, gather into one map and unfold
     again with the absent ones, so densifying costs no join.
     """
+    if sorted(set(years)) != list(range(min(years), max(years) + 1)):
+        raise ValueError(f"years with a hole: {sorted(set(years))}")
     months = 12 * len(set(years))
     totals = monthly_totals(det, min(years))
 
@@ -140,6 +142,9 @@ def hard_negative_sample(df: DataFrame, ratio: int, seed: int, holdout: str) ->
         .withColumn("target", F.least(F.col("pool"), ratio * F.col("sites")))
         .select("country", "target", F.floor((F.col("target") + 1) / 2).alias("hard"))
     )
+    short = frame.select("country").distinct().join(sizes, "country", "left_anti").limit(5).collect()
+    if short:
+        raise ValueError(f"countries without known sites or without free unlabelled sources: {[r.country for r in short]}")
     rated = free.join(hardness(free), "source_id")
     placed = row_numbers(rated, ["country"], [F.col("hardness").desc(), F.col("source_id")], "_r").join(sizes, "country")
     placed = settle(placed.drop("_r_group"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from emberfield.operators import audit
 from emberfield.plans.registry import CTES, query
-from emberfield.session import use_checkpoint_folder
+from emberfield.session import scratch_folder
 from emberfield.sources import ingest
 from emberfield.sources.bindings import detections
 
@@ -17,7 +15,7 @@ FOLDER_SQL = "CASE sensor WHEN 'MODIS' THEN 'modis' WHEN 'VIIRS_SNPP' THEN 'viir
 
 def scratch(spark) -> str:
     """New folder in the shared checkpoint space for a table written by a query."""
-    return f"{use_checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark, 'table')}/data"
 
 
 def raw_files(spark, folder, bands):
@@ -38,6 +36,20 @@ def raw_files(spark, folder, bands):
     ).select(*names, "folder", F.concat("stem", F.lit(".csv")).alias("file"))
 
 
+def name_files(spark, place):
+    """Turn folders file=<name> with part files into files of that name (a part number goes in front of it)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in system.listStatus(path(place)):
+        name = folder.getPath().getName()
+        if not folder.isDirectory() or not name.startswith("file="):
+            continue
+        parts = [p.getPath() for p in system.listStatus(folder.getPath()) if p.getPath().getName().startswith("part-")]
+        for i, part in enumerate(parts):
+            system.rename(part, path(f"{place}/{i}-{name.removeprefix('file=')}"))
+        system.delete(folder.getPath(), True)
+
+
 TYPED = """
 SELECT sensor, country, CAST(year AS INT) AS year, COUNT(*) AS n, SUM(acq_time) AS acq_time,
        ROUND(SUM(CAST(CAST(t_mir AS FLOAT) AS DOUBLE)), 2) AS t_mir, MIN(acq_date) AS first_day, SUM(type) AS type
@@ -66,6 +78,7 @@ def a1(spark, folder):
                 .hint("rebalance", F.col("file"))
                 .write.partitionBy("file").option("header", True).csv(f"{root}/{name}")
             )
+            name_files(spark, f"{root}/{name}")
     return typed_summary(ingest.read_detections(spark, root))
 
 

@@ -68,7 +68,7 @@ def i2(spark, folder):
 @query("i3_isolation_rank")
 def i3(spark, folder):
     rows = panel(spark, folder)
-    return md.isolation_rank(rows, COLUMNS, trees=100).select("source_id", "country", "score")
+    return md.isolation_rank(rows, COLUMNS).select("source_id", "country", "score")
 
 
 @query("i4_gbt_score")

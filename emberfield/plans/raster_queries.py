@@ -212,7 +212,7 @@ FROM (SELECT chip_id, COUNT(*) FILTER (landcover <> 0) AS n FROM pixels GROUP BY
     "morph_built_components_per_10k morph_largest_built_component_fraction",
 )
 def f11(spark, folder):
-    return rs.components_8(bindings.pixels(spark, folder), SIZE)
+    return rs.components_8(bindings.pixels(spark, folder))
 
 
 @query(

@@ -19,6 +19,9 @@ CONCURRENT_FITS = 4
 BROADCAST_ROWS = 200_000
 """Largest row count of a narrow lookup table that may be broadcast."""
 
+BROADCAST_BYTES = 16 << 20
+"""Largest stored size of one: rows alone say nothing of wide or long columns."""
+
 
 def build_session(app: str = "emberfield", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """Session with the settings every job here relies on; cluster settings win."""
@@ -55,6 +58,16 @@ def use_checkpoint_folder(spark: SparkSession) -> str:
     return named
 
 
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """New place in the shared checkpoint space; what is written there goes when the session's file system closes."""
+    place = f"{use_checkpoint_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)  # only what exists can be marked
+    system.deleteOnExit(path)
+    return place
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a columnar table under the checkpoint folder and read it back.
 
@@ -62,21 +75,25 @@ def settle(df: DataFrame) -> DataFrame:
     statistics. The table goes when the session's file system closes.
     """
     spark = df.sparkSession
-    place = f"{use_checkpoint_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    place = scratch_folder(spark, "settled")
+    df.write.mode("append").parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 
 def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a small table once; hint a broadcast only if its counted size allows.
+    """Compute a small table once; hint a broadcast only if its counted rows and stored bytes allow.
 
-    Beyond ``max_rows`` the table comes back unhinted and joins fall back to a
+    Beyond either bound the table comes back unhinted and joins fall back to a
     shuffle, where adaptive execution splits hot keys.
     """
     table = settle(df)
-    return F.broadcast(table) if table.count() <= max_rows else table
+    small = table.count() <= max_rows and stored_bytes(table) <= BROADCAST_BYTES
+    return F.broadcast(table) if small else table
+
+
+def stored_bytes(table: DataFrame) -> int:
+    """Size of a table's files, as the optimizer sees it."""
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
 
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 # Instrument folders, their sensors and the raw column order.
 SENSOR_OF_FOLDER = {"modis": "MODIS", "viirs_snpp": "VIIRS_SNPP", "viirs_noaa20": "VIIRS_N20"}
-FILE_PATTERN = r"([a-z0-9-]+)_(\d{4})_([A-Za-z0-9]+)\.csv"
+FILE_PATTERN = r"/([a-z0-9-]+)_(\d{4})_([A-Za-z0-9]+)\.csv$"
 FOLDER_PATTERN = r"/(?:instrument=)?(modis|viirs_snpp|viirs_noaa20)/"
 MODIS_BANDS = ("brightness", "bright_t31")
 VIIRS_BANDS = ("bright_ti4", "bright_ti5")

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.session import use_checkpoint_folder
+from emberfield.session import scratch_folder
 from emberfield.sources.ingest import PARTITIONS, normalise_types
 
 
 def progress_folder(spark: SparkSession) -> str:
     """Fresh progress location in the shared checkpoint space."""
-    return f"{use_checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark, 'stream')}/progress"
 
 
 def event_time(df: DataFrame, column: str) -> DataFrame:

@@ -173,7 +173,7 @@ def test_unknown_land_cover_is_null(spark):
 
 def test_diagonal_components(spark):
     cover = [[50, 0, 0, 10], [0, 50, 0, 10], [0, 0, 0, 10], [50, 0, 0, 10]]
-    got = raster.components_8(chip(spark, landcover=cover), 4).first()
+    got = raster.components_8(chip(spark, landcover=cover)).first()
     assert math.isclose(got["morph_largest_built_component_fraction"], 2 / 3)
     assert math.isclose(got["morph_built_components_per_10k"], 2 * 10000 / 7)
 
