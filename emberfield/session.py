@@ -93,7 +93,7 @@ def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def stored_bytes(table: DataFrame) -> int:
     """Size of a table's files, as the optimizer sees it."""
-    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
