@@ -7,18 +7,23 @@ scores per key; the ordered part then runs on those cells, range-partitioned.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfield.functions.columns import finite_score, share
 from emberfield.operators.ordering import exact_quantiles, row_numbers, running_totals
-from emberfield.session import lookup, with_row
+from emberfield.session import lookup, settle, with_row
 
 LABEL = "is_eog_flare"
 SITE = "eog_flare_id"
 BUDGETS = (0.1, 0.2, 0.3)
+SCORES_AT_ONCE = 256
+"""Distinct scores that a bootstrap task spreads over all repeats at once."""
+
 GATES = (0.001, 0.0025, 0.005, 0.01, 0.02)
 
 
@@ -332,34 +337,103 @@ def draw_index(seed: int, repeat: Column, slot: Column, size: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"), size)
 
 
-def resampled_weights(df: DataFrame, unit: str, repeats: int, seed: int) -> DataFrame:
-    """How often each unit is drawn per repeat, within country and label stratum.
+def drawn_repeats(df: DataFrame, unit: str, repeats: int, seed: int) -> DataFrame:
+    """(country, unit, drawn): the repeats that draw each unit, within country and label stratum.
 
-    Multiplicities replace row copies: a unit drawn five times is one row of weight 5.
+    A unit drawn five times in a repeat has that repeat five times in its array, so
+    multiplicities stand for row copies. Only here do units meet repeats, in rows of a few
+    small numbers; afterwards a unit is one row again.
     """
     units = df.groupBy("country", unit).agg(F.max(LABEL).alias("stratum"))
     placed = row_numbers(units, ["country", "stratum"], [F.col(unit)], "slot").select(
         "country", "stratum", unit, (F.col("slot") - 1).alias("slot"), F.col("slot_group").alias("size")
     )
+    placed = settle(placed)
     slot = F.concat_ws(":", "country", F.col("stratum").cast("string"), F.col("slot").cast("string"))
     drawn = (
         placed.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
         .select("repeat", "country", "stratum", draw_index(seed, F.col("repeat"), slot, F.col("size")).alias("slot"))
-        .groupBy("repeat", "country", "stratum", "slot")
-        .agg(F.count(F.lit(1)).alias("weight"))
+        .groupBy("country", "stratum", "slot")
+        .agg(F.collect_list("repeat").alias("drawn"))
+    )
+    return drawn.join(placed.drop("size"), ["country", "stratum", "slot"]).select("country", unit, "drawn")
+
+
+def _drawn_counts(part: pa.Table, repeats: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and positives of each distinct score in every repeat, from the highest score down, some scores at a time."""
+    part = part.sort_by([("score", "descending")])
+    score = part.column("score").to_numpy()
+    cell = np.cumsum(np.append(False, score[1:] != score[:-1]))
+    lists = part.column("drawn").combine_chunks()
+    starts, repeat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    n, pos = (part.column(c).to_numpy().astype("float64") for c in ("n", "pos"))
+    for first in range(0, int(cell[-1]) + 1, SCORES_AT_ONCE):
+        lo, hi = np.searchsorted(cell, [first, first + SCORES_AT_ONCE])
+        sizes, width = np.diff(starts[lo : hi + 1]), int(cell[hi - 1]) - first + 1
+        at = np.repeat(cell[lo:hi] - first, sizes) * repeats + repeat[starts[lo] : starts[hi]]
+        yield tuple(np.bincount(at, np.repeat(w[lo:hi], sizes), width * repeats).reshape(width, repeats) for w in (n, pos))
+
+
+def bootstrap_precision(df: DataFrame, unit: str, repeats: int, seed: int) -> DataFrame:
+    """(repeat, country, branch, pr_auc) over resampled units; no AP where a repeat has no positive.
+
+    Rows meet their unit's array of repeats, not the repeats themselves. They are
+    range-partitioned by (country, branch, score) and each slice works on arrays over all
+    repeats: first its totals, then, on top of the totals of the slices before it, its
+    part of every repeat's AP. A hot block or country spans many slices.
+    """
+    weights = drawn_repeats(df, unit, repeats, seed)
+    keys = ["country", "branch"]
+    cells = score_cells(df, ["country", unit, "branch"]).join(weights, ["country", unit])
+    placed = settle(
+        cells.select(*keys, "score", "n", "pos", "drawn")
+        .repartitionByRange(*keys, F.col("score").desc())
+        .withColumn("_slice", F.spark_partition_id())
+    )
+
+    def totals(part: pa.Table) -> pa.Table:
+        n, pos = np.zeros(repeats), np.zeros(repeats)
+        for more, hits in _drawn_counts(part, repeats):
+            n, pos = n + more.sum(0), pos + hits.sum(0)
+        return part.slice(0, 1).select([*keys, "_slice"]).append_column("n", pa.array([n])).append_column("pos", pa.array([pos]))
+
+    def offsets(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_slice")
+        out = part.select([*keys, "_slice"])
+        for name in ("n", "pos"):
+            sums = np.stack(part.column(name).to_numpy())
+            out = out.append_column(name, pa.array(list(np.cumsum(sums, 0) - sums)))
+            out = out.append_column(f"{name}_all", pa.array([sums.sum(0)] * len(sums)))
+        return out
+
+    def precision(part: pa.Table, before: pa.Table) -> pa.Table:
+        above, hits_above, positives = (np.asarray(before.column(c)[0].as_py()) for c in ("n", "pos", "pos_all"))
+        gain = np.zeros(repeats)
+        for n, pos in _drawn_counts(part, repeats):
+            seen, found = np.cumsum(n, 0) + above, np.cumsum(pos, 0) + hits_above
+            gain += np.divide(pos * found, seen, out=np.zeros_like(seen), where=seen > 0).sum(0)
+            above, hits_above = seen[-1], found[-1]
+        return before.select(keys).append_column("gain", pa.array([gain])).append_column("positives", pa.array([positives]))
+
+    named = "country string, branch string"
+    sums = settle(placed.groupBy(*keys, "_slice").applyInArrow(totals, f"{named}, _slice int, n array<double>, pos array<double>"))
+    starts = sums.groupBy(*keys).applyInArrow(  # one row for each slice
+        offsets, f"{named}, _slice int, n array<double>, n_all array<double>, pos array<double>, pos_all array<double>"
+    )
+    parts = placed.groupBy(*keys, "_slice").cogroup(settle(starts).groupBy(*keys, "_slice")).applyInArrow(
+        precision, f"{named}, gain array<double>, positives array<double>"
     )
-    return drawn.join(placed.drop("size"), ["country", "stratum", "slot"]).select("repeat", "country", unit, "weight")
+    each = parts.select(*keys, F.posexplode(F.arrays_zip("gain", "positives")).alias("repeat", "v"))
+    summed = each.groupBy("repeat", *keys).agg(F.sum("v.gain").alias("gain"), F.max("v.positives").alias("positives"))
+    return summed.select("repeat", *keys, F.when(F.col("positives") > 0, F.col("gain") / F.col("positives")).alias("pr_auc"))
 
 
 def bootstrap_differences(
     df: DataFrame, unit: str, baseline: str, candidate: str, repeats: int, seed: int
 ) -> DataFrame:
     """Macro AP difference of two branches per repeat. ``df`` is long over both branches."""
-    both = df.where(F.col("branch").isin(baseline, candidate))
-    weights = resampled_weights(both.select("country", unit, LABEL).distinct() if unit == "block_id" else both, unit, repeats, seed)
-    # A hot block shrinks to its distinct scores before it meets its repeats.
-    weighted = score_cells(both, ["country", unit, "branch"]).join(weights, ["country", unit])
-    ap = ranking(weighted, ["repeat", "country", "branch"], ["pr_auc"], F.col("weight"))
+    both = settle(df.where(F.col("branch").isin(baseline, candidate)).select(*{"source_id", "country", unit, LABEL, "branch", "score"}))
+    ap = bootstrap_precision(both, unit, repeats, seed)
     deltas = country_deltas(ap, ["repeat", "country"], "pr_auc", baseline, candidate)
     return deltas.groupBy("repeat").agg(F.avg("delta").alias("difference"))
 

@@ -12,7 +12,8 @@ from emberfield.sources import bindings
 BRANCHES = ("compact_tabular", "visual")
 SEED_BRANCHES = ("compact_tabular", "visual", "guarded_cv_tabular")
 THRESHOLD = 0.55
-REPEATS = 25
+# Repeats of the paired, the block and the confirmation bootstrap.
+PAIRED_REPEATS, BLOCK_REPEATS, CONFIRM_REPEATS = 1000, 2000, 5000
 
 
 def _long_sql(frame, branches):
@@ -280,14 +281,14 @@ def j15(spark, folder):
     return ev.top_n_review(rows, 100, THRESHOLD).select("source_id", "country", "is_eog_flare", "score")
 
 
-def bootstrap_sql(unit, seed, frame="scores", baseline="compact_tabular", candidate="visual"):
+def bootstrap_sql(unit, seed, frame="scores", baseline="compact_tabular", candidate="visual", repeats=PAIRED_REPEATS):
     return f"""
 WITH units AS (SELECT country, {unit}, MAX(is_eog_flare) AS stratum FROM {frame} GROUP BY country, {unit}),
 placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY country, stratum ORDER BY {unit}) - 1 AS slot,
                   COUNT(*) OVER (PARTITION BY country, stratum) AS size FROM units),
 drawn AS (SELECT repeat, country, stratum, slot, COUNT(*) AS weight FROM (
   SELECT repeat, country, stratum, CAST('0x' || SUBSTR(MD5('{seed}:' || repeat || ':' || country || ':' || stratum || ':' || slot), 1, 15) AS BIGINT) % size AS slot
-  FROM placed, (SELECT UNNEST(RANGE({REPEATS})) AS repeat) r) GROUP BY ALL),
+  FROM placed, (SELECT UNNEST(RANGE({repeats})) AS repeat) r) GROUP BY ALL),
 weighted AS (SELECT d.repeat, d.weight, f.* FROM drawn d JOIN placed p USING (country, stratum, slot)
              JOIN {frame} f ON f.country = p.country AND f.{unit} = p.{unit}),
 walked AS ({curve_sql("repeat, country, branch", "weighted", "weight")}),
@@ -300,12 +301,12 @@ SELECT AVG(difference) AS mean, QUANTILE_CONT(difference, 0.025) AS lower_95, QU
 
 @query("j16_paired_bootstrap", bootstrap_sql("source_id", 42), "mean lower_95 upper_95")
 def j16(spark, folder):
-    return ev.paired_bootstrap(scores(spark, folder), "compact_tabular", "visual", REPEATS, 42)
+    return ev.paired_bootstrap(scores(spark, folder), "compact_tabular", "visual", PAIRED_REPEATS, 42)
 
 
-@query("j17_block_bootstrap", bootstrap_sql("block_id", 13014), "mean lower_95 upper_95")
+@query("j17_block_bootstrap", bootstrap_sql("block_id", 13014, repeats=BLOCK_REPEATS), "mean lower_95 upper_95")
 def j17(spark, folder):
-    return ev.block_bootstrap(scores(spark, folder), "compact_tabular", "visual", REPEATS, 13014)
+    return ev.block_bootstrap(scores(spark, folder), "compact_tabular", "visual", BLOCK_REPEATS, 13014)
 
 
 CTES["seed_deltas"] = """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from emberfield.operators import evaluation as ev
 from emberfield.operators import fusion, policy
 from emberfield.plans.evaluation_queries import (
-    AP, REPEATS, SEED_BRANCHES, THR, THRESHOLD, AUC, MACRO_F1, bootstrap_sql, budget_sql, confusion_sql, curve_sql,
+    AP, CONFIRM_REPEATS, PAIRED_REPEATS, SEED_BRANCHES, THR, THRESHOLD, AUC, MACRO_F1, bootstrap_sql, budget_sql, confusion_sql, curve_sql,
     scores, seed_scores, seed_metrics, FOUND, SITES_FOUND, BEST,
 )
 from emberfield.plans.feature_queries import percentile_sql
@@ -215,7 +215,7 @@ MAX(delta) FILTER (country = '{SENSITIVE}') AS sensitive, AVG(f1) AS macro_f1_de
 )
 def k10(spark, folder):
     rows = seed_scores(spark, folder).where(F.col("seed") == 272)
-    return policy.selection_guard(one_seed(spark, folder), rows, BASE, CANDIDATE, SENSITIVE, REPEATS, 42)
+    return policy.selection_guard(one_seed(spark, folder), rows, BASE, CANDIDATE, SENSITIVE, PAIRED_REPEATS, 42)
 
 
 CTES["population_scores"] = f"""
@@ -275,7 +275,7 @@ def ensemble_scores(spark, folder):
     "k12_acceptance",
     conditions_sql(
         f"""SELECT * FROM (SELECT {OBSERVED} FROM ({deltas_sql('ensemble_metrics')})),
-  (SELECT lower_95 FROM ({bootstrap_sql('block_id', 13014, 'ensemble_scores', BASE, CANDIDATE)})) b,
+  (SELECT lower_95 FROM ({bootstrap_sql('block_id', 13014, 'ensemble_scores', BASE, CANDIDATE, CONFIRM_REPEATS)})) b,
   (SELECT AVG(v.recall - b.recall) AS recall_delta, MIN(v.found - b.found) AS lost
    FROM (SELECT branch, country, COALESCE({FOUND}, 0) AS found, COALESCE({FOUND}, 0) / GREATEST(SUM(is_eog_flare), 1) AS recall FROM ensemble_budgeted WHERE review_fraction = 0.2 GROUP BY branch, country) b
    JOIN (SELECT branch, country, COALESCE({FOUND}, 0) AS found, COALESCE({FOUND}, 0) / GREATEST(SUM(is_eog_flare), 1) AS recall FROM ensemble_budgeted WHERE review_fraction = 0.2 GROUP BY branch, country) v
@@ -305,7 +305,7 @@ def k12(spark, folder):
         ev.full_metrics(rows, ["branch", "country"], THR),
         ev.review_budgets(rows, ["branch", "country"]),
         seeds,
-        ev.block_bootstrap(rows, BASE, CANDIDATE, REPEATS, 13014),
+        ev.block_bootstrap(rows, BASE, CANDIDATE, CONFIRM_REPEATS, 13014),
         ALPHA_OF_SEED,
         True,
         BASE,
