@@ -36,8 +36,26 @@ def lyndon_groups(text: bytes) -> tuple[list[int], list[int]]:
     before = [-1] * n
     end = n
     while end:
-        start = group[at[end - 1]]
-        members = sorted(at[start:end]) if end - start > 1 else at[start:end]
+        s = at[end - 1]
+        start = group[s]
+        if end - start == 1:  # most groups
+            p = s - 1
+            while p >= 0 and group[p] >= start:
+                p = before[p]
+            before[s] = p
+            end = start
+            if p >= 0:
+                g = group[p]
+                left = size[g] - 1
+                if left:
+                    last = g + left
+                    size[g] = left
+                    i, q = place[p], at[last]
+                    at[last], at[i] = p, q
+                    place[p], place[q] = last, i
+                    group[p], size[last] = last, 1
+            continue
+        members = sorted(at[start:end])
         grown = []
         for s in members:
             p = s - 1
