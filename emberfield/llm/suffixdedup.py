@@ -135,7 +135,13 @@ def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, context, d, g, at, size = (np.concatenate(p) for p in zip(*parts, strict=True))
         order = np.lexsort((at, g, d, context, anchor))
         columns = [c[order] for c in (anchor, context, d, g, at, size)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, _repeated(*columns[:5]))], schema=_SPOT)
+        again = _repeated(*columns[:5])
+        ranges = _joined(*(c[again] for c in columns[2:]))
+        # Covered ranges are dealt by document, so that a common anchor carries its open contexts only.
+        away = [ranges[0] ^ ranges[1] ^ ranges[2], np.zeros_like(ranges[0]), *ranges]
+        both = [np.append(c[~again], r) for c, r in zip(columns, away, strict=True)]
+        covered = np.repeat([False, True], [int((~again).sum()), len(ranges[0])])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*both, covered)], schema=_SPOT)
 
 
 def _repeated(anchor: np.ndarray, context: np.ndarray, *place: np.ndarray) -> np.ndarray:
@@ -145,6 +151,21 @@ def _repeated(anchor: np.ndarray, context: np.ndarray, *place: np.ndarray) -> np
     return same & np.logical_or.reduce([p != p[first] for p in place])
 
 
+def _joined(doc: np.ndarray, dig: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Ranges of each document that overlap or touch, as one."""
+    if not len(doc):
+        return [doc, dig, at, size]
+    order = np.lexsort((at, dig, doc))
+    doc, dig, at, end = doc[order], dig[order], at[order], (at + size)[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (dig[1:] != dig[:-1]))
+    run = np.cumsum(new)
+    high = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + run * high) - run * high  # farthest end so far in the same text
+    new |= np.append(True, at[1:] > reach[:-1])
+    lo = np.flatnonzero(new)
+    return [doc[lo], dig[lo], at[lo], np.maximum.reduceat(end, lo) - at[lo]]
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor, context and place: covered ones, and the first of each context of anchors with several.
 
