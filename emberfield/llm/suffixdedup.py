@@ -38,12 +38,13 @@ from emberfield.session import lookup, settle
 
 LENGTH, GRAM = 100, 32
 GRAMS = LENGTH - GRAM + 1
+HALF = (LENGTH - GRAM) // 2
 SEGMENT = 4 << 20
 """Bytes hashed at once; longer texts are read in overlapping segments."""
 
 PLACE_BITS = 23
-BLOCK = 1 << 17
-WIDE = 800
+BLOCK = 1 << 13
+WIDE = 400
 """Contexts of one anchor that a block can take."""
 
 LAST = (1 << 63) - 1
@@ -90,7 +91,12 @@ def contexts(raw: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, first byte, bytes, anchor hash, context hash) of every run of windows of the joined texts."""
+    """(text, first byte, bytes, anchor hash, context hash, anchor's place in the run, side hashes) of every run of windows of the joined texts.
+
+    Windows that match reach over the anchor by at least ``HALF`` bytes to the left or to
+    the right. The two halves of ``sides`` are hashes of these bytes on the left and on the
+    right, 0 where no window of the run reaches that far.
+    """
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     begins = ends - sizes
@@ -108,11 +114,17 @@ def _runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     mix = _mixed((size * 256 + (anchor - lo)).astype(np.uint64) * _odd[9])
     for i, at in enumerate((lo, lo + GRAM, lo + 2 * GRAM, hi - 3 * GRAM, hi - 2 * GRAM, hi - GRAM)):
         mix = _mixed(mix * _odd[10 + i % 6] + h[at])
-    return own, lo - begins[own], size, h[anchor].view(np.int64), mix.view(np.int64)
+    far = len(h) - 1
+    left = _mixed(h[np.maximum(anchor - HALF, 0)] * _odd[1] + h[np.maximum(anchor + GRAM - HALF, 0)] ^ h[anchor]) >> np.uint64(33) | np.uint64(1)
+    right = _mixed(h[np.minimum(anchor + GRAM, far)] * _odd[2] + h[np.minimum(anchor + HALF, far)] ^ h[anchor]) >> np.uint64(33) | np.uint64(1)
+    left = np.where(anchor - lo >= HALF, left, np.uint64(0))
+    right = np.where(hi - anchor >= GRAM + HALF, right, np.uint64(0))
+    sides = left << np.uint64(31) | right
+    return own, lo - begins[own], size, h[anchor].view(np.int64), mix.view(np.int64), anchor - lo, sides.view(np.int64)
 
 
-SPOT = "anchor long, context long, doc long, dig long, at long, size long, covered boolean"
-_SPOT = pa.schema([(c, pa.bool_() if c == "covered" else pa.int64()) for c in ("anchor", "context", "doc", "dig", "at", "size", "covered")])
+SPOT = "anchor long, context long, doc long, dig long, at long, size long, place long, sides long, covered boolean"
+_SPOT = pa.schema([(c.split()[0], pa.bool_() if c.endswith("boolean") else pa.int64()) for c in SPOT.split(", ")])
 
 
 def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,18 +139,19 @@ def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for base in range(0, len(text) - LENGTH + 1, SEGMENT - LENGTH + 1)
         ]
         for lo, hi in batches_by_size([s[2] for s in segments]):
-            own, at, size, anchor, context = _runs([s[2] for s in segments[lo:hi]])
+            own, at, size, anchor, context, place, sides = _runs([s[2] for s in segments[lo:hi]])
             of = np.array([s[0] for s in segments[lo:hi]])[own]
-            parts.append((anchor, context, doc[of], dig[of], at + np.array([s[1] for s in segments[lo:hi]])[own], size))
+            parts.append((anchor, context, doc[of], dig[of], at + np.array([s[1] for s in segments[lo:hi]])[own], size, place, sides))
         if not parts:
             continue
-        anchor, context, d, g, at, size = (np.concatenate(p) for p in zip(*parts, strict=True))
+        anchor, context, d, g, at, size, place, sides = (np.concatenate(p) for p in zip(*parts, strict=True))
         order = np.lexsort((at, g, d, context, anchor))
-        columns = [c[order] for c in (anchor, context, d, g, at, size)]
+        columns = [c[order] for c in (anchor, context, d, g, at, size, place, sides)]
         again = _repeated(*columns[:5])
-        ranges = _joined(*(c[again] for c in columns[2:]))
+        ranges = _joined(*(c[again] for c in columns[2:6]))
         # Covered ranges are dealt by document, so that a common anchor carries its open contexts only.
-        away = [ranges[0] ^ ranges[1] ^ ranges[2], np.zeros_like(ranges[0]), *ranges]
+        none = np.zeros_like(ranges[0])
+        away = [ranges[0] ^ ranges[1] ^ ranges[2], none, *ranges, none, none]
         both = [np.append(c[~again], r) for c, r in zip(columns, away, strict=True)]
         covered = np.repeat([False, True], [int((~again).sum()), len(ranges[0])])
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*both, covered)], schema=_SPOT)
@@ -169,7 +182,9 @@ def _joined(doc: np.ndarray, dig: np.ndarray, at: np.ndarray, size: np.ndarray)
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor, context and place: covered ones, and the first of each context of anchors with several.
 
-    One row is carried from batch to batch, so a very common anchor streams through.
+    Contexts that share neither side with another of their anchor hold no equal windows and
+    are left out; those that share one side lose the bytes that only the other one needs.
+    Anchors that go on in another batch are passed on whole. One row is carried from batch to batch, so a very common anchor streams through.
     """
     held = None  # first row of the current anchor while it has one context
     last = None  # (anchor, context, doc, dig, at) of the current context's first row
@@ -178,12 +193,11 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in _SPOT.names]
         if not len(columns[0]):
             continue
-        n = len(columns[0])
-        live = ~columns[6]
+        live = ~columns[8]
         idx = np.flatnonzero(live)
         anchor, context = columns[0][idx], columns[1][idx]
         place = [columns[k][idx] for k in (2, 3, 4)]
-        out = [np.flatnonzero(columns[6])]
+        out = [np.flatnonzero(columns[8])]
         flags = [np.ones(len(out[0]), bool)]
         extra = []
         if len(idx):
@@ -205,6 +219,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 wanted = heads[joins | follows]
                 out.append(idx[wanted])
                 flags.append(np.zeros(len(wanted), bool))
+                across = (a == a[-1]) | ((a == last[0]) if last is not None else False)
+                loose = idx[heads[across]]
                 if joins[0] and held is not None and not several:
                     extra.append(held)
                 tail = heads[-1]
@@ -212,11 +228,33 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = [c[idx[tail]] for c in columns]
                 last = (anchor[tail], context[tail], *(p[tail] for p in place))
         take, flag = np.concatenate(out), np.concatenate(flags)
-        made = [c[take] for c in columns[:6]] + [flag]
+        made = [c[take] for c in columns[:8]] + [flag]
+        whole = np.isin(take, loose) if len(idx) and len(heads) else np.zeros(len(take), bool)
         for row in extra:
-            made = [np.append(m, v) for m, v in zip(made, [*row[:6], False], strict=True)]
-        assert n >= len(take)
-        yield pa.RecordBatch.from_arrays([pa.array(m) for m in made], schema=_SPOT)
+            made = [np.append(m, v) for m, v in zip(made, [*row[:8], False], strict=True)]
+            whole = np.append(whole, True)
+        yield pa.RecordBatch.from_arrays([pa.array(m) for m in _narrowed(made, whole)], schema=_SPOT)
+
+
+def _narrowed(columns: list[np.ndarray], whole: np.ndarray) -> list[np.ndarray]:
+    """Contexts cut to the windows that can match another context of their anchor; others and ``whole`` ones as they are."""
+    anchor, at, size, place, sides, covered = (columns[k] for k in (0, 4, 5, 6, 7, 8))
+    open_ = np.flatnonzero(~covered & ~whole)
+    shared = []
+    for side in (sides[open_] >> 31, sides[open_] & (1 << 31) - 1):
+        key = np.stack([anchor[open_], side], axis=1)
+        _, where, times = np.unique(key, axis=0, return_inverse=True, return_counts=True) if len(key) else (None, np.zeros(0, int), np.zeros(0, int))
+        shared.append((side > 0) & (times[where.ravel()] > 1))
+    left, right = shared
+    lo, hi = at[open_], at[open_] + size[open_]
+    spot = lo + place[open_]
+    lo = np.where(left, lo, np.maximum(lo, spot - HALF + 1))
+    hi = np.where(right, hi, np.minimum(hi, spot + GRAM + HALF - 1))
+    columns = [c.copy() for c in columns]
+    columns[4][open_], columns[5][open_] = lo, hi - lo
+    keep = np.ones(len(anchor), bool)
+    keep[open_] = (left | right) & (hi - lo >= LENGTH)
+    return [c[keep] for c in columns]
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
