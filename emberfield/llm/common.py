@@ -61,13 +61,19 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def map_texts(
-    df: DataFrame, text: str, function: Callable[[list[bytes]], dict[str, list]], fields: str, limit: int = CHUNK_BYTES
+    df: DataFrame,
+    text: str,
+    function: Callable[[list[bytes]], dict[str, list]],
+    fields: str,
+    limit: int = CHUNK_BYTES,
+    keep_text: bool = True,
 ) -> tuple[DataFrame, str]:
     """``df`` with one more struct column, made from the UTF-8 bytes of whole texts in Arrow batches.
 
     ``function`` gets texts of about ``limit`` bytes in all (NULL: empty) and returns a value per
     text for each of ``fields`` (DDL). Returns the column's name too; as it is a fresh
-    one, no column of ``df`` can clash with what the operator makes.
+    one, no column of ``df`` can clash with what the operator makes. Without ``keep_text``
+    the text itself is left out, and crosses to Python once instead of twice.
     """
     made, raw = StructType.fromDDL(fields), free_name(df, "_bytes")
     name = free_name(df, "_made")
@@ -83,8 +89,10 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for _, c in kept), added], names=[*(n for n, _ in kept), name])
 
     given = df.withColumn(raw, F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    schema = StructType([*df.schema.fields, StructField(name, made)])
-    return given.mapInArrow(run, schema), name
+    if not keep_text:
+        given = given.drop(text)
+    fields_kept = [f for f in df.schema.fields if keep_text or f.name != text]
+    return given.mapInArrow(run, StructType([*fields_kept, StructField(name, made)])), name
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -33,7 +33,7 @@ from emberfield.llm.common import map_texts
 
 FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 """Text encoded at once: a sweep over the ranks costs the same for a small batch as for a large one."""
 
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -160,6 +160,7 @@ class PairBPE:
         inner: dict[str, int] = {}
         made = [[inner.setdefault(p, len(inner)) for p in self.pieces(w)] for w in words]
         ids, starts = self.encode_pieces([p.encode() for p in inner])
+        ids = ids.astype(np.int32)
         counts = np.diff(starts)
         flat = np.fromiter((p for m in made for p in m), np.int64)
         word_ids = gather(ids, starts, flat)
@@ -223,6 +224,6 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> tuple[Da
     return map_texts(docs, text, _ids(path), "ids array<int>", BATCH_BYTES)
 
 
-def encode_digests(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, str]:
+def encode_digests(docs: DataFrame, path: str, text: str = "text", keep_text: bool = True) -> tuple[DataFrame, str]:
     """``docs`` with a struct of token count and digests of ids and decoded text, and its name."""
-    return map_texts(docs, text, _digests(path), FIELDS, BATCH_BYTES)
+    return map_texts(docs, text, _digests(path), FIELDS, BATCH_BYTES, keep_text)

@@ -164,7 +164,7 @@ def counter(path: str) -> PrefixCounter:
         return _counter(path)
 
 
-def count_documents(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text") -> tuple[DataFrame, str]:
+def count_documents(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text", keep_text: bool = True) -> tuple[DataFrame, str]:
     """``docs`` with a struct of ``FIELDS``, and its name; fit_chars is where a cut to ``limit`` tokens falls."""
 
     def run(texts: list[bytes]) -> dict[str, list]:
@@ -178,7 +178,7 @@ def count_documents(docs: DataFrame, path: str, limit: int = LIMIT, text: str =
             "fit_chars": [table.fit(t, limit) if n > limit else len(t) for t, n in zip(whole, counts, strict=True)],
         }
 
-    return map_texts(docs, text, run, FIELDS)
+    return map_texts(docs, text, run, FIELDS, keep_text=keep_text)
 
 
 def prefix_tables(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, str]:

@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0, most: int = FIT_DOCUM
     marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     drawn = marked.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
     chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most ``most`` narrow rows
-    made, name = map_texts(chosen.select("doc_id", "quality", "text"), "text", _training_lines, "n long, features array<double>")
+    made, name = map_texts(chosen.select("doc_id", "quality", "text"), "text", _training_lines, "n long, features array<double>", keep_text=False)
     rows = made.select("doc_id", "quality", f"{name}.*").where("n > 0").orderBy("doc_id", "features").limit(2 * most).collect()
     kinds = [r.quality for r in rows]
     if len(set(kinds)) < LABELS:
@@ -225,6 +225,6 @@ def judge_texts(field: Field | None):
     return run
 
 
-def judge(docs: DataFrame, field: Field | None, text: str = "text") -> tuple[DataFrame, str]:
+def judge(docs: DataFrame, field: Field | None, text: str = "text", keep_text: bool = True) -> tuple[DataFrame, str]:
     """``docs`` with a struct column of ``FIELDS``, and its name."""
-    return map_texts(docs, text, judge_texts(field), FIELDS)
+    return map_texts(docs, text, judge_texts(field), FIELDS, keep_text=keep_text)

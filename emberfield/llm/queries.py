@@ -47,7 +47,7 @@ def op2(spark, folder):
 def op7(spark, folder):
     """All documents judged by base rules and labelled lines."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    judged, name = quality.judge(docs, quality.fit(docs, table(spark, folder, "labels")))
+    judged, name = quality.judge(docs, quality.fit(docs, table(spark, folder, "labels")), keep_text=False)
     return judged.select("doc_id", f"{name}.*")
 
 
@@ -70,7 +70,7 @@ def op6(spark, folder):
 def op8(spark, folder):
     """All documents encoded and decoded with the byte-level vocabulary."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    encoded, name = pairbpe.encode_digests(docs, vocabulary("byte_bpe_50k.json"))
+    encoded, name = pairbpe.encode_digests(docs, vocabulary("byte_bpe_50k.json"), keep_text=False)
     return encoded.select("doc_id", f"{name}.*")
 
 
@@ -78,7 +78,7 @@ def op8(spark, folder):
 def op5(spark, folder):
     """Token counts of all documents, and where a cut to the limit falls."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    counted, name = prefixcount.count_documents(docs, vocabulary("piece_bpe_32k.model"))
+    counted, name = prefixcount.count_documents(docs, vocabulary("piece_bpe_32k.model"), keep_text=False)
     return counted.select("doc_id", f"{name}.*")
 
 

@@ -76,9 +76,9 @@ def _codes(texts: list[bytes]) -> dict[str, list]:
     return {"code": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}
 
 
-def with_code(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+def with_code(docs: DataFrame, text: str = "text", keep_text: bool = True) -> tuple[DataFrame, str]:
     """``docs`` with a struct column holding the fingerprint as a signed long, and its name."""
-    return map_texts(docs, text, _codes, "code long")
+    return map_texts(docs, text, _codes, "code long", keep_text=keep_text)
 
 
 # --- index -----------------------------------------------------------------------------
@@ -251,7 +251,7 @@ def components(coded: DataFrame, code: Column, order: Column) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, code, component_id) of every row."""
-    coded, name = with_code(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    coded, name = with_code(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep_text=False)
     coded = settle(coded.select("doc_id", F.col(f"{name}.code").alias("code")))
     found = lookup(components(coded, F.col("code"), F.col("doc_id")))
     return coded.join(found, "code").select("doc_id", "code", F.col("first").alias("component_id"))

@@ -63,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    encoded, name = pairbpe.encode_digests(docs.select("doc_id", "source", "text"), vocabulary("byte_bpe_50k.json"))
+    encoded, name = pairbpe.encode_digests(docs.select("doc_id", "source", "text"), vocabulary("byte_bpe_50k.json"), keep_text=False)
     return encoded.select("doc_id", "source", f"{name}.*")
 
 
