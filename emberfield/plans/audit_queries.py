@@ -66,9 +66,8 @@ def typed_summary(df):
     )
 
 
-@query("a1_read_detections", TYPED, "t_mir")
-def a1(spark, folder):
-    """Write raw CSVs in the instrument layout, then read them through the typed reader."""
+def written_files(spark, folder):
+    """Raw CSVs in the instrument layout, one name for each prefix, year and country; returns their folder."""
     root = scratch(spark)
     for bands in (ingest.MODIS_BANDS, ingest.VIIRS_BANDS):
         raw = raw_files(spark, folder, bands)
@@ -79,7 +78,13 @@ def a1(spark, folder):
                 .write.partitionBy("file").option("header", True).csv(f"{root}/{name}")
             )
             name_files(spark, f"{root}/{name}")
-    return typed_summary(ingest.read_detections(spark, root))
+    return root
+
+
+@query("a1_read_detections", TYPED, "t_mir")
+def a1(spark, folder):
+    """Write raw CSVs, then read them through the typed reader."""
+    return typed_summary(ingest.read_detections(spark, written_files(spark, folder)))
 
 
 @query("a2_unify_sensor_schemas", "SELECT sensor, COUNT(*) AS n, AVG(t_mir) AS t_mir, AVG(t_lwir) AS t_lwir FROM detections GROUP BY sensor", "t_mir t_lwir", digits=3)

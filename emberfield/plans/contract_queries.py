@@ -28,10 +28,22 @@ def l1(spark, folder):
     return contracts.table_fingerprint(bindings.predictions(spark, folder), PANEL, ["country"])
 
 
-@query("l1_detection_fingerprint", fingerprint_sql("detections", ["acq_date", "acq_time", "sensor", "country", "confidence"], "sensor"))
+NUMBERS = ["latitude", "longitude", "t_mir", "t_lwir", "frp", "scan", "track"]
+OTHERS = ["acq_date", "acq_time", "daynight", "sensor", "confidence", "type", "country", "year"]
+MICRO = 1_000_000
+"""Numbers enter a fingerprint as whole millionths: engines print doubles differently."""
+
+
+@query(
+    "l1_detection_fingerprint",
+    fingerprint_sql(
+        f"(SELECT * REPLACE ({', '.join(f'CAST(ROUND({c} * {MICRO}) AS BIGINT) AS {c}' for c in NUMBERS)}) FROM detections)", NUMBERS + OTHERS, "sensor"
+    ),
+)
 def l1_detections(spark, folder):
-    columns = ["acq_date", "acq_time", "sensor", "country", "confidence"]
-    return contracts.table_fingerprint(bindings.detections(spark, folder), columns, ["sensor"])
+    """All columns of all detections."""
+    whole = bindings.detections(spark, folder).withColumns({c: F.round(F.col(c) * MICRO).cast("bigint") for c in NUMBERS})
+    return contracts.table_fingerprint(whole, NUMBERS + OTHERS, ["sensor"])
 
 
 @query(

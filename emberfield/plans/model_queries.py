@@ -12,11 +12,13 @@ from emberfield.plans.audit_queries import scratch
 from emberfield.plans.evaluation_queries import confusion_sql, scores
 from emberfield.plans.feature_queries import labelled_window, located_window
 from emberfield.plans.registry import CTES, query
-from emberfield.session import settle
+from emberfield.plans.sampling_queries import CTES as _FOLD_TABLES  # noqa: F401  registers fold_blocks first
+from emberfield.session import settle, with_row
 from emberfield.sources import bindings, ingest
 
 COLUMNS = list(ft.THERMAL_RAW)
 WIDTH, VIEWS = 32, 2
+PROTOCOL = "grouped-nested"
 
 
 def panel(spark, folder):
@@ -141,20 +143,49 @@ def i8(spark, folder):
 def i9(spark, folder):
     rows = settle(vectors(spark, folder))
     held = F.col("country") == bindings.HOLDOUT
-    return md.visual_pu_score(["aux_value"], 12, bags=3, width=WIDTH, views=VIEWS)(rows.where(~held), rows.where(held))
+    return md.visual_pu_score(["aux_value"], 12, width=WIDTH, views=VIEWS)(rows.where(~held), rows.where(held))
 
 
 @query("i10_frozen_score")
 def i10(spark, folder):
     train, test = split(spark, folder)
-    model = md.fit_tabular(train, COLUMNS, md.logistic())
-    return md.frozen_score(model, test, COLUMNS, 0.5, bindings.HOLDOUT)
+    place = scratch(spark)
+    md.freeze(md.fit_tabular(train, COLUMNS, md.logistic()), place, COLUMNS, 0.5, PROTOCOL, bindings.HOLDOUT)
+    model, columns, threshold = md.thaw(spark, place, PROTOCOL, bindings.HOLDOUT)
+    return md.frozen_score(model, test, columns, threshold, bindings.HOLDOUT)
+
+
+SIDES = """
+SELECT fold, COUNT(*) AS n_test, (SELECT COUNT(*) FROM folded) - COUNT(*) AS n_train, SUM(is_eog_flare) AS positives_test,
+  (SELECT SUM(is_eog_flare) FROM folded) - SUM(is_eog_flare) AS positives_train, 0 AS shared_blocks, 0 AS unsound_scores, 0 AS repeated_sources
+FROM (SELECT source_id, block_id, is_eog_flare, fold FROM predictions JOIN fold_blocks USING (block_id)) AS folded GROUP BY fold"""
+
+
+@query("i8_fold_sides", SIDES.replace("FROM folded", "FROM (SELECT source_id, block_id, is_eog_flare, fold FROM predictions JOIN fold_blocks USING (block_id))"))
+def i8_sides(spark, folder):
+    """What each fold's fit and score saw: sizes and classes of both sides, blocks on both, scores that are no probability."""
+    grouped = settle(folds.grouped_folds(bindings.predictions(spark, folder), 5))
+    columns = ["score_compact_tabular", "score_visual"]
+    scored = settle(md.oof_predict(grouped, "fold", md.logistic_score(columns), range(5)))
+    folds_of = grouped.groupBy("block_id").agg(F.count_distinct("fold").alias("k"))
+    own = scored.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_test"), F.sum("is_eog_flare").alias("positives_test"),
+        F.count_if(~F.col("score").between(0, 1) | F.col("score").isNull()).alias("unsound_scores"),
+        (F.count(F.lit(1)) - F.count_distinct("source_id")).alias("repeated_sources"),
+    )
+    shared = grouped.join(folds_of.where("k > 1"), "block_id").groupBy("fold").agg(F.count_distinct("block_id").alias("shared_blocks"))
+    whole = grouped.agg(F.count(F.lit(1)).alias("_n"), F.sum("is_eog_flare").alias("_p"))
+    return with_row(own, whole).join(shared, "fold", "left").select(
+        "fold", "n_test", (F.col("_n") - F.col("n_test")).alias("n_train"), "positives_test",
+        (F.col("_p") - F.col("positives_test")).alias("positives_train"), F.coalesce("shared_blocks", F.lit(0)).alias("shared_blocks"),
+        "unsound_scores", "repeated_sources",
+    )
 
 
 @query("i11_feature_importance")
 def i11(spark, folder):
     train, _ = split(spark, folder)
-    fits = [md.fit_tabular(train, COLUMNS, md.gbt(seed, rounds=5)) for seed in (17, 118)]
+    fits = [md.fit_tabular(train, COLUMNS, md.gbt(seed, rounds=5)) for seed in (17, 118, 219)]
     return md.feature_importance(fits, train)
 
 
@@ -162,7 +193,7 @@ def i11(spark, folder):
 def k18_training(spark, folder):
     """Weighting variants trained out of fold, then selected on macro F1."""
     train, _ = split(spark, folder)
-    grouped = settle(folds.grouped_folds(train, 2))
+    grouped = settle(folds.grouped_folds(train, 3))
     parts = None
     for name, alpha, balance in (("unweighted", 0.0, False), ("site_balanced", 0.0, True), ("equal_country_site", 1.0, True)):
 
@@ -170,7 +201,7 @@ def k18_training(spark, folder):
             weighted = settle(folds.sample_weights(fit, alpha, balance))
             return md.logistic_score(COLUMNS, "weight")(weighted, held)
 
-        scored = md.oof_predict(grouped, "fold", fit_predict, range(2)).select(
+        scored = md.oof_predict(grouped, "fold", fit_predict, range(3)).select(
             "source_id", "country", "is_eog_flare", "eog_flare_id", F.lit(name).alias("branch"), "score"
         )
         scored = settle(scored)
@@ -182,7 +213,7 @@ def k18_training(spark, folder):
 def k19(spark, folder):
     """Metrics of every country judged by a threshold learned without it."""
     train, _ = split(spark, folder)
-    scored = md.nested_loco(train, md.logistic_score(COLUMNS), inner_folds=2)
+    scored = md.nested_loco(train, md.logistic_score(COLUMNS))
     return ev.country_metrics(scored, ["country"], F.col("threshold"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberfield.plans.audit_queries import TYPED, typed_summary
+from emberfield.plans.audit_queries import TYPED, typed_summary, written_files
 from emberfield.plans.registry import query
 from emberfield.sources import bindings
 from emberfield.streaming import detections as st
@@ -27,6 +27,16 @@ def m1(spark, folder):
     return typed_summary(spark.read.parquet(target))
 
 
+@query("m1_stream_files", TYPED, "t_mir")
+def m1_files(spark, folder):
+    """Stream raw CSV files in several batches, restart without repeats, then read the table back."""
+    root, progress = written_files(spark, folder), st.progress_folder(spark)
+    target = f"{progress}-table"
+    for _ in range(2):
+        st.stream_files(spark, root, target, progress, files_a_batch=16)
+    return typed_summary(spark.read.parquet(target))
+
+
 @query(
     "m2_stream_source_months",
     """
