@@ -66,8 +66,10 @@ class PrefixCounter:
         self.pieces = {p for p in self.score if self.merged(p) == [p]}
         self.longest = max(map(len, self.score))
         self.stays = Kept(lambda pair: self.merged(pair[0] + pair[1]) == [*pair])
-        self.chunk = Kept(lambda c: self.table(c)[-1])
-        self.word = Kept(self._word)
+        self.joined = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        self.segment = Kept(lambda c: self.table(c)[-1])
+        self.chunk = Kept(self._whole)
+        self.word = Kept(lambda w: self._whole(SPACE + w))
 
     def merged(self, text: str) -> list[str]:
         """Plain merging of a short string: best score first, leftmost on ties."""
@@ -99,12 +101,15 @@ class PrefixCounter:
                 last.append("")
         return counts
 
-    def _word(self, word: str) -> int:
-        """Tokens of a word with the space mark before it."""
-        if "\n" not in self.score:
-            first, *rest = word.split("\n")
-            return self.chunk[SPACE + first] + sum(1 + self.chunk[r] for r in rest)
-        return self.chunk[SPACE + word]
+    def _whole(self, chunk: str) -> int:
+        """Tokens of a chunk, by its segments: no piece reaches over two characters that no piece has side by side."""
+        total = low = 0
+        joined = self.joined
+        for i in range(1, len(chunk)):
+            if chunk[i - 1 : i + 1] not in joined:
+                total += self.segment[chunk[low:i]]
+                low = i
+        return total + self.segment[chunk[low:]]
 
     def chunks(self, text: str) -> list[str]:
         """Chunks of the marked text, each a run of space marks and what follows."""
