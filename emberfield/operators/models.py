@@ -10,9 +10,10 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberfield.functions.columns import is_score
 from emberfield.operators import evaluation as ev
 from emberfield.operators import folds
 from emberfield.operators.contracts import forbid_leakage, violations
@@ -24,6 +25,7 @@ LABEL = "is_eog_flare"
 RULE_DAYS, RULE_ENTROPY = (5, 10, 30, 60), (0.0, 0.5, 0.7)
 TREE_ROWS, TREE_DRAWS = 256, 2.0
 MOST_FOLDS = 200
+MANIFEST = "protocol string, features array<string>, threshold double, holdout string, holdout_seen boolean"
 
 
 def persistence_rule(df: DataFrame) -> DataFrame:
@@ -335,12 +337,42 @@ def oof_predict(df: DataFrame, fold: str, fit_predict: FitPredict, values: Seque
     return frame.join(out, "source_id")
 
 
-def frozen_score(model: PipelineModel, df: DataFrame, columns: Sequence[str], threshold: float, country: str) -> DataFrame:
-    """Validate, score, flag and rank one untouched country with a frozen model."""
+def freeze(model: PipelineModel, folder: str, columns: Sequence[str], threshold: float, protocol: str, holdout: str) -> None:
+    """Save a fitted model beside a manifest: protocol, features in order, threshold, untouched hold-out."""
+    model.write().overwrite().save(f"{folder}/model")
+    spark = SparkSession.active()
+    row = (protocol, list(columns), float(threshold), holdout, False)
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+
+
+def thaw(spark: SparkSession, folder: str, protocol: str, holdout: str) -> tuple[PipelineModel, list[str], float]:
+    """Model, features and threshold of a frozen folder, refused unless its manifest fits."""
+    rows = spark.read.schema(MANIFEST).json(f"{folder}/manifest").limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("the manifest is not one row")
+    manifest = rows[0]
+    if manifest.protocol != protocol:
+        raise ValueError(f"frozen under protocol {manifest.protocol}, wanted {protocol}")
+    if manifest.holdout != holdout or manifest.holdout_seen is not False:
+        raise ValueError(f"{holdout} is not documented as an untouched hold-out")
+    check_frozen(manifest.features or [], manifest.threshold)
+    model = PipelineModel.load(f"{folder}/model")
+    used = {c.removesuffix("_filled").removesuffix("_missing") for c in model.stages[-2].getInputCols()}
+    if not used <= set(manifest.features):
+        raise ValueError(f"the model uses features that the manifest lacks: {sorted(used - set(manifest.features))}")
+    return model, list(manifest.features), manifest.threshold
+
+
+def check_frozen(columns: Sequence[str], threshold: float | None) -> None:
     if not columns or len(columns) != len(set(columns)) or set(columns) & BLOCKED:
         raise ValueError("feature list is empty, duplicated or leaking")
-    if not 0 <= threshold <= 1:
+    if threshold is None or not 0 <= threshold <= 1:
         raise ValueError("threshold must be in [0, 1]")
+
+
+def frozen_score(model: PipelineModel, df: DataFrame, columns: Sequence[str], threshold: float, country: str) -> DataFrame:
+    """Validate, score, flag and rank one untouched country with a frozen model."""
+    check_frozen(columns, threshold)
     missing = set(columns) - set(df.columns)
     if missing:
         raise ValueError(f"columns missing: {sorted(missing)}")
@@ -354,6 +386,9 @@ def frozen_score(model: PipelineModel, df: DataFrame, columns: Sequence[str], th
     scored = df.select("source_id", "block_id", "country", "lat", "lon", LABEL, "eog_flare_id").join(
         apply_model(model, df, columns), "source_id"
     )
+    sound = is_score(F.col("score")) & F.col("score").between(0, 1)
+    refused = F.raise_error(F.lit("the model gave a score outside [0, 1]")).cast("double")
+    scored = scored.withColumn("score", F.when(sound, F.col("score")).otherwise(refused))
     ranked = row_numbers(scored, [], [F.col("score").desc(), F.col("source_id")], "score_rank").drop("score_rank_group")
     return ranked.withColumn("predicted", F.col("score") >= threshold)
 

@@ -91,13 +91,14 @@ def name_parts(path) -> dict:
     }
 
 
-def read_detections(spark: SparkSession, root: str, folders: Sequence[str] = tuple(SENSOR_OF_FOLDER)) -> DataFrame:
-    """All instrument folders under ``root`` in the common typed schema."""
+def read_detections(spark: SparkSession, root: str, folders: Sequence[str] = tuple(SENSOR_OF_FOLDER), files_a_batch: int | None = None) -> DataFrame:
+    """All instrument folders under ``root`` in the common typed schema; a stream of them if ``files_a_batch`` is given."""
     parts = []
     for folder in folders:
         bands = MODIS_BANDS if folder == "modis" else VIIRS_BANDS
+        reader = spark.readStream.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else spark.read
         raw = (
-            spark.read.schema(raw_schema(bands))
+            reader.schema(raw_schema(bands))
             .option("header", True)
             .option("enforceSchema", False)
             .option("recursiveFileLookup", True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberfield.session import scratch_folder
-from emberfield.sources.ingest import PARTITIONS, normalise_types
+from emberfield.sources.ingest import PARTITIONS, normalise_types, read_detections
 
 
 def progress_folder(spark: SparkSession) -> str:
@@ -35,6 +35,14 @@ def stream_ingest(raw: DataFrame, target: str, progress: str) -> None:
     run_available(normalise_types(raw), target, progress, PARTITIONS)
 
 
+def stream_files(spark: SparkSession, root: str, target: str, progress: str, files_a_batch: int = 32) -> None:
+    """Raw CSV files of all instrument folders, named, unified and typed as in batch, appended as they arrive.
+
+    Files already taken, by this or an earlier run with the same progress folder, are not taken again.
+    """
+    run_available(read_detections(spark, root, files_a_batch=files_a_batch), target, progress, PARTITIONS)
+
+
 def source_days(
     stream: DataFrame, time: str, source: str, value: str, identity: list[str], delay: str = "2 days"
 ) -> DataFrame:
