@@ -58,7 +58,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(units, order=("doc_id", "row")).where("copies > 0")
     copies = free_name(docs, "_copies")
     taken = mixed.select(F.col("row").alias(row), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias(copies))
-    return numbered.join(taken, row).withColumn(copies, F.explode(copies)).select(*_columns(docs))
+    # The copies of all documents are as long as the table: a join by row number at any size.
+    return numbered.join(taken.hint("merge"), row).withColumn(copies, F.explode(copies)).select(*_columns(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
