@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import linespread, mixing, pairbpe, quality, simhash
+from emberfield.llm import linespread, mixing, neardup, pairbpe, quality, simhash
 from emberfield.llm.common import free_name, table, vocabulary, word_count
 from emberfield.session import lookup, settle
 
@@ -50,6 +50,16 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return coded.join(lookup(first), row, "left_semi").select(*_columns(docs))
 
 
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every component linked at five-word Jaccard similarity 0.8."""
+    row = free_name(docs, "_row")
+    signed, name = neardup.with_signature(docs.withColumn(row, F.monotonically_increasing_id()))
+    signed = settle(signed)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col(row))
+    first = neardup.components(signed, name, row, order)
+    return signed.join(first.hint("merge"), row, "left_semi").select(*_columns(docs))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix to the source targets takes them: not at all, once or more."""
     row = free_name(docs, "_row")
@@ -72,6 +82,7 @@ STAGES = [
     ("quality rules", keep_quality),
     ("line dedup", drop_boilerplate),
     ("SimHash near-dedup", keep_one_of_each),
+    ("Jaccard near-dedup", keep_one_of_similar),
     ("source mixing", mix_sources),
     ("BPE encoding", encode),
 ]
