@@ -11,7 +11,7 @@ from emberfield.plans.evaluation_queries import (
     scores, seed_scores, seed_metrics, FOUND, SITES_FOUND, BEST,
 )
 from emberfield.plans.feature_queries import percentile_sql
-from emberfield.plans.registry import CTES, query
+from emberfield.plans.registry import CTES, DOUBLES, PLAIN, query
 from emberfield.session import lookup, with_row
 from emberfield.sources import bindings
 
@@ -425,3 +425,54 @@ SELECT * EXCLUDE (eligible) FROM ({pick_sql("", "branch", "macro_f1 DESC, macro_
 )
 def k18(spark, folder):
     return policy.variant_selection(seed_scores(spark, folder).where(F.col("seed") == 272))
+
+
+PER_SEED = ("k7_choose_candidate", "k8_global_selection", "k9_choose_branch", "k10_selection_guard", "k13_transfer_decision", "k18_variant_selection")
+
+
+def chosen_from(rows, metrics):
+    """What each query of ``PER_SEED`` makes of the scores and the metrics of one seed."""
+    return {
+        "k7_choose_candidate": lambda: policy.choose_candidate(metrics, BASE, 3, 0.03),
+        "k8_global_selection": lambda: policy.global_selection(metrics, BASE),
+        "k9_choose_branch": lambda: policy.choose_branch(rows),
+        "k10_selection_guard": lambda: policy.selection_guard(metrics, rows, BASE, CANDIDATE, SENSITIVE, PAIRED_REPEATS, 42),
+        "k13_transfer_decision": lambda: policy.transfer_decision(
+            ev.average_precision(rows, ["branch"]), ev.review_budgets(rows, ["branch"]), BASE, CANDIDATE
+        ),
+        "k18_variant_selection": lambda: policy.variant_selection(rows),
+    }
+
+
+def every_seed(name):
+    """The query's result for each seed, the seed before it; rows of all seeds are read."""
+
+    def run(spark, folder):
+        scored, measured, parts = seed_scores(spark, folder), seed_metrics(spark, folder), None
+        for seed in bindings.SEEDS:
+            own = F.col("seed") == seed
+            part = chosen_from(scored.where(own), measured.where(own))[name]()
+            part = part.select(F.lit(seed).alias("seed"), *part.columns)
+            parts = part if parts is None else parts.unionByName(part)
+        return parts
+
+    return run
+
+
+for _seed in bindings.SEEDS:
+    CTES[f"seed{_seed}_metrics"] = f"SELECT * FROM seed_metrics WHERE seed = {_seed}"
+    CTES[f"seed{_seed}_scores"] = f"SELECT * FROM seed_scores WHERE seed = {_seed}"
+    CTES[f"seed{_seed}_f1"] = MACRO_F1.format(keys="branch", qualified="branch", frame=f"seed{_seed}_scores")
+    CTES[f"seed{_seed}_pooled_budgeted"] = budget_sql("branch", f"seed{_seed}_scores", ev.BUDGETS)
+    CTES[f"seed{_seed}_pooled_curve"] = curve_sql("branch", f"seed{_seed}_scores")
+
+
+def every_seed_sql(name):
+    """The one-seed SQL over the tables of each seed."""
+    one = PLAIN[name]
+    parts = [one.replace("one_seed_", f"seed{s}_").replace("pooled_", f"seed{s}_pooled_") for s in bindings.SEEDS]
+    return " UNION ALL ".join(f"SELECT {s} AS seed, * FROM ({part})" for s, part in zip(bindings.SEEDS, parts, strict=True))
+
+
+for _name in PER_SEED:
+    query(f"{_name}_seeds", every_seed_sql(_name), DOUBLES[_name])(every_seed(_name))

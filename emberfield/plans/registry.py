@@ -22,6 +22,9 @@ data, do not sit on a rounding edge where the last bit of a sum decides."""
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+PLAIN: dict[str, str] = {}
+"""Oracles as written, without their tables, and the columns each rounds."""
+DOUBLES: dict[str, str] = {}
 
 CTES: dict[str, str] = {
     "detections": bindings.DETECTIONS,
@@ -70,6 +73,7 @@ def query(name: str, oracle: str | None = None, doubles: str = "", digits: int =
         QUERIES[name] = run
         if oracle:
             rounds = ", ".join(f"ROUND(CAST({c} AS DOUBLE) + {SHIFT:.12f}, {digits}) + 0.0 AS {c}" for c in doubles.split())
+            PLAIN[name], DOUBLES[name] = oracle.strip(), doubles
             pick = f"* REPLACE ({rounds})" if rounds else "*"
             ORACLES[name] = with_ctes(f"SELECT {pick} FROM (\n{oracle.strip()}\n) AS answer")
         return function
