@@ -89,7 +89,7 @@ def i4_weighted(spark, folder):
 @query("i5_pu_gbt_score")
 def i5(spark, folder):
     train, test = split(spark, folder)
-    return md.pu_gbt_score(COLUMNS, bags=3, ratio=2, rounds=5)(train, test)
+    return md.pu_gbt_score(COLUMNS, bags=3, rounds=5)(train, test)
 
 
 @query("i6_seed_ensemble")
