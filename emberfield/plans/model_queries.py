@@ -76,26 +76,26 @@ def i3(spark, folder):
 @query("i4_gbt_score")
 def i4(spark, folder):
     train, test = split(spark, folder)
-    return md.gbt_score(COLUMNS, rounds=8)(train, test)
+    return md.gbt_score(COLUMNS)(train, test)
 
 
 @query("i4_weighted_gbt_score")
 def i4_weighted(spark, folder):
     """Trees weighted by country balance and equal site mass, from training rows only."""
     train, test = split(spark, folder)
-    return md.gbt_score(COLUMNS, rounds=8, weight="weight")(settle(folds.sample_weights(train, 0.5, True)), test)
+    return md.gbt_score(COLUMNS, weight="weight")(settle(folds.sample_weights(train, 0.5, True)), test)
 
 
 @query("i5_pu_gbt_score")
 def i5(spark, folder):
     train, test = split(spark, folder)
-    return md.pu_gbt_score(COLUMNS, bags=3, rounds=5)(train, test)
+    return md.pu_gbt_score(COLUMNS, bags=3)(train, test)
 
 
 @query("i6_seed_ensemble")
 def i6(spark, folder):
     train, test = split(spark, folder)
-    return md.seed_ensemble(COLUMNS, 71, rounds=5)(train, test)
+    return md.seed_ensemble(COLUMNS, 71)(train, test)
 
 
 def vectors(spark, folder):
@@ -185,7 +185,7 @@ def i8_sides(spark, folder):
 @query("i11_feature_importance")
 def i11(spark, folder):
     train, _ = split(spark, folder)
-    fits = [md.fit_tabular(train, COLUMNS, md.gbt(seed, rounds=5)) for seed in (17, 118, 219)]
+    fits = [md.fit_tabular(train, COLUMNS, md.gbt(seed)) for seed in (17, 118, 219)]
     return md.feature_importance(fits, train)
 
 
