@@ -8,8 +8,6 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-SMALL = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -9,8 +9,7 @@ from __future__ import annotations
 import os
 
 import pytest
-from compare import connect, difference
-from conftest import SMALL
+from compare import SMALL, connect, difference
 
 from emberfield.plans.catalogue import ORACLES, QUERIES
 

@@ -6,7 +6,7 @@ import contextlib
 import io
 
 import pytest
-from conftest import SMALL
+from compare import SMALL
 from pyspark.sql import functions as F
 
 from emberfield.operators import evaluation, grid
