@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import chat, linespread, mixing, multiindex, pairbpe, prefixcount, quality, sharding, simhash, suffixdedup
+from emberfield.llm import chat, linespread, mixing, multiindex, pairbpe, prefixcount, quality, sharding, simhash, subspace, suffixdedup
 from emberfield.llm.common import table, vocabulary, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,9 @@ def op4(spark, folder):
     """All documents without the bytes of strings that also start earlier."""
     cut = suffixdedup.remove_repeats(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op12_subspace_join", subspace.near_sql())
+def op12(spark, folder):
+    """All embeddings linked at cosine 0.93 within their label, and their components."""
+    return subspace.near_duplicates(table(spark, folder, "embeddings"))
