@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import chat, linespread, mixing, multiindex, pairbpe, prefixcount, quality, sharding, simhash, subspace, suffixdedup
+from emberfield.llm import chat, dualtree, linespread, mixing, multiindex, pairbpe, prefixcount, quality, sharding, simhash, subspace, suffixdedup
 from emberfield.llm.common import table, vocabulary, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,9 @@ def op4(spark, folder):
 def op12(spark, folder):
     """All embeddings linked at cosine 0.93 within their label, and their components."""
     return subspace.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@register("op11_dual_tree", dualtree.search_sql())
+def op11(spark, folder):
+    """The 10 best documents of every benchmark item."""
+    return dualtree.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
