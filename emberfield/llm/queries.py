@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import chat, dualtree, linespread, mixing, multiindex, pairbpe, prefixcount, quality, sharding, simhash, subspace, suffixdedup
+from emberfield.llm import alignment, chat, dualtree, linespread, mixing, multiindex, pairbpe, prefixcount, quality, sharding, simhash, subspace, suffixdedup
 from emberfield.llm.common import table, vocabulary, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,11 @@ def op12(spark, folder):
 def op11(spark, folder):
     """The 10 best documents of every benchmark item."""
     return dualtree.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register("op13_alignment")
+def op13(spark, folder):
+    """All documents' tokens in two vocabularies linked by the bytes that they cover."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made, name = alignment.align_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return made.select("doc_id", f"{name}.*")
