@@ -6,14 +6,24 @@ are its features, and the labels of neighbouring lines are tied by transition we
 Viterbi decoding finds the best labels of the whole sequence; a text is kept if the
 lines called content hold at least half of its words.
 
+Labels are known for documents only; those of their lines are hidden. A document's label
+says which of its lines hold most words: content in a good one, boilerplate in a bad one.
+Training starts from lines labelled as their document, with runs of bad documents' lines
+spliced into good ones, so that the field sees both labels and their changes in one
+sequence. Then rounds of labelling all sequences anew, as far as that keeps to what the
+document's label says, and fitting to these labels, until few lines change.
+
 The field is fitted on the driver by gradient ascent on the likelihood, over the line
-features of at most ``FIT_DOCUMENTS`` labelled documents drawn by a hash of their id (a
-good document's lines count as content, a bad one's as boilerplate). Without documents of
-both kinds there is no field, and the base rules decide alone. Decoding is per text, so
-one map over all documents, without a shuffle.
+features of at most ``FIT_DOCUMENTS`` labelled documents drawn by a hash of their id, of each
+at most ``FIT_PARTS`` sequences of ``FIT_LINES`` lines spread evenly over it. Ids that
+``documents`` holds several times may give more rows; at most twice ``FIT_DOCUMENTS`` are
+used. Without documents of both kinds there is no field, and the base rules decide alone.
+Decoding reads every text whole, in one map over all documents, without a shuffle.
 
 Cases: a NULL or empty text has no words and fails the base rules; lines without words
-have no label; repeated rows are judged alike; other columns stay.
+have no label; a very long text is one sequence, decoded whole in time in proportion to its lines;
+repeated rows are judged alike; an empty table gives no rows; other columns stay, whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -31,10 +41,16 @@ from emberfield.llm.common import map_texts
 FIT_DOCUMENTS = 2000
 """Most labelled documents that the field is fitted on."""
 
-FIT_LINES = 64
-"""Lines of one training sequence; longer documents give several."""
+FIT_LINES, FIT_PARTS = 32, 4
+"""Lines of one training sequence, and sequences of one document."""
+
+SPLICED, ROUNDS = 0.5, 3
+"""Share of good sequences that take in a run of a bad one's lines, and most rounds of labelling the lines anew."""
 
 MIN_WORDS, MAX_REPEAT_PERCENT, CONTENT_SHARE = 50, 50, 0.5
+WORDS_AT, WORDS_SCALE = 6, 5
+"""Feature that holds the scaled logarithm of a line's words."""
+
 SYMBOLS = b"#*$%&|<>"
 CONTENT, LABELS = 1, 2
 
@@ -42,7 +58,7 @@ FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
     "kept boolean, n_lines long, n_content_lines long, n_content_words long"
 )
-N_FEATURES = 9
+N_FEATURES = 10
 
 
 def _class_of(members: bytes) -> np.ndarray:
@@ -100,8 +116,8 @@ def read_lines(text: bytes) -> Lines:
     n = sizes[used]
     features = np.stack(
         [
-            np.ones(len(used)), symbols / chars, upper / (upper + lower + 1), digits / chars, marks / chars,
-            np.log1p(n) / 5, chars / n / 10, repeat / n, again.astype(float),
+            np.ones(len(used)), symbols / chars, np.minimum(1, symbols / n), upper / (upper + lower + 1), digits / chars,
+            np.minimum(1, marks / n), np.log1p(n) / WORDS_SCALE, chars / n / 10, repeat / n, again.astype(float),
         ],
         axis=1,
     )
@@ -135,21 +151,64 @@ class Field:
         return labels[::-1]
 
 
-def fit_field(sequences: list[np.ndarray], labels: list[int], rounds: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Field:
-    """Maximum likelihood with an L2 penalty; every sequence has one label throughout."""
-    parts = [(s[i : i + FIT_LINES], y) for s, y in zip(sequences, labels, strict=True) for i in range(0, len(s), FIT_LINES)]
-    length = max(len(s) for s, _ in parts)
-    x = np.zeros((len(parts), length, N_FEATURES))
-    there = np.zeros((len(parts), length))
-    for i, (s, _) in enumerate(parts):
+def spliced(sequences: list[np.ndarray], kinds: list[int], seed: int = 0) -> tuple[list[np.ndarray], list[np.ndarray], list[int | None]]:
+    """Sequences, labels of their lines and kinds of their documents; those that mix two documents have none.
+
+    Every second good sequence gets a run of up to as many lines as it has from a bad one.
+    """
+    draw = np.random.default_rng(seed)
+    bad = [s for s, y in zip(sequences, kinds, strict=True) if y != CONTENT]
+    rows, labels, kept = [], [], []
+    for s, y in zip(sequences, kinds, strict=True):
+        own = np.full(len(s), y)
+        if y == CONTENT and draw.random() < SPLICED:
+            run = bad[draw.integers(len(bad))]
+            run = run[draw.integers(len(run)) :][: draw.integers(1, len(s) + 1)]
+            at = draw.integers(len(s) + 1)
+            s, own, y = np.insert(s, at, run, axis=0), np.insert(own, at, np.zeros(len(run), int)), None
+        rows.append(s)
+        labels.append(own)
+        kept.append(y)
+    return rows, labels, kept
+
+
+def relabelled(field: Field, sequence: np.ndarray, kind: int) -> np.ndarray:
+    """The field's labels if most words then agree with the document's kind, else that kind throughout."""
+    found = np.array(field.viterbi(sequence))
+    words = np.expm1(sequence[:, WORDS_AT] * WORDS_SCALE)
+    agrees = words[found == kind].sum() > words.sum() / 2
+    return found if agrees else np.full(len(sequence), kind)
+
+
+def fit_lines(sequences: list[np.ndarray], kinds: list[int], seed: int = 0) -> Field:
+    """Field from documents of known kind whose lines' labels are hidden."""
+    rows, labels, kept = spliced(sequences, kinds, seed)
+    field = fit_field(rows, labels)
+    for _ in range(ROUNDS):
+        new = [y if k is None else relabelled(field, s, k) for s, y, k in zip(rows, labels, kept, strict=True)]
+        changed = sum((a != b).sum() for a, b in zip(labels, new, strict=True))
+        labels = new
+        if changed <= 0.001 * sum(map(len, rows)):
+            break
+        field = fit_field(rows, labels, 40, start=field)
+    return field
+
+
+def fit_field(
+    sequences: list[np.ndarray], labels: list[np.ndarray | int], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3, start: Field | None = None
+) -> Field:
+    """Maximum likelihood of the lines' labels (one number: of all lines) with an L2 penalty."""
+    length = max(map(len, sequences))
+    x = np.zeros((len(sequences), length, N_FEATURES))
+    there, truth = np.zeros((len(sequences), length)), np.zeros((len(sequences), length, LABELS))
+    wanted_move = np.zeros((LABELS, LABELS))
+    for i, (s, y) in enumerate(zip(sequences, labels, strict=True)):
         x[i, : len(s)], there[i, : len(s)] = s, 1
-    y = np.array([label for _, label in parts])
-    truth = np.zeros((len(parts), length, LABELS))
-    truth[np.arange(len(parts)), :, y] = there
-    pairs = there[:, 1:].sum(1)
-    wanted_move = np.array([[pairs[y == a].sum() if a == b else 0.0 for b in range(LABELS)] for a in range(LABELS)])
+        y = np.broadcast_to(y, len(s))
+        truth[i, np.arange(len(s)), y] = 1
+        np.add.at(wanted_move, (y[:-1], y[1:]), 1)
     total = there.sum()
-    weights = [np.zeros((N_FEATURES, LABELS)), np.zeros((LABELS, LABELS))]
+    weights = [start.emit, start.move] if start else [np.zeros((N_FEATURES, LABELS)), np.zeros((LABELS, LABELS))]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     add = lambda a, axis: np.logaddexp.reduce(a, axis=axis)
     for t in range(1, rounds + 1):
@@ -189,16 +248,17 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0, most: int = FIT_DOCUM
     kinds = [r.quality for r in rows]
     if len(set(kinds)) < LABELS:
         return None
-    return fit_field([np.array(r.features).reshape(-1, N_FEATURES) for r in rows], kinds)
+    parts = [(m[i : i + FIT_LINES], y) for m, y in ((np.array(r.features).reshape(-1, N_FEATURES), r.quality) for r in rows) for i in range(0, len(m), FIT_LINES)]
+    return fit_lines([m for m, _ in parts], [y for _, y in parts], seed)
 
 
 def _training_lines(texts: list[bytes]) -> dict[str, list]:
-    """Features of up to four training sequences of each text, evenly spread over it."""
+    """Features of up to ``FIT_PARTS`` training sequences of each text, evenly spread over it."""
     out: dict[str, list] = {"n": [], "features": []}
     for text in texts:
         features = read_lines(text).features
         parts = [features[i : i + FIT_LINES] for i in range(0, len(features), FIT_LINES)]
-        parts = parts[:: -(-len(parts) // 4) or 1]
+        parts = parts[:: -(-len(parts) // FIT_PARTS) or 1]
         out["n"].append(sum(map(len, parts)))
         out["features"].append(np.concatenate(parts).ravel() if parts else np.zeros(0))
     return out
