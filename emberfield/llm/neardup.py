@@ -1,78 +1,97 @@
-"""Near-duplicates by exact Jaccard similarity of five-word shingles, found through MinHash bands.
+"""Near copies that a SimHash of few bits cannot reach: exact Jaccard similarity of five-word shingles.
 
 Two texts are linked if the sets of their lower-cased five-word shingles (XXH64 values)
 have a Jaccard similarity of 0.8 or more; a text of fewer words is one shingle. SimHash
-cannot carry this rule: at 0.8 two codes of 64 bits differ by about ten bits, and strips
-that are complete for so many bits deal all texts into a handful of groups.
+alone cannot carry this rule: at 0.8 two codes of 64 bits differ by about ten bits, and strips
+that are complete for so many bits deal all texts into a handful of groups. So the links of the
+SimHash index are the first candidates, and bands of minima bring what they cannot reach.
 
-Candidates: equal sets first collapse to one class. ``BANDS`` keys of ``ROWS`` minima each
+Candidates: equal sets collapse to one class. Classes linked by SimHash come first. ``BANDS`` keys of ``ROWS`` minima each
 are made for a class; a pair at similarity s shares none with a chance of
 (1 - s^ROWS)^BANDS, 3 in a million at 0.8 and less above. Every class is compared with
-the first class of each of its bands. Bands whose classes are in several components after
-that are compared across these components, so every pair that shares a band is either
-compared or connected already. Each link is settled by the shingle sets themselves.
-
-Cases: NULL, empty and wordless texts have the empty set and are copies of one another;
-repeated rows are copies; empty tables give no rows.
+the first class of each of its bands, which connects groups of near copies in rows as many
+as their members. In a band that then holds several components, the members outside its
+largest component are compared with all that are not in their own component, if they are at
+most ``OUTSIDE``: rows in proportion to the members again. A band with more of them is routed on: its
+members are dealt by ``SUB_BANDS`` keys of ``ROWS`` further minima, up to ``LEVELS`` levels deep, so
+that texts which only share a passage part; a pair at 0.8 is missed on all of its ways with a chance of
+about 1 in 100,000. What is still together on the last level agrees in 15 minima or more and is
+compared whole. Each link is settled by the shingle sets themselves, read for candidates only.
+
+Cases: NULL, empty and wordless texts have the empty set and are copies of one another; a very long text is
+read whole; repeated rows are copies, of which one stays; an empty table gives no rows; other columns are
+never read, so none can clash.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from emberfield.llm.common import map_texts
+from emberfield.llm.simhash import linked_codes, majority, shingle_hashes
 from emberfield.operators.components import connected_components
 from emberfield.session import settle
 
 SHINGLE, SEED = 5, 42
 BANDS, ROWS = 32, 5
+SUB_BANDS, LEVELS = 8, 3
+OUTSIDE = 64
+"""Members outside a band's largest component up to which they are compared with all others."""
 
-FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-SALTS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+def _hashing(level: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and salts of the minima of one level."""
+    factors, salts = (np.random.default_rng(SEED + 2 * level + i).integers(0, 1 << 63, bands * ROWS, np.uint64) for i in (0, 1))
+    return factors * np.uint64(2) + np.uint64(1), salts
 
 
 def shingle_set(text: bytes) -> np.ndarray:
     """Distinct shingle hashes, sorted."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    windows = zip(*(words[i:] for i in range(min(SHINGLE, len(words)))), strict=False)
-    n = max(1, len(words) - SHINGLE + 1)
-    return np.unique(np.fromiter(map(xxh64_intdigest, map(b" ".join, windows), repeat(SEED)), np.uint64, n))
+    return np.unique(shingle_hashes(text, SHINGLE))
 
 
-def band_keys(shingles: np.ndarray, step: int = 1 << 11) -> list[int]:
-    """One signed key for each band, from the minima of its rows."""
-    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+def band_keys(shingles: np.ndarray, level: int = 0, step: int = 1 << 11) -> list[int]:
+    """One signed key for each band of a level, from the minima of its rows."""
+    bands = SUB_BANDS if level else BANDS
+    factors, salts = _hashing(level, bands)
+    least = np.full(bands * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(shingles), step):
-        mixed = (shingles[i : i + step, None] ^ SALTS) * FACTORS
+        mixed = (shingles[i : i + step, None] ^ salts) * factors
         np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(0), out=least)
-    rows = least.reshape(BANDS, ROWS)
+    rows = least.reshape(bands, ROWS)
     return np.array([xxh64_intdigest(r.tobytes(), band) for band, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
 
 
 def _signatures(texts: list[bytes]) -> dict[str, list]:
-    keys, sizes, bands = [], [], []
+    keys, sizes, bands, codes = [], [], [], []
     for text in texts:
-        shingles = shingle_set(text)
+        hashes = shingle_hashes(text, SHINGLE)
+        shingles = np.unique(hashes)
+        codes.append(majority(hashes))
         keys.append(xxh3_128_digest(shingles.tobytes()))
         sizes.append(len(shingles))
         bands.append(band_keys(shingles) if len(shingles) else [])
-    return {"key": keys, "size": sizes, "bands": bands}
+    return {"code": np.array(codes, np.uint64).view(np.int64), "key": keys, "size": sizes, "bands": bands}
+
+
+def _further(level: int):
+    def run(texts: list[bytes]) -> dict[str, list]:
+        return {"subs": [band_keys(shingle_set(t), level) for t in texts]}
+
+    return run
 
 
 def _shingles(texts: list[bytes]) -> dict[str, list]:
     return {"shingles": [shingle_set(t).view(np.int64) for t in texts]}
 
 
-def with_signature(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
-    """``docs`` with a struct column (key of the shingle set, its size, band keys), and its name."""
-    return map_texts(docs, text, _signatures, "key binary, size int, bands array<long>")
+def signed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` without the text, and (code, key, size, bands) of each: SimHash, shingle set, its size, bands."""
+    made, name = map_texts(docs, text, _signatures, "code long, key binary, size int, bands array<long>", keep_text=False)
+    return made.select(*[c for c in made.columns if c != name], f"{name}.*")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -95,37 +114,74 @@ def _alike_in_size(a: str, b: str) -> Column:
 
 
 def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all similar classes; ``classes`` is (id, size, bands), ``texts`` (id, text)."""
+    """Links (a, b) that connect all similar classes; ``classes`` is (id, size, bands, code), ``texts`` (id, text)."""
+    links, seen = _with_similar(None, None, near_codes(classes), texts)
     dealt = classes.select("id", "size", F.explode("bands").alias("band"))
-    shared = dealt.groupBy("band").agg(F.min(F.struct("id", "size")).alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    member = settle(dealt.join(shared.drop("_n").hint("merge"), "band"))
-    to_hub = member.where((F.col("id") != F.col("hub.id")) & _alike_in_size("size", "hub.size"))
-    first = settle(to_hub.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct())
-    links = settle(_similar(first, texts))
-    root = settle(connected_components(links))
-    labelled = member.join(root.withColumnRenamed("node", "id").hint("merge"), "id", "left").select(
-        "band", "id", "size", F.coalesce("root", "id").alias("root")
-    )
-    labelled = settle(labelled)
-    split = labelled.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi")
-    open_ = settle(labelled.join(split.select("band").hint("merge"), "band", "left_semi"))
-    other = open_.select("band", F.col("id").alias("b"), F.col("size").alias("_size"), F.col("root").alias("_root"))
-    across = open_.withColumnRenamed("id", "a").hint("merge").join(other, "band")
-    across = across.where((F.col("a") > F.col("b")) & (F.col("root") != F.col("_root")) & _alike_in_size("size", "_size"))
-    second = settle(across.select("a", "b").distinct().join(first.hint("merge"), ["a", "b"], "left_anti"))
-    return links if second.isEmpty() else links.unionByName(_similar(second, texts))
-
-
-def components(signed: DataFrame, name: str, row: str, order: Column, text: str = "text") -> DataFrame:
-    """(row) of the first document of every component by ``order``, a struct with the unique number ``row``."""
-    made = F.col(name)
-    kept = signed.groupBy(made["key"].alias("key")).agg(
-        F.min(order).alias("first"), F.first(made["size"]).alias("size"), F.first(made["bands"]).alias("bands")
+    for level in range(LEVELS):
+        shared = dealt.groupBy("band").agg(F.min(F.struct("id", "size")).alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        member = settle(dealt.join(shared.drop("_n").hint("merge"), "band"))
+        to_hub = member.where((F.col("id") != F.col("hub.id")) & _alike_in_size("size", "hub.size"))
+        links, seen = _with_similar(links, seen, to_hub.select(F.col("id").alias("a"), F.col("hub.id").alias("b")), texts)
+        root = settle(connected_components(links)).withColumnRenamed("node", "id")
+        labelled = settle(
+            member.join(root.hint("merge"), "id", "left").select("band", "id", "size", F.coalesce("root", "id").alias("root"))
+        )
+        parts = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_n"))
+        largest = parts.groupBy("band").agg(F.max(F.struct("_n", "root")).alias("_top"), F.sum("_n").alias("_all"))
+        open_ = largest.select("band", F.col("_top.root").alias("_big"), (F.col("_all") - F.col("_top._n")).alias("_outside")).where("_outside > 0")
+        inside = settle(labelled.join(open_.hint("merge"), "band"))
+        few = inside if level + 1 == LEVELS else inside.where(F.col("_outside") <= OUTSIDE)
+        links, seen = _with_similar(links, seen, _across(few), texts)
+        many = settle(inside.where(F.col("_outside") > OUTSIDE).select("id", "size", "band"))
+        if level + 1 == LEVELS or many.isEmpty():
+            return links
+        asked = texts.join(many.select("id").distinct().hint("merge"), "id", "left_semi")
+        made, name = map_texts(asked, "text", _further(level + 1), "subs array<long>", keep_text=False)
+        routed = many.join(made.select("id", F.explode(f"{name}.subs").alias("sub")).hint("merge"), "id")
+        dealt = settle(routed.select("id", "size", F.xxhash64("band", "sub").alias("band")).distinct())
+
+
+def near_codes(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that the SimHash index links: each with the first one of its code, and first ones of linked codes."""
+    first = settle(classes.groupBy("code").agg(F.min(F.struct("id", "size")).alias("hub")))
+    alike = classes.join(first.hint("merge"), "code").where(F.col("id") != F.col("hub.id"))
+    same = alike.where(_alike_in_size("size", "hub.size")).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
+    hub = lambda side: first.select(F.col("code").alias(side), F.col("hub").alias(f"_{side}"))
+    linked = linked_codes(first.select("code")).join(hub("a").hint("merge"), "a").join(hub("b").hint("merge"), "b")
+    near = linked.where(_alike_in_size("_a.size", "_b.size"))
+    return same.unionByName(near.select(F.greatest("_a.id", "_b.id").alias("a"), F.least("_a.id", "_b.id").alias("b")))
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a band from different components, one of them outside its largest."""
+    outside = members.where(F.col("root") != F.col("_big")).select(
+        "band", F.col("id").alias("a"), F.col("size").alias("_size"), F.col("root").alias("_root")
     )
-    classes = settle(kept.withColumn("id", F.col(f"first.{row}")))
-    links = settle(similar_links(classes.select("id", "size", "bands"), signed.select(F.col(row).alias("id"), F.col(text).alias("text"))))
+    pairs = members.hint("merge").join(outside, "band").where((F.col("root") != F.col("_root")) & _alike_in_size("size", "_size"))
+    once = (F.col("root") == F.col("_big")) | (F.col("id") < F.col("a"))
+    return pairs.where(once).select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b"))
+
+
+def _with_similar(links: DataFrame | None, seen: DataFrame | None, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and compared pairs, with those of ``pairs`` that have not been compared yet."""
+    new = pairs.distinct()
+    if seen is not None:
+        new = new.join(seen.hint("merge"), ["a", "b"], "left_anti")
+    new = settle(new)
+    if seen is not None and new.isEmpty():
+        return links, seen
+    found = settle(_similar(new, texts))
+    return (found, new) if seen is None else (links.unionByName(found), seen.unionByName(new))
+
+
+def components(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(first) of every component; ``classes`` is (id, first, size, bands, code), ``texts`` (id, text).
+
+    ``first`` is the smallest place of a class's rows, ``id`` names the row whose text stands for the class.
+    """
+    links = settle(similar_links(classes.select("id", "size", "bands", "code"), texts))
     if links.isEmpty():
-        return classes.select(F.col("id").alias(row))
+        return classes.select("first")
     root = connected_components(links).withColumnRenamed("node", "id")
     joined = classes.select("id", "first").join(root.hint("merge"), "id", "left")
-    return joined.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col(f"first.{row}").alias(row))
+    return joined.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select("first")

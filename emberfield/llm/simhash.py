@@ -52,19 +52,23 @@ SEARCHED = 2048
 """Fingerprints searched at once in a task."""
 
 
-def shingle_hashes(text: bytes) -> np.ndarray:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    windows = zip(*(words[i:] for i in range(SHINGLE)), strict=False)
-    return np.fromiter(map(xxh64_intdigest, map(b" ".join, windows), repeat(SEED)), np.uint64, len(words) - SHINGLE + 1)
+    windows = zip(*(words[i:] for i in range(shingle)), strict=False)
+    return np.fromiter(map(xxh64_intdigest, map(b" ".join, windows), repeat(SEED)), np.uint64, len(words) - shingle + 1)
 
 
-def fingerprint(text: bytes, step: int = 1 << 16) -> int:
-    """A bit is one if set in over half of the shingle hashes."""
-    hashes = shingle_hashes(text)
+def fingerprint(text: bytes) -> int:
+    """Majority of the bits of all shingle hashes."""
+    return majority(shingle_hashes(text))
+
+
+def majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
+    """A bit is one if set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), step):
         bits = np.unpackbits(hashes[i : i + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import linespread, mixing, neardup, pairbpe, quality, simhash
+from emberfield.llm import linespread, mixing, neardup, pairbpe, quality
 from emberfield.llm.common import free_name, table, vocabulary, word_count
-from emberfield.session import lookup, settle
+from emberfield.session import settle
 
 
 def _columns(docs: DataFrame) -> list[str]:
@@ -40,24 +40,19 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate component."""
-    row = free_name(docs, "_row")
-    coded, name = simhash.with_code(docs.withColumn(row, F.monotonically_increasing_id()))
-    coded = settle(coded)
-    narrow = coded.select("doc_id", F.col(row).alias("row"), F.col(f"{name}.code").alias("code"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row"))
-    first = simhash.components(narrow, F.col("code"), order).select(F.col("first.row").alias(row)).distinct()
-    return coded.join(lookup(first), row, "left_semi").select(*_columns(docs))
-
+    """The document with the smallest id of every group of near copies.
 
-def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every component linked at five-word Jaccard similarity 0.8."""
+    Candidates come from the SimHash index and from bands; what links is a Jaccard similarity of 0.8 or
+    more of the five-word shingles.
+    """
     row = free_name(docs, "_row")
-    signed, name = neardup.with_signature(docs.withColumn(row, F.monotonically_increasing_id()))
-    signed = settle(signed)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col(row))
-    first = neardup.components(signed, name, row, order)
-    return signed.join(first.hint("merge"), row, "left_semi").select(*_columns(docs))
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))
+    narrow = neardup.signed(numbered.select(F.col(row).alias("row"), "doc_id", "text"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row"))
+    kept = [F.min_by(c, order).alias(c) for c in ("size", "bands", "code")]
+    classes = settle(narrow.groupBy("key").agg(F.min(order).alias("first"), *kept).withColumn("id", F.col("first.row")).drop("key"))
+    first = neardup.components(classes, numbered.select(F.col(row).alias("id"), "text")).select(F.col("first.row").alias(row))
+    return numbered.join(first.hint("merge"), row, "left_semi").select(*_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +77,6 @@ STAGES = [
     ("quality rules", keep_quality),
     ("line dedup", drop_boilerplate),
     ("SimHash near-dedup", keep_one_of_each),
-    ("Jaccard near-dedup", keep_one_of_similar),
     ("source mixing", mix_sources),
     ("BPE encoding", encode),
 ]

@@ -1,4 +1,4 @@
-"""The Jaccard stage against brute force over exact shingle sets."""
+"""The near-duplicate stage against brute force over exact shingle sets."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ import random
 
 import pytest
 
-from emberfield.llm import neardup, stages
+from emberfield.llm import neardup, simhash, stages
 
-STAGE = "Jaccard near-dedup"
+STAGE = "SimHash near-dedup"
 
 
 def plain_set(text):
@@ -39,12 +39,40 @@ def survivors(spark, sf, docs):
     return sorted(r.doc_id for r in dict(stages.STAGES)[STAGE](spark, docs, sf).collect())
 
 
-def test_stage_follows_simhash_and_removes_edited_copies(spark, sf, documents, texts):
-    names = [n for n, _ in stages.STAGES]
-    assert names.index(STAGE) == names.index("SimHash near-dedup") + 1
+def test_stage_removes_edited_copies(spark, sf, documents, texts):
     got = survivors(spark, sf, documents)
     assert got == plain_survivors(texts)
-    assert len(got) < len(dict(stages.STAGES)["SimHash near-dedup"](spark, documents, sf).collect())
+    assert len(got) < simhash.near_duplicates(documents).select("component_id").distinct().count()
+
+
+@pytest.mark.parametrize(("outside", "levels"), [(0, 3), (2, 2), (64, 3)])
+def test_family_that_shares_a_passage(spark, sf, monkeypatch, outside, levels):
+    """Many texts over a shared passage, below the limit but in common bands, with near copies among them."""
+    monkeypatch.setattr(neardup, "OUTSIDE", outside)
+    monkeypatch.setattr(neardup, "LEVELS", levels)
+    draw = random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+    texts = {}
+    for i in range(120):
+        own = [f"o{draw.randrange(10**6)}" for _ in range(14 + i % 3)]
+        text = passage + own
+        texts[2 * i] = " ".join(text)
+        if i % 4 == 0:
+            text = list(text)
+            text[-1] = "edited"
+            texts[2 * i + 1] = " ".join(text)
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(5)
+    assert survivors(spark, sf, docs) == plain_survivors(texts)
+
+
+def test_odd_rows(spark, sf, odd, none):
+    """Repeated rows, and texts without words, leave one row each; every column stays."""
+    given = odd.withColumnsRenamed({"kept": "_row", "n_chars": "band"})
+    left = dict(stages.STAGES)[STAGE](spark, given, sf)
+    assert left.columns == given.columns
+    ids = sorted((r.doc_id for r in left.collect()), key=repr)
+    assert ids == sorted([1, 2, 5, 6, None], key=repr)
+    assert dict(stages.STAGES)[STAGE](spark, none, sf).count() == 0
 
 
 @pytest.mark.parametrize("words", [3, 40, 400])
