@@ -10,8 +10,10 @@ has it, so copies of one text on many sites leave one whole text behind. Documen
 which no word is left are marked as emptied.
 
 Cases: lines with fewer than ``MIN_WORDS`` words are never removed; a NULL site counts as
-one site; NULL texts stay NULL; NULL ids come after all others; rows with the same id and
-text are one document with the same result; empty tables give no rows; other columns stay.
+one site; NULL texts stay NULL and empty ones empty; a very long text is cut whole, its hashes gathered as one
+array; NULL ids come after all others; rows with the same id and
+text are one document with the same result; empty tables give no rows; other columns stay,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def remove_boilerplate(
     Two passes over the texts: one makes line hashes, the other cuts the lines. Only the
     hashes of boilerplate lines, gathered for each document, meet the texts again.
     """
-    key, made = free_name(docs, "_key"), free_name(docs, "_lines")
+    key, made, found_id, found_key, gone, left = (free_name(docs, n) for n in ("_text_key", "_lines", "_found_id", "_found_key", "_cut_lines", "_kept_lines"))
     keyed = docs.withColumn(key, text_key(F.col(text)))
     listed = F.array_distinct(F.transform(F.filter(text_lines(F.col(text)), eligible), line_hash))
     lines = keyed.select(F.col(doc_id).alias("id"), F.col(key).alias("key"), F.col(site).alias("site"), F.explode(listed).alias("line"))
@@ -77,16 +79,16 @@ def remove_boilerplate(
     spared = found.join(first, "line").where(place != F.col("first"))
     cut = spared.groupBy("id", "key").agg(F.collect_set("line").alias("cut"))
     joined = keyed.join(
-        cut.select(F.col("id").alias("_id_"), F.col("key").alias("_key_"), F.col("cut").alias("_cut_")),
-        F.col(doc_id).eqNullSafe(F.col("_id_")) & (F.col(key) == F.col("_key_")),
+        cut.select(F.col("id").alias(found_id), F.col("key").alias(found_key), F.col("cut").alias(gone)),
+        F.col(doc_id).eqNullSafe(F.col(found_id)) & (F.col(key) == F.col(found_key)),
         "left",
     )
     whole = text_lines(F.col(text))
-    kept = F.filter(whole, lambda s: ~(eligible(s) & F.array_contains(F.col("_cut_"), line_hash(s))))
-    touched = F.col("_cut_").isNotNull()
-    cleaned = joined.withColumn("_kept_", F.when(touched, kept))
-    after = F.when(touched, F.array_join("_kept_", "\n")).otherwise(F.col(text))
-    removed = F.when(touched, F.size(whole) - F.size("_kept_")).otherwise(0)
+    kept = F.filter(whole, lambda s: ~(eligible(s) & F.array_contains(F.col(gone), line_hash(s))))
+    touched = F.col(gone).isNotNull()
+    cleaned = joined.withColumn(left, F.when(touched, kept))
+    after = F.when(touched, F.array_join(left, "\n")).otherwise(F.col(text))
+    removed = F.when(touched, F.size(whole) - F.size(left)).otherwise(0)
     return (
         cleaned.withColumn(
             made,

@@ -14,8 +14,9 @@ sizes, and the last open ones are landed together on the outcome nearest to both
 totals. No block depends on partitioning or task order: reruns agree.
 
 Cases: NULL texts have no words, NULL sources are one source (the last in order);
-repeated rows are separate units; sources without words get target 0; empty tables give
-no rows. Other columns are carried along.
+repeated rows are separate units; sources without words get target 0; very long texts are
+units of their size; empty tables give no rows. Other columns are carried along, whatever they
+are called; given columns named like a made one give way to it.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ LANDING = 12
 """Documents of a source kept for the landing, which tries all outcomes of these and the last open two."""
 
 OWN = ("_size", "_source", "_p", "_block")
+MADE = ("source_size", "target", "copies", "taken")
 
 
 def source_targets(
@@ -161,17 +163,18 @@ def mix(
     order: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
     """Adds source_size, target, copies and taken to narrow rows that have source and size."""
-    units = settle(units)
-    targets = source_targets(units.select("source", "size"), weights, share, most)
+    names = {c: f"_given{i}" for i, c in enumerate(units.columns) if c not in ("source", "size", *MADE) or c in order}
+    inside = settle(units.select("source", "size", *[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
+    targets = source_targets(inside.select("source", "size"), weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     chances = (
-        units.alias("u")
+        inside.alias("u")
         .join(targets.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")))
         .select("u.*", "source_size", "target", rate.alias("_rate"))
         .withColumn("_whole", F.floor(F.col("_rate") + EDGE).cast("long"))
         .withColumn("chance", F.greatest(F.lit(0.0), F.col("_rate") - F.col("_whole")))
     )
-    drawn = draw_copies(chances, seed, order)
-    return drawn.withColumn("copies", F.col("_whole") + F.col("drawn")).withColumn(
-        "taken", F.col("copies") * F.col("size")
-    ).drop("_rate", "_whole", "chance", "drawn")
+    drawn = draw_copies(chances, seed, [names[c] for c in order])
+    copied = drawn.withColumn("copies", F.col("_whole") + F.col("drawn")).withColumn("taken", F.col("copies") * F.col("size"))
+    kept = [F.col(names.get(c, c)).alias(c) for c in units.columns if c not in MADE or c in order]
+    return copied.select(*kept, *[c for c in MADE if c not in order])

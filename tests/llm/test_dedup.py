@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from emberfield.llm import linespread, simhash, suffixdedup, suffixsort
 from emberfield.llm.queries import QUERIES
@@ -203,3 +204,11 @@ def test_suffix_odd_rows(odd, none):
     assert long.n_removed == long.n_bytes - 5 and long.n_spans == 1
     assert sum(r.n_bytes == 0 for r in got) == 3
     assert suffixdedup.remove_repeats(none).count() == 0
+
+
+def test_line_spread_keeps_clashing_columns(spark, odd):
+    names = ("_id_", "_key_", "_cut_", "_kept_", "_key", "_lines", "_text_key", "_found_id", "_found_key", "_cut_lines", "_kept_lines", "id", "key", "line", "site")
+    given = odd.withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    cleaned, name = linespread.remove_boilerplate(given)
+    assert cleaned.columns == [*given.columns, name]
+    assert sorted(map(repr, cleaned.drop(name).collect())) == sorted(map(repr, given.collect()))

@@ -122,3 +122,15 @@ def test_shards_of_odd_rows(odd, none):
 
 def test_shards_do_not_hang_on_partitions(odd):
     assert set(sharding.shard(odd, 4).collect()) == set(sharding.shard(odd.repartition(5), 4).collect())
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    """Columns named like the operator's own pass through or give way; the mix is the same."""
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"), (F.col("id") % 17).alias("size"))
+    clashing = rows.withColumns({c: F.col("doc_id") + 1 for c in ("target", "source_size", "_block", "_rate", "_whole", "_p", "chance", "drawn", "_given0", "_n")})
+    plain = {r.doc_id: (r.target, r.copies, r.taken) for r in mixing.mix(rows).collect()}
+    mixed = mixing.mix(clashing)
+    assert set(mixed.columns) == set(clashing.columns) | {"copies", "taken"}
+    got = mixed.collect()
+    assert {r.doc_id: (r.target, r.copies, r.taken) for r in got} == plain
+    assert all(r["_block"] == r["_rate"] == r["chance"] == r.doc_id + 1 for r in got)
