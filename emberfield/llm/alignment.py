@@ -49,6 +49,12 @@ FREQUENT = 1 << 19
 CHUNK = 1 << 18
 """Bytes of text encoded at once."""
 
+ALIKE = "\u0530"
+"""First character from which the two byte-level libraries may class characters by other Unicode versions.
+
+Texts below it go through the quicker one, which then gives the same ids (tested for every such character).
+"""
+
 
 # --- matrices --------------------------------------------------------------------------
 
@@ -128,6 +134,8 @@ class Vocabulary:
 
 @cache
 def byte_level(path: str) -> Vocabulary:
+    from public_tokenizers import PATTERN
+    from tiktoken import Encoding
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -139,7 +147,14 @@ def byte_level(path: str) -> Vocabulary:
     special = {t["id"] for t in json.load(open(path, encoding="utf-8")).get("added_tokens", [])}
     names = [library.id_to_token(i) or "" for i in range(size)]
     pieces = [n.encode() if i in special else bytes(of[c] for c in n) for i, n in enumerate(names)]
-    return Vocabulary(lambda texts: [e.ids for e in library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], pieces)
+    quick = Encoding("alignment", pat_str=PATTERN, mergeable_ranks={p: i for i, p in enumerate(pieces) if i not in special}, special_tokens={})
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [
+            quick.encode_ordinary(" " + t) if max(t, default="") < ALIKE else library.encode(" " + t, add_special_tokens=False).ids for t in texts
+        ]
+
+    return Vocabulary(encode, pieces)
 
 
 @cache
@@ -202,8 +217,9 @@ def shared_links(links: Links) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 @cache
-def _numbers(size: int) -> list[str]:
-    return [str(i) for i in range(size)]
+def _marked(size: int) -> np.ndarray:
+    """Every id followed by each of the three marks."""
+    return np.array([f"{i}{m}" for m in (",", "|", ";") for i in range(size)], object)
 
 
 def groups_text(links: Links, a_size: int, b_size: int) -> str:
@@ -213,10 +229,8 @@ def groups_text(links: Links, a_size: int, b_size: int) -> str:
     ids, side = np.concatenate([links.a, links.b])[place], place >= n
     group = np.concatenate([links.group_a, links.group_b])[place]
     last = np.append((side[1:] != side[:-1]) | (group[1:] != group[:-1]), False)
-    mark = np.where(last, np.where(side, 2, 1), 0).tolist()
-    names, marks = _numbers(max(a_size, b_size)), (",", "|", ";")
-    out = [x for i, m in zip(ids.tolist(), mark, strict=True) for x in (names[i], marks[m])]
-    return "".join(out[:-1])
+    size, mark = max(a_size, b_size), np.where(last, np.where(side, 2, 1), 0)
+    return "".join(_marked(size)[mark * size + ids].tolist())[:-1]
 
 
 # --- texts -----------------------------------------------------------------------------

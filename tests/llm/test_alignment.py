@@ -122,3 +122,12 @@ def test_overlap_and_shared_links():
     assert [list(x) for x in links.closing] == [[1, 2], [2, 3]]
     pairs = [(i, j) for a, b in alignment.shared_links(links) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
     assert pairs == [(i, j) for i in (0, 1) for j in (0, 1, 2)] + [(2, 3)]
+
+
+def test_the_quicker_encoder_gives_the_same_ids(libraries):
+    """Every character below the limit, among letters, digits, spaces and marks, as the tokenizers library has it."""
+    texts = [t for c in map(chr, range(ord(alignment.ALIKE))) for t in (f"a{c}b 1{c}2 {c}", f"{c}{c} {c}'s", f"  {c}\n{c} x", f"\u00e9{c}, {c}\t{c}")]
+    draw = np.random.default_rng(4)
+    texts += ["".join(map(chr, draw.integers(0, ord(alignment.ALIKE), 40))) for _ in range(4000)]
+    want = [e.ids for e in libraries[0].encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    assert alignment.byte_level(vocabulary(A_PATH)).encode(texts) == want
