@@ -337,26 +337,27 @@ def draw_index(seed: int, repeat: Column, slot: Column, size: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"), size)
 
 
-def drawn_repeats(df: DataFrame, unit: str, repeats: int, seed: int) -> DataFrame:
-    """(country, unit, drawn): the repeats that draw each unit, within country and label stratum.
+def drawn_repeats(df: DataFrame, unit: str, repeats: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """(keys, country, unit, drawn): the repeats that draw each unit, within country and label stratum.
 
     A unit drawn five times in a repeat has that repeat five times in its array, so
     multiplicities stand for row copies. Only here do units meet repeats, in rows of a few
     small numbers; afterwards a unit is one row again.
     """
-    units = df.groupBy("country", unit).agg(F.max(LABEL).alias("stratum"))
-    placed = row_numbers(units, ["country", "stratum"], [F.col(unit)], "slot").select(
-        "country", "stratum", unit, (F.col("slot") - 1).alias("slot"), F.col("slot_group").alias("size")
+    place = [*by, "country", "stratum"]
+    units = df.groupBy(*by, "country", unit).agg(F.max(LABEL).alias("stratum"))
+    placed = row_numbers(units, place, [F.col(unit)], "slot").select(
+        *place, unit, (F.col("slot") - 1).alias("slot"), F.col("slot_group").alias("size")
     )
     placed = settle(placed)
     slot = F.concat_ws(":", "country", F.col("stratum").cast("string"), F.col("slot").cast("string"))
     drawn = (
         placed.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        .select("repeat", "country", "stratum", draw_index(seed, F.col("repeat"), slot, F.col("size")).alias("slot"))
-        .groupBy("country", "stratum", "slot")
+        .select("repeat", *place, draw_index(seed, F.col("repeat"), slot, F.col("size")).alias("slot"))
+        .groupBy(*place, "slot")
         .agg(F.collect_list("repeat").alias("drawn"))
     )
-    return drawn.join(placed.drop("size"), ["country", "stratum", "slot"]).select("country", unit, "drawn")
+    return drawn.join(placed.drop("size"), [*place, "slot"]).select(*by, "country", unit, "drawn")
 
 
 def _drawn_counts(part: pa.Table, repeats: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -374,17 +375,17 @@ def _drawn_counts(part: pa.Table, repeats: int) -> Iterator[tuple[np.ndarray, np
         yield tuple(np.bincount(at, np.repeat(w[lo:hi], sizes), width * repeats).reshape(width, repeats) for w in (n, pos))
 
 
-def bootstrap_precision(df: DataFrame, unit: str, repeats: int, seed: int) -> DataFrame:
-    """(repeat, country, branch, pr_auc) over resampled units; no AP where a repeat has no positive.
+def bootstrap_precision(df: DataFrame, unit: str, repeats: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """(repeat, keys, country, branch, pr_auc) over resampled units; no AP where a repeat has no positive.
 
     Rows meet their unit's array of repeats, not the repeats themselves. They are
     range-partitioned by (country, branch, score) and each slice works on arrays over all
     repeats: first its totals, then, on top of the totals of the slices before it, its
     part of every repeat's AP. A hot block or country spans many slices.
     """
-    weights = drawn_repeats(df, unit, repeats, seed)
-    keys = ["country", "branch"]
-    cells = score_cells(df, ["country", unit, "branch"]).join(weights, ["country", unit])
+    weights = drawn_repeats(df, unit, repeats, seed, by)
+    keys = [*by, "country", "branch"]
+    cells = score_cells(df, [*keys, unit]).join(weights, [*by, "country", unit])
     placed = settle(
         cells.select(*keys, "score", "n", "pos", "drawn")
         .repartitionByRange(*keys, F.col("score").desc())
@@ -415,7 +416,7 @@ def bootstrap_precision(df: DataFrame, unit: str, repeats: int, seed: int) -> Da
             above, hits_above = seen[-1], found[-1]
         return before.select(keys).append_column("gain", pa.array([gain])).append_column("positives", pa.array([positives]))
 
-    named = "country string, branch string"
+    named = ", ".join(f"{k} {placed.schema[k].dataType.simpleString()}" for k in keys)
     sums = settle(placed.groupBy(*keys, "_slice").applyInArrow(totals, f"{named}, _slice int, n array<double>, pos array<double>"))
     starts = sums.groupBy(*keys).applyInArrow(  # one row for each slice
         offsets, f"{named}, _slice int, n array<double>, n_all array<double>, pos array<double>, pos_all array<double>"
@@ -429,18 +430,18 @@ def bootstrap_precision(df: DataFrame, unit: str, repeats: int, seed: int) -> Da
 
 
 def bootstrap_differences(
-    df: DataFrame, unit: str, baseline: str, candidate: str, repeats: int, seed: int
+    df: DataFrame, unit: str, baseline: str, candidate: str, repeats: int, seed: int, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Macro AP difference of two branches per repeat. ``df`` is long over both branches."""
-    both = settle(df.where(F.col("branch").isin(baseline, candidate)).select(*{"source_id", "country", unit, LABEL, "branch", "score"}))
-    ap = bootstrap_precision(both, unit, repeats, seed)
-    deltas = country_deltas(ap, ["repeat", "country"], "pr_auc", baseline, candidate)
-    return deltas.groupBy("repeat").agg(F.avg("delta").alias("difference"))
+    """Macro AP difference of two branches per key and repeat. ``df`` is long over both branches."""
+    both = settle(df.where(F.col("branch").isin(baseline, candidate)).select(*{*by, "source_id", "country", unit, LABEL, "branch", "score"}))
+    ap = bootstrap_precision(both, unit, repeats, seed, by)
+    deltas = country_deltas(ap, [*by, "repeat", "country"], "pr_auc", baseline, candidate)
+    return deltas.groupBy(*by, "repeat").agg(F.avg("delta").alias("difference"))
 
 
-def bootstrap_summary(differences: DataFrame) -> DataFrame:
+def bootstrap_summary(differences: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean and 95 % interval over repeats, whose number is a parameter."""
-    return differences.agg(
+    return differences.groupBy(*by).agg(
         F.avg("difference").alias("mean"),
         F.percentile("difference", F.lit(0.025)).alias("lower_95"),
         F.percentile("difference", F.lit(0.975)).alias("upper_95"),
@@ -448,14 +449,18 @@ def bootstrap_summary(differences: DataFrame) -> DataFrame:
     )
 
 
-def paired_bootstrap(df: DataFrame, baseline: str, candidate: str, repeats: int = 1000, seed: int = 42) -> DataFrame:
+def paired_bootstrap(
+    df: DataFrame, baseline: str, candidate: str, repeats: int = 1000, seed: int = 42, by: Sequence[str] = ()
+) -> DataFrame:
     """Rows resampled within country and label."""
-    return bootstrap_summary(bootstrap_differences(df, "source_id", baseline, candidate, repeats, seed))
+    return bootstrap_summary(bootstrap_differences(df, "source_id", baseline, candidate, repeats, seed, by), by)
 
 
-def block_bootstrap(df: DataFrame, baseline: str, candidate: str, repeats: int = 2000, seed: int = 13014) -> DataFrame:
+def block_bootstrap(
+    df: DataFrame, baseline: str, candidate: str, repeats: int = 2000, seed: int = 13014, by: Sequence[str] = ()
+) -> DataFrame:
     """Spatial blocks resampled, positive and background blocks apart, within country."""
-    return bootstrap_summary(bootstrap_differences(df, "block_id", baseline, candidate, repeats, seed))
+    return bootstrap_summary(bootstrap_differences(df, "block_id", baseline, candidate, repeats, seed, by), by)
 
 
 def seed_summary(metrics: DataFrame, baseline: str, candidate: str) -> DataFrame:

@@ -53,8 +53,8 @@ def logit_statistics(df: DataFrame, column: str, keys: Sequence[str] = ()) -> Da
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 
 
-def crossfit_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per country: logit mean and deviation of every *other* country.
+def crossfit_statistics(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Per country: logit mean and deviation of every *other* country of the same key.
 
     Totals minus own sums, so the work is one aggregation whatever the number of
     countries.
@@ -63,25 +63,27 @@ def crossfit_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         value = logit(F.col(c))
         sums += [F.sum(value).alias(f"s_{c}"), F.sum(value * value).alias(f"q_{c}")]
-    own = lookup(df.groupBy("country").agg(F.count(F.lit(1)).alias("n"), *sums))
-    total = own.agg(*[F.sum(c).alias(f"t_{c}") for c in own.columns if c != "country"])
-    both = with_row(own, total)
+    own = lookup(df.groupBy(*keys, "country").agg(F.count(F.lit(1)).alias("n"), *sums))
+    total = own.groupBy(*keys).agg(*[F.sum(c).alias(f"t_{c}") for c in own.columns if c not in (*keys, "country")])
+    both = own.join(lookup(total), list(keys)) if keys else with_row(own, total)
     n = F.col("t_n") - F.col("n")
     out = {}
     for c in columns:
         mean = (F.col(f"t_s_{c}") - F.col(f"s_{c}")) / n
         out[f"mean_{c}"] = mean
         out[f"std_{c}"] = F.sqrt(F.greatest((F.col(f"t_q_{c}") - F.col(f"q_{c}")) / n - mean * mean, F.lit(0.0)))
-    return both.select("country", *[v.alias(k) for k, v in out.items()])
+    return both.select(*keys, "country", *[v.alias(k) for k, v in out.items()])
 
 
-def crossfit_fusion(df: DataFrame, compact: str, visual: str, alphas: Sequence[float] = ALPHAS) -> DataFrame:
+def crossfit_fusion(
+    df: DataFrame, compact: str, visual: str, alphas: Sequence[float] = ALPHAS, keys: Sequence[str] = ()
+) -> DataFrame:
     """Fused score per alpha; each country is calibrated on the other countries only."""
-    stats = lookup(crossfit_statistics(df, [compact, visual]))
+    stats = lookup(crossfit_statistics(df, [compact, visual], keys))
     c = calibrate(F.col(compact), F.col(f"mean_{compact}"), F.col(f"std_{compact}"))
     v = calibrate(F.col(visual), F.col(f"mean_{visual}"), F.col(f"std_{visual}"))
     return (
-        df.join(stats, "country")
+        df.join(stats, [*keys, "country"])
         .withColumns({"_c": c, "_v": v, "alpha": F.explode(F.array(*[F.lit(float(a)) for a in alphas]))})
         .withColumn("score", finite_score(residual_fusion(F.col("_c"), F.col("_v"), F.col("alpha"))))
         .select(*df.columns, "alpha", "score")

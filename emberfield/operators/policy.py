@@ -1,7 +1,8 @@
 """Selection and acceptance rules over metric tables.
 
 Metric tables hold one row per (branch, country), so everything after the metric
-computation is small; it still stays in DataFrames to keep one lazy plan.
+computation is small; it still stays in DataFrames to keep one lazy plan. Rules take
+``keys``, such as a seed or a held-out country: one grouped query decides for all of them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from emberfield.operators.fusion import ALPHAS, crossfit_fusion
 from emberfield.session import lookup, settle, with_row
 
 COMPLEXITY = {"compact_tabular": 0, "all77_tabular": 1, "guarded_cv_tabular": 2}
-# Preregistered limits.
+# The limits of the selection and of the acceptance.
 SELECTION_LIMITS = {
     "macro_ap_gain": 0.01, "improved_countries": 4, "worst_country_delta": -0.02,
     "sensitive_country_delta": -0.02, "bootstrap_lower_95": -0.01, "macro_f1_delta": -0.01,
@@ -29,16 +30,21 @@ ACCEPTANCE_LIMITS = {
 }
 
 
-def guard_table(metrics: DataFrame, baseline: str, name: str = "branch") -> DataFrame:
+def beside(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Columns of a table with one row per key, or of a one-row table, next to ``df``."""
+    return df.join(F.broadcast(other), list(keys)) if keys else with_row(df, other)  # a row for each key
+
+
+def guard_table(metrics: DataFrame, baseline: str, name: str = "branch", keys: Sequence[str] = ()) -> DataFrame:
     """Macro AP, gain, improved countries and worst delta of each candidate.
 
     Rounded to 12 decimals so that exact ties compare as ties.
     """
-    base = metrics.where(F.col(name) == baseline).select("country", F.col("pr_auc").alias("_b"))
+    base = metrics.where(F.col(name) == baseline).select(*keys, "country", F.col("pr_auc").alias("_b"))
     delta = F.col("pr_auc") - F.col("_b")
     return (
-        metrics.join(base, "country")
-        .groupBy(name)
+        metrics.join(base, [*keys, "country"])
+        .groupBy(*keys, name)
         .agg(
             F.round(F.avg("pr_auc"), 12).alias("macro_ap"),
             F.round(F.avg(delta), 12).alias("gain"),
@@ -55,53 +61,57 @@ def guarded(gain: float, improved: int, worst: float, free: Column) -> Column:
     )
 
 
-def _select(table: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+def _select(table: DataFrame, order: Sequence[Column], name: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mark the first eligible row of a small candidate table."""
     rows = settle(table)
-    best = rows.where("eligible").agg(F.min_by(F.col(name), F.struct(*order)).alias("_best"))
-    return with_row(rows, best).withColumn("selected", F.col(name) == F.col("_best")).drop("_best")
+    best = rows.where("eligible").groupBy(*keys).agg(F.min_by(F.col(name), F.struct(*order)).alias("_best"))
+    return beside(rows, best, keys).withColumn("selected", F.col(name) == F.col("_best")).drop("_best")
 
 
-def choose_alpha(df: DataFrame, compact: str, visual: str, alphas: Sequence[float] = ALPHAS) -> DataFrame:
+def choose_alpha(
+    df: DataFrame, compact: str, visual: str, alphas: Sequence[float] = ALPHAS, keys: Sequence[str] = ()
+) -> DataFrame:
     """Blend strength on inner scores: highest macro AP among eligible, smaller alpha on ties."""
-    fused = crossfit_fusion(df, compact, visual, alphas).select("country", "is_eog_flare", "alpha", "score")
-    plain = df.select("country", "is_eog_flare", F.lit(-1.0).alias("alpha"), F.col(compact).alias("score"))
-    ap = ev.average_precision(fused.unionByName(plain), ["alpha", "country"])
-    table = guard_table(ap, -1.0, "alpha").where(F.col("alpha") >= 0)
+    kept = [*keys, "country", "is_eog_flare"]
+    fused = crossfit_fusion(df, compact, visual, alphas, keys).select(*kept, "alpha", "score")
+    plain = df.select(*kept, F.lit(-1.0).alias("alpha"), F.col(compact).alias("score"))
+    ap = settle(ev.average_precision(fused.unionByName(plain), [*keys, "alpha", "country"]))
+    table = guard_table(ap, -1.0, "alpha", keys).where(F.col("alpha") >= 0)
     rated = table.withColumn("eligible", guarded(0.002, 3, -0.03, F.col("alpha") == 0))
-    return _select(rated, [-F.col("macro_ap"), F.col("alpha")], "alpha")
+    return _select(rated, [-F.col("macro_ap"), F.col("alpha")], "alpha", keys)
 
 
-def choose_candidate(metrics: DataFrame, baseline: str, improved: int, worst_drop: float) -> DataFrame:
+def choose_candidate(
+    metrics: DataFrame, baseline: str, improved: int, worst_drop: float, keys: Sequence[str] = ()
+) -> DataFrame:
     """Inner candidate choice; the name decides ties."""
-    rated = guard_table(metrics, baseline).withColumn(
+    rated = guard_table(metrics, baseline, keys=keys).withColumn(
         "eligible", guarded(0.005, improved, -worst_drop, F.col("branch") == baseline)
     )
-    return _select(rated, [-F.col("macro_ap"), F.col("branch")], "branch")
+    return _select(rated, [-F.col("macro_ap"), F.col("branch")], "branch", keys)
 
 
-def global_selection(metrics: DataFrame, baseline: str) -> DataFrame:
+def global_selection(metrics: DataFrame, baseline: str, keys: Sequence[str] = ()) -> DataFrame:
     """Same guard on outer metrics, four countries and 0.03; macro F1 breaks ties."""
-    summary = metrics.groupBy("branch").agg(
+    summary = metrics.groupBy(*keys, "branch").agg(
         F.round(F.avg("f1"), 12).alias("macro_f1"),
         F.avg("roc_auc").alias("macro_roc_auc"),
         F.min("pr_auc").alias("worst_country_pr_auc"),
     )
-    rated = guard_table(metrics, baseline).join(summary, "branch").withColumn(
+    rated = guard_table(metrics, baseline, keys=keys).join(summary, [*keys, "branch"]).withColumn(
         "eligible", guarded(0.005, 4, -0.03, F.col("branch") == baseline)
     )
-    return _select(rated, [-F.col("macro_ap"), -F.col("macro_f1"), F.col("branch")], "branch")
+    return _select(rated, [-F.col("macro_ap"), -F.col("macro_f1"), F.col("branch")], "branch", keys)
 
 
-def choose_branch(df: DataFrame, baseline: str = "compact_tabular") -> DataFrame:
+def choose_branch(df: DataFrame, baseline: str = "compact_tabular", keys: Sequence[str] = ()) -> DataFrame:
     """Branch choice on inner scores with an F1 guard; the simpler branch wins ties."""
-    ap = ev.average_precision(df, ["branch", "country"])
-    f1 = ev.macro_f1_threshold(df, ["branch"]).select("branch", F.col("macro_f1"))
-    f1 = settle(f1)
-    table = guard_table(ap, baseline).join(f1, "branch")
-    base = f1.where(F.col("branch") == baseline).select(F.col("macro_f1").alias("_f1"))
+    ap = settle(ev.average_precision(df, [*keys, "branch", "country"]))
+    f1 = settle(ev.macro_f1_threshold(df, [*keys, "branch"]).select(*keys, "branch", "threshold", "macro_f1"))
+    table = guard_table(ap, baseline, keys=keys).join(f1.drop("threshold"), [*keys, "branch"])
+    base = f1.where(F.col("branch") == baseline).select(*keys, F.col("macro_f1").alias("_f1"))
     rated = (
-        with_row(table, base)
+        beside(table, base, keys)
         .withColumn("macro_f1_delta", F.round(F.col("macro_f1") - F.col("_f1"), 12))
         .drop("_f1")
         .withColumn(
@@ -111,11 +121,13 @@ def choose_branch(df: DataFrame, baseline: str = "compact_tabular") -> DataFrame
         )
     )
     rank = F.create_map(*[F.lit(x) for pair in COMPLEXITY.items() for x in pair])[F.col("branch")]
-    return _select(rated, [-F.col("macro_ap"), F.coalesce(rank, F.lit(9)), F.col("branch")], "branch")
+    return _select(rated, [-F.col("macro_ap"), F.coalesce(rank, F.lit(9)), F.col("branch")], "branch", keys)
 
 
-def conditions(observed: DataFrame, rules: Sequence[tuple[str, str, str, float]]) -> DataFrame:
-    """Conditions table (name, observed, rule, passed) of a one-row frame of observations."""
+def conditions(
+    observed: DataFrame, rules: Sequence[tuple[str, str, str, float]], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Conditions table (keys, name, observed, rule, passed) of a frame with one row of observations per key."""
     tests = {">=": lambda a, b: a >= b, ">": lambda a, b: a > b}
     rows = F.array(
         *[
@@ -128,18 +140,21 @@ def conditions(observed: DataFrame, rules: Sequence[tuple[str, str, str, float]]
             for name, column, op, limit in rules
         ]
     )
-    return observed.select(F.explode(rows).alias("c")).select("c.*")
+    return observed.select(*keys, F.explode(rows).alias("c")).select(*keys, "c.*")
 
 
 def verdict(table: DataFrame) -> DataFrame:
     return table.agg(F.bool_and("passed").alias("passed"))
 
 
-def country_observations(metrics: DataFrame, baseline: str, candidate: str, sensitive: str) -> DataFrame:
-    """One row of AP and F1 differences across countries."""
-    ap = ev.country_deltas(metrics, ["country"], "pr_auc", baseline, candidate)
-    f1 = ev.country_deltas(metrics, ["country"], "f1", baseline, candidate).select("country", F.col("delta").alias("f1"))
-    return ap.join(f1, "country").agg(
+def country_observations(
+    metrics: DataFrame, baseline: str, candidate: str, sensitive: str, keys: Sequence[str] = ()
+) -> DataFrame:
+    """One row per key of AP and F1 differences across countries."""
+    by = [*keys, "country"]
+    ap = ev.country_deltas(metrics, by, "pr_auc", baseline, candidate)
+    f1 = ev.country_deltas(metrics, by, "f1", baseline, candidate).select(*by, F.col("delta").alias("f1"))
+    return ap.join(f1, by).groupBy(*keys).agg(
         F.avg("delta").alias("macro_gain"),
         F.count_if(F.col("delta") > 0).alias("improved"),
         F.min("delta").alias("worst"),
@@ -149,11 +164,12 @@ def country_observations(metrics: DataFrame, baseline: str, candidate: str, sens
 
 
 def selection_guard(
-    metrics: DataFrame, scores: DataFrame, baseline: str, candidate: str, sensitive: str, repeats: int, seed: int
+    metrics: DataFrame, scores: DataFrame, baseline: str, candidate: str, sensitive: str, repeats: int, seed: int,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Six conditions, one of them the lower bound of the paired bootstrap."""
-    seen = country_observations(metrics, baseline, candidate, sensitive)
-    boot = ev.paired_bootstrap(scores, baseline, candidate, repeats, seed).select("lower_95")
+    seen = country_observations(metrics, baseline, candidate, sensitive, keys)
+    boot = settle(ev.paired_bootstrap(scores, baseline, candidate, repeats, seed, keys)).select(*keys, "lower_95")
     limit = SELECTION_LIMITS
     rules = [
         ("macro_ap_gain", "macro_gain", ">=", limit["macro_ap_gain"]),
@@ -163,7 +179,7 @@ def selection_guard(
         ("bootstrap_lower_95", "lower_95", ">=", limit["bootstrap_lower_95"]),
         ("macro_f1_delta", "macro_f1_delta", ">=", limit["macro_f1_delta"]),
     ]
-    return conditions(with_row(seen, boot), rules)
+    return conditions(beside(seen, boot, keys), rules, keys)
 
 
 def population_guard(metrics: DataFrame, baseline: str = "population", candidate: str = "rank_blend") -> DataFrame:
@@ -187,13 +203,17 @@ def acceptance(
     budgets: DataFrame,
     seeds: DataFrame,
     bootstrap: DataFrame,
-    alphas: dict[int, float],
-    integrity: bool,
+    alphas: DataFrame,
+    panel: DataFrame,
     baseline: str,
     candidate: str,
     sensitive: str,
 ) -> DataFrame:
-    """Twelve named conditions of the confirmatory decision."""
+    """Twelve named conditions of the confirmatory decision.
+
+    ``alphas`` are the candidates of ``choose_alpha`` with the chosen one of each seed marked,
+    ``panel`` are the rows of ``panel_complete``.
+    """
     seen = country_observations(metrics, baseline, candidate, sensitive)
     at20 = budgets.where(F.abs(F.col("review_fraction") - 0.2) < 1e-9)
     recall = ev.country_deltas(at20, ["country"], "recall_at_budget", baseline, candidate)
@@ -206,11 +226,10 @@ def acceptance(
         F.percentile("macro_pr_auc_gain", F.lit(0.5)).alias("seed_median"),
     )
     row = seen
-    for part in (review, gains, bootstrap.select("lower_95")):
+    whole = panel.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).cast("int").alias("integrity"))
+    moved = alphas.where("selected").agg(F.count_if(F.col("alpha") > 0).alias("alphas"))
+    for part in (review, gains, bootstrap.select("lower_95"), whole, moved):
         row = with_row(row, part)
-    row = row.withColumns(
-        {"integrity": F.lit(int(integrity)), "alphas": F.lit(sum(a > 0 for a in alphas.values()))}
-    )
     limit = ACCEPTANCE_LIMITS
     return conditions(
         row,
@@ -231,17 +250,20 @@ def acceptance(
     )
 
 
-def transfer_decision(ap: DataFrame, budgets: DataFrame, baseline: str, candidate: str) -> DataFrame:
+def transfer_decision(
+    ap: DataFrame, budgets: DataFrame, baseline: str, candidate: str, keys: Sequence[str] = ()
+) -> DataFrame:
     """Keep the candidate unless AP falls by more than 0.01 or over one site is lost at 20 %."""
-    delta = ev.country_deltas(ap, [], "pr_auc", baseline, candidate).select(F.col("delta").alias("ap_delta"))
+    delta = ev.country_deltas(ap, keys, "pr_auc", baseline, candidate).select(*keys, F.col("delta").alias("ap_delta"))
     at20 = budgets.where(F.abs(F.col("review_fraction") - 0.2) < 1e-9)
-    sites = ev.country_deltas(at20, [], "sites_found", baseline, candidate).select(F.col("delta").alias("site_delta"))
+    sites = ev.country_deltas(at20, keys, "sites_found", baseline, candidate).select(*keys, F.col("delta").alias("site_delta"))
     return conditions(
-        with_row(delta, sites),
+        beside(delta, sites, keys),
         [
             ("pr_auc_delta_at_least_minus_0_01", "ap_delta", ">=", -0.01),
             ("positive_site_loss_at_20_no_more_than_one", "site_delta", ">=", -1),
         ],
+        keys,
     )
 
 
@@ -252,12 +274,15 @@ def median_thresholds(thresholds: DataFrame) -> DataFrame:
     )
 
 
-def variant_selection(df: DataFrame, by: Sequence[str] = ("macro_f1", "macro_pr_auc")) -> DataFrame:
+def variant_selection(
+    df: DataFrame, by: Sequence[str] = ("macro_f1", "macro_pr_auc"), keys: Sequence[str] = ()
+) -> DataFrame:
     """Score variants (``branch``) at their macro-F1 threshold and pick the best by ``by``."""
-    chosen = lookup(ev.macro_f1_threshold(df, ["branch"]))
-    tables = ev.country_metrics(df.join(chosen, "branch"), ["branch", "country"], F.col("threshold"))
-    summary = tables.groupBy("branch").agg(
+    own = [*keys, "branch"]
+    chosen = lookup(ev.macro_f1_threshold(df, own))
+    tables = ev.country_metrics(df.join(chosen, own), [*own, "country"], F.col("threshold"))
+    summary = tables.groupBy(*own).agg(
         F.round(F.avg("pr_auc"), 12).alias("macro_pr_auc"), F.min("pr_auc").alias("worst_country_pr_auc"), F.min("f1").alias("worst_country_f1")
     )
-    rated = summary.join(chosen, "branch").withColumn("eligible", F.lit(True))
-    return _select(rated, [*[-F.col(c) for c in by], F.col("branch")], "branch").drop("eligible")
+    rated = summary.join(chosen, own).withColumn("eligible", F.lit(True))
+    return _select(rated, [*[-F.col(c) for c in by], F.col("branch")], "branch", keys).drop("eligible")

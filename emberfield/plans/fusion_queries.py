@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberfield.operators import evaluation as ev
-from emberfield.operators import fusion, policy
+from emberfield.operators import contracts, fusion, nested, policy
 from emberfield.plans.evaluation_queries import (
     AP, CONFIRM_REPEATS, PAIRED_REPEATS, SEED_BRANCHES, THR, THRESHOLD, AUC, MACRO_F1, bootstrap_sql, budget_sql, confusion_sql, curve_sql,
     scores, seed_scores, seed_metrics, FOUND, SITES_FOUND, BEST,
 )
 from emberfield.plans.feature_queries import percentile_sql
-from emberfield.plans.registry import CTES, DOUBLES, PLAIN, query
-from emberfield.session import lookup, with_row
+from emberfield.plans.registry import CTES, query
+from emberfield.session import lookup, settle, with_row
 from emberfield.sources import bindings
 
 COMPACT, VISUAL, GUARDED = "score_compact_tabular", "score_visual", "score_guarded_cv_tabular"
@@ -135,24 +135,46 @@ def k6(spark, folder):
     return policy.choose_alpha(predictions(spark, folder), COMPACT, VISUAL)
 
 
-CTES["one_seed_metrics"] = "SELECT * FROM seed_metrics WHERE seed = 272"
+for _seed in bindings.SEEDS:
+    CTES[f"seed{_seed}_metrics"] = f"SELECT * FROM seed_metrics WHERE seed = {_seed}"
+    CTES[f"seed{_seed}_scores"] = f"SELECT * FROM seed_scores WHERE seed = {_seed}"
+    CTES[f"seed{_seed}_f1"] = MACRO_F1.format(keys="branch", qualified="branch", frame=f"seed{_seed}_scores")
+    CTES[f"seed{_seed}_pooled_budgeted"] = budget_sql("branch", f"seed{_seed}_scores", ev.BUDGETS)
+    CTES[f"seed{_seed}_pooled_curve"] = curve_sql("branch", f"seed{_seed}_scores")
 
+PER_SEED = []
+BY_SEED = ["seed"]
 
-def one_seed(spark, folder):
-    return seed_metrics(spark, folder).where(F.col("seed") == 272)
 
+def per_seed(name, one, doubles):
+    """Register a query with a result for each seed; ``one`` is its SQL over the tables of one seed."""
+    parts = [one.replace("one_seed_", f"seed{s}_").replace("pooled_", f"seed{s}_pooled_") for s in bindings.SEEDS]
+    PER_SEED.append(name)
+    return query(name, " UNION ALL ".join(f"SELECT {s} AS seed, * FROM ({part})" for s, part in zip(bindings.SEEDS, parts, strict=True)), doubles)
 
-@query(
+
+def settled_seed_scores(spark, folder):
+    return settle(seed_scores(spark, folder))
+
+
+def settled_seed_metrics(rows):
+    return settle(ev.full_metrics(rows, ["seed", *BRANCH_COUNTRY], THR))
+
+
+BRANCH_COUNTRY = ["branch", "country"]
+
+
+@per_seed(
     "k7_choose_candidate",
     f"WITH rated AS (SELECT *, branch = '{BASE}' OR {GUARD.format(g=0.005, n=3, w=-0.03)} AS eligible FROM ({guard_sql('one_seed_metrics', 'branch', repr(BASE))}))"
     + pick_sql("", "branch", "macro_ap DESC, branch"),
     "macro_ap gain worst_delta",
 )
 def k7(spark, folder):
-    return policy.choose_candidate(one_seed(spark, folder), BASE, 3, 0.03)
+    return policy.choose_candidate(settled_seed_metrics(settled_seed_scores(spark, folder)), BASE, 3, 0.03, BY_SEED)
 
 
-@query(
+@per_seed(
     "k8_global_selection",
     f"""WITH rated AS (SELECT g.*, macro_f1, macro_roc_auc, worst_country_pr_auc, g.branch = '{BASE}' OR {GUARD.format(g=0.005, n=4, w=-0.03)} AS eligible
     FROM ({guard_sql('one_seed_metrics', 'branch', repr(BASE))}) g JOIN (SELECT branch, ROUND(AVG(f1), 12) AS macro_f1, AVG(roc_auc) AS macro_roc_auc,
@@ -161,14 +183,10 @@ def k7(spark, folder):
     "macro_ap gain worst_delta macro_f1 macro_roc_auc worst_country_pr_auc",
 )
 def k8(spark, folder):
-    return policy.global_selection(one_seed(spark, folder), BASE)
+    return policy.global_selection(settled_seed_metrics(settled_seed_scores(spark, folder)), BASE, BY_SEED)
 
 
-CTES["one_seed_scores"] = "SELECT * FROM seed_scores WHERE seed = 272"
-CTES["one_seed_f1"] = MACRO_F1.format(keys="branch", qualified="branch", frame="one_seed_scores")
-
-
-@query(
+@per_seed(
     "k9_choose_branch",
     f"""WITH rated AS (SELECT g.*, f.macro_f1, ROUND(f.macro_f1 - b.macro_f1, 12) AS macro_f1_delta,
       g.branch = '{BASE}' OR ({GUARD.format(g=0.005, n=3, w=-0.03)} AND ROUND(f.macro_f1 - b.macro_f1, 12) >= -0.015) AS eligible
@@ -177,7 +195,7 @@ CTES["one_seed_f1"] = MACRO_F1.format(keys="branch", qualified="branch", frame="
     "macro_ap gain worst_delta macro_f1 macro_f1_delta",
 )
 def k9(spark, folder):
-    return policy.choose_branch(seed_scores(spark, folder).where(F.col("seed") == 272))
+    return policy.choose_branch(settled_seed_scores(spark, folder), keys=BY_SEED)
 
 
 def conditions_sql(observed, rules):
@@ -198,7 +216,7 @@ OBSERVED = f"""AVG(delta) AS macro_gain, COUNT(*) FILTER (delta > 0) AS improved
 MAX(delta) FILTER (country = '{SENSITIVE}') AS sensitive, AVG(f1) AS macro_f1_delta"""
 
 
-@query(
+@per_seed(
     "k10_selection_guard",
     conditions_sql(
         f"SELECT * FROM (SELECT {OBSERVED} FROM ({deltas_sql('one_seed_metrics')})), (SELECT lower_95 FROM ({bootstrap_sql('source_id', 42, 'one_seed_scores', BASE, CANDIDATE)})) b",
@@ -214,8 +232,8 @@ MAX(delta) FILTER (country = '{SENSITIVE}') AS sensitive, AVG(f1) AS macro_f1_de
     "observed",
 )
 def k10(spark, folder):
-    rows = seed_scores(spark, folder).where(F.col("seed") == 272)
-    return policy.selection_guard(one_seed(spark, folder), rows, BASE, CANDIDATE, SENSITIVE, PAIRED_REPEATS, 42)
+    rows = settled_seed_scores(spark, folder)
+    return policy.selection_guard(settled_seed_metrics(rows), rows, BASE, CANDIDATE, SENSITIVE, PAIRED_REPEATS, 42, BY_SEED)
 
 
 CTES["population_scores"] = f"""
@@ -271,6 +289,39 @@ def ensemble_scores(spark, folder):
     return ev.long_scores(ensemble(spark, folder), SEED_BRANCHES).withColumn("score", F.round("score", 9))
 
 
+def keyed_alpha_sql(key, frame):
+    """Tables of the chosen alpha for each value of ``key``: fused scores, their AP and the rated candidates."""
+    fused = f"""
+SELECT p.*, alpha, {fuse_sql('c', 'v', 'alpha')} AS score FROM (
+  SELECT p.*, {calibrate_sql(COMPACT, 'mc', 'sc')} AS c, {calibrate_sql(VISUAL, 'mv', 'sv')} AS v
+  FROM {frame} p JOIN (
+    SELECT h.{key}, h.country, AVG({logit_sql(COMPACT)}) AS mc, STDDEV_POP({logit_sql(COMPACT)}) AS sc,
+           AVG({logit_sql(VISUAL)}) AS mv, STDDEV_POP({logit_sql(VISUAL)}) AS sv
+    FROM (SELECT DISTINCT {key}, country FROM {frame}) h JOIN {frame} r ON r.{key} = h.{key} AND r.country <> h.country
+    GROUP BY h.{key}, h.country) s USING ({key}, country)) p,
+  (SELECT CAST(UNNEST([0, 0.15, 0.3, 0.5, 0.7]) AS DOUBLE) AS alpha) a"""
+    rows = f"SELECT {key}, country, is_eog_flare, alpha, score FROM {key}_fused UNION ALL SELECT {key}, country, is_eog_flare, -1, {COMPACT} FROM {frame}"
+    CTES[f"{key}_fused"], CTES[f"{key}_alpha_rows"] = fused, rows
+    CTES[f"{key}_alpha_curve"] = curve_sql(f"{key}, alpha, country", f"{key}_alpha_rows")
+    CTES[f"{key}_alpha_ap"] = f"SELECT {key}, alpha, country, {AP} AS pr_auc FROM {key}_alpha_curve GROUP BY {key}, alpha, country"
+    CTES[f"{key}_alphas"] = f"""
+SELECT {key}, alpha FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY macro_ap DESC, alpha) AS rn FROM (
+    SELECT m.{key}, m.alpha, ROUND(AVG(m.pr_auc), 12) AS macro_ap, ROUND(AVG(m.pr_auc - b.pr_auc), 12) AS gain,
+           COUNT(*) FILTER (ROUND(m.pr_auc - b.pr_auc, 12) > 0) AS improved_countries, ROUND(MIN(m.pr_auc - b.pr_auc), 12) AS worst_delta
+    FROM {key}_alpha_ap m JOIN (SELECT {key}, country, pr_auc FROM {key}_alpha_ap WHERE alpha = -1) b USING ({key}, country)
+    WHERE m.alpha >= 0 GROUP BY m.{key}, m.alpha)
+  WHERE alpha = 0 OR {GUARD.format(g=0.002, n=3, w=-0.03)}) WHERE rn = 1"""
+
+
+keyed_alpha_sql("seed", "seed_predictions")
+_BAD = " OR ".join(f"{c} < 0 OR {c} > 1" for c in (COMPACT, VISUAL))
+CTES["seed_panel"] = f"""
+SELECT seed, COUNT(*) = COUNT(DISTINCT source_id) AND COUNT(*) FILTER ({_BAD}) = 0
+  AND (SELECT COUNT(DISTINCT fingerprint) = 1 AND COUNT(*) = 3 FROM seed_prints) AS passed
+FROM seed_predictions GROUP BY seed"""
+
+
 @query(
     "k12_acceptance",
     conditions_sql(
@@ -280,9 +331,10 @@ def ensemble_scores(spark, folder):
    FROM (SELECT branch, country, COALESCE({FOUND}, 0) AS found, COALESCE({FOUND}, 0) / GREATEST(SUM(is_eog_flare), 1) AS recall FROM ensemble_budgeted WHERE review_fraction = 0.2 GROUP BY branch, country) b
    JOIN (SELECT branch, country, COALESCE({FOUND}, 0) AS found, COALESCE({FOUND}, 0) / GREATEST(SUM(is_eog_flare), 1) AS recall FROM ensemble_budgeted WHERE review_fraction = 0.2 GROUP BY branch, country) v
    USING (country) WHERE b.branch = '{BASE}' AND v.branch = '{CANDIDATE}') r,
-  (SELECT MIN(g) AS seed_min, MEDIAN(g) AS seed_median FROM (SELECT seed, AVG(delta) AS g FROM seed_deltas GROUP BY seed)) s""",
+  (SELECT MIN(g) AS seed_min, MEDIAN(g) AS seed_median FROM (SELECT seed, AVG(delta) AS g FROM seed_deltas GROUP BY seed)) s,
+  (SELECT CAST(BOOL_AND(passed) AS INT) AS integrity FROM seed_panel) i, (SELECT COUNT(*) FILTER (alpha > 0) AS alphas FROM seed_alphas) a""",
         [
-            ("integrity_valid", "1", ">=", 1),
+            ("integrity_valid", "integrity", ">=", 1),
             ("ensemble_macro_pr_auc_gain", "macro_gain", ">=", 0.01),
             ("ensemble_improved_countries", "improved", ">=", 4),
             ("ensemble_worst_country_pr_auc_delta", "worst", ">=", -0.02),
@@ -293,32 +345,29 @@ def ensemble_scores(spark, folder):
             ("worst_positive_count_loss_at_20", "lost", ">=", -1),
             ("all_seed_macro_pr_auc_gains_positive", "seed_min", ">", 0),
             ("median_seed_macro_pr_auc_gain", "seed_median", ">=", 0.01),
-            ("nonzero_full_foreign_seed_alphas", "2", ">=", 2),
+            ("nonzero_full_foreign_seed_alphas", "alphas", ">=", 2),
         ],
     ),
     "observed",
 )
 def k12(spark, folder):
-    rows = ensemble_scores(spark, folder)
-    seeds = ev.seed_summary(seed_metrics(spark, folder), BASE, CANDIDATE)
+    panel = settle(bindings.seed_predictions(spark, folder))
+    rows = settle(ev.long_scores(fusion.ensemble_predictions(panel, [COMPACT, VISUAL, GUARDED]), SEED_BRANCHES).withColumn("score", F.round("score", 9)))
+    seeds = ev.seed_summary(settled_seed_metrics(settle(ev.long_scores(panel, SEED_BRANCHES))), BASE, CANDIDATE)
     return policy.acceptance(
         ev.full_metrics(rows, ["branch", "country"], THR),
         ev.review_budgets(rows, ["branch", "country"]),
         seeds,
         ev.block_bootstrap(rows, BASE, CANDIDATE, CONFIRM_REPEATS, 13014),
-        ALPHA_OF_SEED,
-        True,
+        policy.choose_alpha(panel, COMPACT, VISUAL, keys=BY_SEED),
+        contracts.panel_complete(panel, [COMPACT, VISUAL]),
         BASE,
         CANDIDATE,
         SENSITIVE,
     )
 
 
-CTES["pooled_budgeted"] = budget_sql("branch", "one_seed_scores", ev.BUDGETS)
-CTES["pooled_curve"] = curve_sql("branch", "one_seed_scores")
-
-
-@query(
+@per_seed(
     "k13_transfer_decision",
     conditions_sql(
         f"""SELECT MAX(ap) FILTER (branch = '{CANDIDATE}') - MAX(ap) FILTER (branch = '{BASE}') AS ap_delta,
@@ -330,10 +379,8 @@ CTES["pooled_curve"] = curve_sql("branch", "one_seed_scores")
     "observed",
 )
 def k13(spark, folder):
-    rows = seed_scores(spark, folder).where(F.col("seed") == 272)
-    return policy.transfer_decision(
-        ev.average_precision(rows, ["branch"]), ev.review_budgets(rows, ["branch"]), BASE, CANDIDATE
-    )
+    rows, own = settled_seed_scores(spark, folder), ["seed", "branch"]
+    return policy.transfer_decision(ev.average_precision(rows, own), ev.review_budgets(rows, own), BASE, CANDIDATE, BY_SEED)
 
 
 CTES["deployable"] = f"SELECT *, {VISUAL} >= 0.1 AS image_available, ({COMPACT} + {VISUAL}) / 2 AS score_all77_tabular FROM predictions"
@@ -411,7 +458,7 @@ def k17(spark, folder):
     return ev.binary_metrics(rows, ["branch", "country"], F.col("threshold"))
 
 
-@query(
+@per_seed(
     "k18_variant_selection",
     f"""
 WITH rated AS (
@@ -424,55 +471,89 @@ SELECT * EXCLUDE (eligible) FROM ({pick_sql("", "branch", "macro_f1 DESC, macro_
     "macro_pr_auc worst_country_pr_auc worst_country_f1 threshold macro_f1",
 )
 def k18(spark, folder):
-    return policy.variant_selection(seed_scores(spark, folder).where(F.col("seed") == 272))
-
-
-PER_SEED = ("k7_choose_candidate", "k8_global_selection", "k9_choose_branch", "k10_selection_guard", "k13_transfer_decision", "k18_variant_selection")
-
-
-def chosen_from(rows, metrics):
-    """What each query of ``PER_SEED`` makes of the scores and the metrics of one seed."""
-    return {
-        "k7_choose_candidate": lambda: policy.choose_candidate(metrics, BASE, 3, 0.03),
-        "k8_global_selection": lambda: policy.global_selection(metrics, BASE),
-        "k9_choose_branch": lambda: policy.choose_branch(rows),
-        "k10_selection_guard": lambda: policy.selection_guard(metrics, rows, BASE, CANDIDATE, SENSITIVE, PAIRED_REPEATS, 42),
-        "k13_transfer_decision": lambda: policy.transfer_decision(
-            ev.average_precision(rows, ["branch"]), ev.review_budgets(rows, ["branch"]), BASE, CANDIDATE
-        ),
-        "k18_variant_selection": lambda: policy.variant_selection(rows),
-    }
-
-
-def every_seed(name):
-    """The query's result for each seed, the seed before it; rows of all seeds are read."""
-
-    def run(spark, folder):
-        scored, measured, parts = seed_scores(spark, folder), seed_metrics(spark, folder), None
-        for seed in bindings.SEEDS:
-            own = F.col("seed") == seed
-            part = chosen_from(scored.where(own), measured.where(own))[name]()
-            part = part.select(F.lit(seed).alias("seed"), *part.columns)
-            parts = part if parts is None else parts.unionByName(part)
-        return parts
-
-    return run
+    return policy.variant_selection(settled_seed_scores(spark, folder), keys=BY_SEED)
+
+
+CTES["inner_predictions"] = bindings.INNER
+CTES["outer_predictions"] = bindings.OUTER
+keyed_alpha_sql("held_out", "inner_predictions")
+CTES["inner_long"] = f"""
+SELECT held_out, source_id, country, is_eog_flare, 'compact_tabular' AS branch, {COMPACT} AS score FROM inner_predictions
+UNION ALL SELECT held_out, source_id, country, is_eog_flare, 'all77_tabular', score_all77_tabular FROM inner_predictions
+UNION ALL SELECT held_out, source_id, country, is_eog_flare, 'guarded_cv_tabular', score FROM held_out_fused JOIN held_out_alphas USING (held_out, alpha)"""
+CTES["inner_curve"] = curve_sql("held_out, branch, country", "inner_long")
+CTES["inner_ap"] = f"SELECT held_out, branch, country, {AP} AS pr_auc FROM inner_curve GROUP BY held_out, branch, country"
+STEP_F1 = """
+SELECT {key}, branch, threshold, macro_f1 FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY {key}, branch ORDER BY macro_f1 DESC, threshold) AS rn FROM (
+    SELECT {key}, branch, score AS threshold, ROUND(SUM(step) OVER (PARTITION BY {key}, branch ORDER BY score DESC) / countries, 12) AS macro_f1
+    FROM (SELECT {key}, branch, score, SUM(2.0 * found / (seen + positives) - COALESCE(2.0 * (found - pos) / NULLIF(seen - n + positives, 0), 0)) AS step
+          FROM {curve} GROUP BY {key}, branch, score)
+    JOIN (SELECT {key}, branch, COUNT(DISTINCT country) AS countries FROM {curve} GROUP BY {key}, branch) USING ({key}, branch))) WHERE rn = 1"""
+CTES["inner_f1"] = STEP_F1.format(key="held_out", curve="inner_curve")
+CTES["inner_rated"] = f"""
+SELECT g.*, f.threshold, f.macro_f1, g.branch = 'compact_tabular'
+    OR ({GUARD.format(g=0.005, n=3, w=-0.03)} AND ROUND(f.macro_f1 - b.macro_f1, 12) >= -0.015) AS eligible
+FROM (SELECT m.held_out, m.branch, ROUND(AVG(m.pr_auc), 12) AS macro_ap, ROUND(AVG(m.pr_auc - b.pr_auc), 12) AS gain,
+        COUNT(*) FILTER (ROUND(m.pr_auc - b.pr_auc, 12) > 0) AS improved_countries, ROUND(MIN(m.pr_auc - b.pr_auc), 12) AS worst_delta
+      FROM inner_ap m JOIN (SELECT held_out, country, pr_auc FROM inner_ap WHERE branch = 'compact_tabular') b USING (held_out, country) GROUP BY ALL) g
+JOIN inner_f1 f USING (held_out, branch) JOIN (SELECT held_out, macro_f1 FROM inner_f1 WHERE branch = 'compact_tabular') b USING (held_out)"""
+RANK = "CASE branch WHEN 'compact_tabular' THEN 0 WHEN 'all77_tabular' THEN 1 WHEN 'guarded_cv_tabular' THEN 2 ELSE 9 END"
+CTES["inner_choices"] = f"""
+SELECT held_out, branch, macro_ap, eligible, threshold, macro_f1, alpha,
+  eligible AND ROW_NUMBER() OVER (PARTITION BY held_out, eligible ORDER BY macro_ap DESC, {RANK}, branch) = 1 AS selected
+FROM inner_rated JOIN held_out_alphas USING (held_out)"""
+
+
+@query("k19_nested_choices", "SELECT * FROM inner_choices", "macro_ap threshold macro_f1 alpha")
+def k19_choices(spark, folder):
+    """Alpha, branch and thresholds of every held-out country, all from one table of inner scores."""
+    return nested.nested_choices(bindings.inner_predictions(spark, folder))
+
+
+CTES["outer_long"] = f"""
+SELECT source_id, country, is_eog_flare, 'compact_tabular' AS branch, {COMPACT} AS score FROM outer_predictions
+UNION ALL SELECT source_id, country, is_eog_flare, 'all77_tabular', score_all77_tabular FROM outer_predictions
+UNION ALL SELECT source_id, country, is_eog_flare, 'guarded_cv_tabular', {fuse_sql('c', 'v', 'alpha')} FROM (
+  SELECT o.*, alpha, {calibrate_sql(COMPACT, 'mean_c', 'std_c')} AS c, {calibrate_sql(VISUAL, 'mean_v', 'std_v')} AS v
+  FROM outer_predictions o JOIN held_out_alphas USING (held_out) JOIN (SELECT held_out, {REFERENCE[7:]} FROM inner_predictions GROUP BY held_out) USING (held_out))"""
+CTES["outer_judged"] = """
+SELECT o.*, threshold FROM outer_long o JOIN inner_choices c ON c.held_out = o.country AND c.branch = o.branch
+UNION ALL SELECT o.* REPLACE ('nested_champion' AS branch), threshold
+FROM outer_long o JOIN inner_choices c ON c.held_out = o.country AND c.branch = o.branch WHERE selected"""
+CTES["outer_curve"] = curve_sql("branch, country", "outer_judged")
 
 
-for _seed in bindings.SEEDS:
-    CTES[f"seed{_seed}_metrics"] = f"SELECT * FROM seed_metrics WHERE seed = {_seed}"
-    CTES[f"seed{_seed}_scores"] = f"SELECT * FROM seed_scores WHERE seed = {_seed}"
-    CTES[f"seed{_seed}_f1"] = MACRO_F1.format(keys="branch", qualified="branch", frame=f"seed{_seed}_scores")
-    CTES[f"seed{_seed}_pooled_budgeted"] = budget_sql("branch", f"seed{_seed}_scores", ev.BUDGETS)
-    CTES[f"seed{_seed}_pooled_curve"] = curve_sql("branch", f"seed{_seed}_scores")
+@query(
+    "k19_nested_selection",
+    f"SELECT * FROM ({confusion_sql('branch, country', 'outer_judged', 'threshold')}) JOIN (SELECT branch, country, {AP} AS pr_auc, {AUC} AS roc_auc FROM outer_curve GROUP BY branch, country) USING (branch, country)",
+    "thr brier precision recall f1 mcc pr_auc roc_auc",
+)
+def k19_selection(spark, folder):
+    """Metrics of every branch and of the champion in each held-out country, judged by what the others chose."""
+    inner = settle(bindings.inner_predictions(spark, folder))
+    choices = nested.nested_choices(inner)
+    judged = settle(nested.apply_choices(inner, bindings.outer_predictions(spark, folder), choices))
+    return ev.full_metrics(judged, BRANCH_COUNTRY, F.col("threshold"))
 
 
-def every_seed_sql(name):
-    """The one-seed SQL over the tables of each seed."""
-    one = PLAIN[name]
-    parts = [one.replace("one_seed_", f"seed{s}_").replace("pooled_", f"seed{s}_pooled_") for s in bindings.SEEDS]
-    return " UNION ALL ".join(f"SELECT {s} AS seed, * FROM ({part})" for s, part in zip(bindings.SEEDS, parts, strict=True))
+CTES["variant_choice"] = """
+SELECT held_out, branch, threshold FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY held_out ORDER BY macro_f1 DESC, macro_pr_auc DESC, branch) AS rn
+  FROM (SELECT held_out, branch, ROUND(AVG(pr_auc), 12) AS macro_pr_auc FROM inner_ap GROUP BY held_out, branch) JOIN inner_f1 USING (held_out, branch)) WHERE rn = 1"""
 
 
-for _name in PER_SEED:
-    query(f"{_name}_seeds", every_seed_sql(_name), DOUBLES[_name])(every_seed(_name))
+@query(
+    "k19_nested_variants",
+    confusion_sql("branch, country", "(SELECT o.*, threshold FROM outer_long o JOIN variant_choice c ON c.held_out = o.country AND c.branch = o.branch)", "threshold"),
+    "thr brier precision recall f1 mcc",
+)
+def k19_variants(spark, folder):
+    """Each held-out country under the variant that the other countries chose."""
+    inner, outer = settle(bindings.inner_predictions(spark, folder)), bindings.outer_predictions(spark, folder)
+    choices = nested.nested_choices(inner)
+    long = nested.apply_choices(inner, outer, choices).where(F.col("branch") != nested.CHAMPION).drop("threshold")
+    rows = ev.long_scores(inner, ["compact_tabular", "all77_tabular"]).select("held_out", *nested.KEPT, "branch", "score")
+    fused = fusion.crossfit_fusion(inner, COMPACT, VISUAL, keys=["held_out"]).join(lookup(choices.select("held_out", "alpha").distinct()), ["held_out", "alpha"])
+    rows = settle(rows.unionByName(fused.select("held_out", *nested.KEPT, F.lit("guarded_cv_tabular").alias("branch"), "score")))
+    return ev.binary_metrics(nested.nested_variants(rows, long), BRANCH_COUNTRY, F.col("threshold"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberfield.operators import evaluation as ev
 from emberfield.operators import features as ft
-from emberfield.operators import folds, policy
+from emberfield.operators import folds, nested, policy
 from emberfield.operators import models as md
 from emberfield.plans.audit_queries import scratch
 from emberfield.plans.evaluation_queries import confusion_sql, scores
@@ -182,6 +182,38 @@ def i8_sides(spark, folder):
     )
 
 
+@query(
+    "i8_pair_sides",
+    """
+SELECT a.country || '|' || b.country AS excluded, a.n + b.n AS n_scored, t.n - a.n - b.n AS n_trained, t.p - a.p - b.p AS positives_trained, 0 AS seen, 0 AS repeated
+FROM (SELECT country, COUNT(*) AS n, SUM(is_eog_flare) AS p FROM predictions GROUP BY country) a
+JOIN (SELECT country, COUNT(*) AS n, SUM(is_eog_flare) AS p FROM predictions GROUP BY country) b ON a.country < b.country,
+(SELECT COUNT(*) AS n, SUM(is_eog_flare) AS p FROM predictions) t""",
+)
+def i8_pairs(spark, folder):
+    """What the boosted trees of each excluded pair of countries were fitted on and scored."""
+    rows = settle(bindings.predictions(spark, folder))
+    scorer = md.gbt_score(["score_compact_tabular", "score_visual"])
+    met = nested.sides(rows, nested.excluded_scores(rows, {"compact_tabular": scorer}, 2))
+    return met.withColumn("excluded", F.array_join("excluded", "|")).select("excluded", "n_scored", "n_trained", "positives_trained", "seen", "repeated")
+
+
+def nested_branches():
+    """Boosted trees on calendar and on all thermal features, and a linear scorer beside them."""
+    calendar_columns = [c for c in COLUMNS if c in ("n_days", "n_months", "span_days", "duty_cycle", "month_entropy", "n_det")]
+    return {
+        "compact_tabular": md.gbt_score(calendar_columns or COLUMNS[:6]), "all77_tabular": md.gbt_score(COLUMNS), "visual": md.logistic_score(COLUMNS),
+    }
+
+
+@query("k19_nested_fits")
+def k19_fits(spark, folder):
+    """The whole nested protocol: pair-excluded fits, choices without the held-out country, outer fits judged once."""
+    train, _ = split(spark, folder)
+    _, judged = nested.nested_selection(train, nested_branches())
+    return ev.full_metrics(settle(judged), ["branch", "country"], F.col("threshold"))
+
+
 @query("i11_feature_importance")
 def i11(spark, folder):
     train, _ = split(spark, folder)

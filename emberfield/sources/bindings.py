@@ -68,6 +68,18 @@ SEED_COLUMNS = """seed, source_id, country, block_id, is_eog_flare, eog_flare_id
        ROUND((score_compact_tabular + score_visual) / 2 + 0.03e0 * is_eog_flare
              - (seed - 271) * 0.001e0 + 0.0002e0, 3) AS score_guarded_cv_tabular"""
 
+OUTER = """
+SELECT country AS held_out, *, ROUND((score_compact_tabular + score_visual) / 2, 4) AS score_all77_tabular FROM predictions
+"""
+
+INNER = """
+SELECT o.held_out, source_id, country, block_id, is_eog_flare, eog_flare_id,
+       ROUND(score_compact_tabular * (1 - 0.02e0 * (ASCII(o.held_out) % 4) * (LENGTH(source_id) % 2)), 3) AS score_compact_tabular,
+       ROUND(score_visual * (1 - 0.2e0 * (ASCII(o.held_out) % 3) * (LENGTH(source_id) % 3)), 3) AS score_visual,
+       ROUND((score_compact_tabular + score_visual) / 2 - 0.03e0 * (ASCII(o.held_out) % 2) * (LENGTH(source_id) % 2), 4) AS score_all77_tabular
+FROM predictions p JOIN (SELECT DISTINCT country AS held_out FROM predictions) o ON p.country <> o.held_out
+"""
+
 PIXELS = """
 SELECT chip_id, row, col,
        ROUND(AVG(price) / 100000 + 2.7e-9, 8) AS blue, ROUND(AVG(price) / 90000 + 0.01e0 + 2.7e-9, 8) AS green,
@@ -129,6 +141,16 @@ def seed_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(f"SELECT {SEED_COLUMNS} FROM {{seeded}}", seeded=seeded)
 
 
+def outer_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions of every country as its held-out rows."""
+    return _bind(spark, OUTER, predictions=predictions(spark, folder))
+
+
+def inner_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions of all other countries for every held-out one, with scores that differ between them."""
+    return _bind(spark, INNER, predictions=predictions(spark, folder))
+
+
 def pixels(spark: SparkSession, folder: str) -> DataFrame:
     return _bind(spark, PIXELS, lineitem=table(spark, folder, "lineitem"))
 

@@ -22,7 +22,7 @@ CORE = {
     "h3_grouped_folds", "h7_pu_bags", "h9_document_site_blocks", "i7_normalise_views", "j1_binary_metrics",
     "j2_average_precision", "j4_best_f1_threshold", "j5_macro_f1_threshold", "j6_calibration_table",
     "j12_review_budgets", "j17_block_bootstrap", "k1_late_fusion", "k6_choose_alpha", "k12_acceptance",
-    "k15_seed_pipeline_policy", "l1_table_fingerprint", "l7_panel_complete", "m2_stream_source_months",
+    "k15_seed_pipeline_policy", "k19_nested_selection", "l1_table_fingerprint", "l7_panel_complete", "m2_stream_source_months",
     "m3_stream_activity_episodes",
 }
 NAMES = sorted(ORACLES if os.environ.get("EMBERFIELD_ORACLE") == "all" else CORE)
