@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfield.functions.columns import GRID_M, LABEL_RADIUS_M, block_id, cell_index, cell_key, local_x, local_y
-from emberfield.session import lookup
+from emberfield.session import lookup, settle
 
 
 def origins(det: DataFrame) -> DataFrame:
@@ -164,26 +164,56 @@ def source_summary(labelled: DataFrame, sites: DataFrame, *extra: str) -> DataFr
     )
 
 
-def grid_sweep(det: DataFrame, sites: DataFrame, cells: tuple[int, ...] = (500, 1000, 2000)) -> DataFrame:
+def fine_cells(det: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """(country, fx, fy, n, sx, sy) of a fine grid, and the origins: one scan of the detections.
+
+    Detections collapse to their distinct coordinates with a count; origins and cells follow from those.
+    """
+    spots = settle(det.groupBy("country", "latitude", "longitude").agg(F.count(F.lit(1)).alias("n")))
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 6)
+    origin = lookup(spots.groupBy("country").agg(mean("latitude").alias("lat0"), mean("longitude").alias("lon0")))
+    cells = project(spots, origin).groupBy("country", cell_index(F.col("x"), step).alias("fx"), cell_index(F.col("y"), step).alias("fy"))
+    sums = cells.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x")).alias("sx"), F.sum(F.col("n") * F.col("y")).alias("sy"))
+    return settle(sums), origin
+
+
+def grid_sweep(
+    det: DataFrame, sites: DataFrame, cells: tuple[int, ...] = (500, 1000, 2000), radius_m: float = LABEL_RADIUS_M
+) -> DataFrame:
     """Recall and fragmentation for several cell sizes.
 
-    The projection is shared; each size aggregates its own cells, since exploding
-    detections by size would shuffle every detection once per size anyway.
+    Cells of the common divisor hold mergeable sums, which roll up to the cells of every size. The sites
+    around are found by one join over (size, cell).
     """
-    origin = lookup(origins(det))
-    projected = project(det, origin)
-    parts = None
-    for size in cells:
-        located = with_cells(projected, size)
-        labelled = label_sources(build_sources(located), sites, origin, size)
-        report = source_summary(labelled, sites).withColumn("grid_m", F.lit(size))
-        parts = report if parts is None else parts.unionByName(report)
-    return parts.select(
-        "grid_m",
-        "country",
-        "sources",
-        "sources_matched",
-        "eog_recovered",
-        "eog_recall_pct",
+    step = math.gcd(*cells)
+    fine, origin = fine_cells(det, step)
+    size = F.array(*[F.struct(F.lit(c).alias("grid_m"), F.lit(c // step).alias("k")) for c in cells])
+    coarse = lambda c: F.floor(F.col(c) / F.col("g.k"))
+    rolled = (
+        fine.withColumn("g", F.explode(size))
+        .groupBy(F.col("g.grid_m").alias("grid_m"), "country", coarse("fx").alias("cx"), coarse("fy").alias("cy"))
+        .agg((F.sum("sx") / F.sum("n")).alias("x"), (F.sum("sy") / F.sum("n")).alias("y"))
+    )
+    index = lambda c: F.floor(F.col(c) / F.col("grid_m")).cast("bigint")
+    src = settle(rolled.withColumns({"ix": index("x"), "iy": index("y")}))
+    reach = F.array(*[F.struct(F.lit(c).alias("grid_m"), F.lit(math.ceil(radius_m / c)).alias("k")) for c in cells])
+    placed = project(sites.select("flare_id", "country", "lat", "lon"), origin, "lat", "lon")
+    spread = lambda: F.explode(F.sequence(-F.col("g.k"), F.col("g.k")))
+    around = (
+        placed.withColumn("g", F.explode(reach)).withColumn("dx", spread()).withColumn("dy", spread())
+        .withColumn("grid_m", F.col("g.grid_m"))
+        .select("grid_m", "country", (index("x") + F.col("dx")).alias("ix"), (index("y") + F.col("dy")).alias("iy"), "flare_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    )
+    own = ["grid_m", "country", "cx", "cy"]
+    distance = F.hypot(F.col("sx") - F.col("x"), F.col("sy") - F.col("y"))
+    near = src.join(around, ["grid_m", "country", "ix", "iy"]).groupBy(*own).agg(F.min(F.struct(distance.alias("d"), "flare_id")).alias("best"))
+    hits = near.where(F.col("best.d") <= radius_m).groupBy("grid_m", "country", F.col("best.flare_id").alias("flare_id")).agg(F.count(F.lit(1)).alias("n"))
+    found = hits.groupBy("grid_m", "country").agg(F.sum("n").alias("sources_matched"), F.count(F.lit(1)).alias("eog_recovered"))
+    counted = src.groupBy("grid_m", "country").agg(F.count(F.lit(1)).alias("sources"))
+    totals = sites.groupBy("country").agg(F.count(F.lit(1)).alias("eog_sites"))
+    whole = counted.join(found, ["grid_m", "country"], "left").join(totals, "country", "left").fillna(0, ["sources_matched", "eog_recovered", "eog_sites"])
+    return whole.select(
+        "grid_m", "country", "sources", "sources_matched", "eog_recovered",
+        F.round(100 * F.col("eog_recovered") / F.greatest("eog_sites", F.lit(1)), 1).alias("eog_recall_pct"),
         F.round(F.col("sources_matched") / F.greatest("eog_recovered", F.lit(1)), 3).alias("fragments_per_site"),
     )

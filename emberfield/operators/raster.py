@@ -260,17 +260,77 @@ def chip_constraints(chips: DataFrame, pixels: DataFrame, window: tuple[str, str
     return joined.select("chip_id", F.explode(failed).alias("rule"))
 
 
+RECORDED = ("source_id", "country", "chip_id", "scene_id", "scene_time", "crs")
+
+
+def record_constraints(chips: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(chip_id, failed rule) of what a chip's record says against the chip: status, identity, grid and masks.
+
+    ``chips`` carries chip_id, status, collection, wanted_collection, transform (six numbers), the columns of
+    ``RECORDED`` and each again with the prefix ``recorded_``. ``pixels`` carries chip_id, scl, landcover and the
+    stored masks clear_mask and landcover_mask. Facts are one aggregate for each chip, and the rules a small
+    table joined to them.
+    """
+    odd = lambda bad: F.count_if(F.coalesce(bad, F.lit(True)))
+    facts = pixels.groupBy("chip_id").agg(
+        odd(F.col("landcover_mask") != (F.col("landcover") != 0)).alias("landcover_breaks"),
+        odd(F.col("clear_mask") & ~F.col("scl").isin(*CLEAR_CLASSES)).alias("scl_breaks"),
+    )
+    joined = chips.join(facts, "chip_id", "left")
+    same = {f"{c} identity": F.col(c) == F.col(f"recorded_{c}") for c in RECORDED}
+    at = F.col("transform")
+    square = [F.abs(at[i] - value) <= 1e-8 + 1e-5 * abs(value) for i, value in enumerate((PIXEL_M, 0, None, 0, -PIXEL_M)) if value is not None]
+    kept = same | {
+        "status": F.col("status") == "ok",
+        "collection": F.col("collection") == F.col("wanted_collection"),
+        "pixel grid": (F.size("transform") == 6) & square[0] & square[1] & square[2] & square[3],
+        "land cover mask": F.col("landcover_breaks") == 0,
+        "scene class under clear mask": F.col("scl_breaks") == 0,
+    }
+    states = F.array(*[F.struct(F.lit(name).alias("rule"), F.coalesce(holds, F.lit(False)).alias("holds")) for name, holds in kept.items()])
+    return joined.select("chip_id", F.explode(states).alias("s")).where(~F.col("s.holds")).select("chip_id", "s.rule")
+
+
+def scene_statistics(scenes: DataFrame, pixels: DataFrame, size: int = SIDE, limit: int = MAX_SCENES) -> DataFrame:
+    """Coverage, band coverage and tail of the first ``limit`` scenes of each chip, from integer bands.
+
+    ``scenes`` is (chip_id, scene_id, cloud_cover, scale, offset), ``pixels`` (chip_id, scene_id, row, col, scl,
+    bands). The narrow scene table is ranked first, so pixels of later scenes are never scaled. One pass over
+    the pixels then gives all fractions.
+    """
+    w = Window.partitionBy("chip_id").orderBy("cloud_cover", "scene_id")
+    first = scenes.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).drop("place")
+    scaled = apply_scale(pixels.join(first, ["chip_id", "scene_id"]), F.col("scale"), F.col("offset"))
+    finite = F.lit(True)
+    for band in BANDS:
+        finite = finite & F.col(band).isNotNull() & ~F.isnan(band)
+    clear = F.col("scl").isin(*CLEAR_CLASSES)
+    inner = [F.col(c).between(size * 3 / 8, size * 5 / 8 - 1e-9) for c in ("row", "col")]
+    low = sum((F.col(b) < -0.05).cast("int") for b in BANDS) / len(BANDS)
+    rows = scaled.withColumns({"_clear": clear, "_finite": clear & finite, "_centre": inner[0] & inner[1], "_low": low})
+    stats = rows.groupBy("chip_id", "scene_id").agg(
+        _mean_where(F.col("_clear"), F.lit(True)).alias("clear_full"),
+        _mean_where(F.col("_clear"), F.col("_centre")).alias("clear_center"),
+        _mean_where(F.col("_finite"), F.lit(True)).alias("finite_full"),
+        _mean_where(F.col("_finite"), F.col("_centre")).alias("finite_center"),
+        F.avg(F.when(F.col("_finite"), F.col("_low"))).alias("tail"),
+    )
+    fractions = ("clear_full", "clear_center", "finite_full", "finite_center", "tail")
+    return first.join(stats, ["chip_id", "scene_id"], "left").fillna(0.0, fractions)
+
+
 def choose_scene(scenes: DataFrame, limit: int = MAX_SCENES) -> DataFrame:
     """Least cloudy acceptable scene per chip among the first ``limit``; rejects with reasons.
 
     ``scenes`` has chip_id, scene_id, cloud_cover, clear_full, clear_center,
-    finite_full, finite_center, tail. Ranking stops at ``limit`` per chip before
-    the shuffle.
+    finite_full, finite_center, tail; with scale and offset, these are judged too.
+    Ranking stops at ``limit`` per chip before the shuffle.
     """
     w = Window.partitionBy("chip_id").orderBy("cloud_cover", "scene_id")
     first = scenes.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
     reason = (
         F.when(F.least("clear_full", "clear_center") < MIN_CLEAR, "cloud/coverage")
+        .when(~_sound_scale() if {"scale", "offset"} <= set(scenes.columns) else F.lit(False), "invalid scale or offset")
         .when(F.least("finite_full", "finite_center") < MIN_CLEAR, "missing band pixels")
         .when(F.col("tail") > 0.05, "suspect reflectance offset")
     )
@@ -287,8 +347,15 @@ def choose_scene(scenes: DataFrame, limit: int = MAX_SCENES) -> DataFrame:
     )
 
 
-def apply_scale(pixels: DataFrame, scale: float, offset: float, bands: Sequence[str] = BANDS) -> DataFrame:
-    """Integer band values to reflectance."""
+def _sound_scale() -> Column:
+    known = [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in ("scale", "offset")]
+    return known[0] & known[1] & (F.col("scale") > 0)
+
+
+def apply_scale(pixels: DataFrame, scale: float | Column, offset: float | Column, bands: Sequence[str] = BANDS) -> DataFrame:
+    """Integer band values to reflectance; a column scale that is not positive gives NULL."""
+    if isinstance(scale, Column):
+        return pixels.withColumns({b: F.when(scale > 0, F.col(b) * scale + offset) for b in bands})
     if not scale > 0:
         raise ValueError("scale must be positive")
     return pixels.withColumns({b: F.col(b) * scale + offset for b in bands})

@@ -293,6 +293,98 @@ def f14(spark, folder):
     return rs.choose_scene(spark.sql(SCENES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem))
 
 
+SCENE_SIDE = 4
+CTES["scene_meta"] = """
+SELECT l_suppkey AS chip_id, CONCAT(l_returnflag, CAST(l_linenumber AS VARCHAR(2))) AS scene_id, ROUND(AVG(l_discount) * 100, 2) AS cloud_cover,
+       CASE WHEN l_suppkey % 17 = 0 AND l_linenumber = 2 THEN 0e0 ELSE 0.0001e0 END AS scale,
+       CASE WHEN l_suppkey % 5 = 0 AND l_linenumber % 2 = 0 THEN -0.4e0 ELSE -0.1e0 END AS offset_
+FROM lineitem GROUP BY l_suppkey, l_returnflag, l_linenumber
+"""
+CTES["scene_pixels"] = f"""
+SELECT l_suppkey AS chip_id, CONCAT(l_returnflag, CAST(l_linenumber AS VARCHAR(2))) AS scene_id,
+       CAST(l_orderkey % {SCENE_SIDE} AS INT) AS row, CAST(FLOOR(l_orderkey / {SCENE_SIDE}) % {SCENE_SIDE} AS INT) AS col,
+       CASE WHEN MAX(l_quantity) >= 50 AND l_suppkey % 3 = 0 THEN 3 WHEN MAX(l_quantity) > 47 THEN 5 ELSE 4 END AS scl,
+       CAST(MAX(l_quantity) * 100 AS INT) AS blue, CAST(MIN(l_quantity) * 100 AS INT) AS green, CAST(MAX(l_tax) * 10000 AS INT) AS red,
+       CASE WHEN MIN(l_quantity) < 3 AND l_suppkey % 7 = 0 THEN NULL ELSE CAST(MAX(l_discount) * 50000 AS INT) END AS nir,
+       CAST(MAX(l_tax) * 40000 AS INT) AS swir16, CAST(MIN(l_quantity) * 80 AS INT) AS swir22
+FROM lineitem GROUP BY l_suppkey, l_returnflag, l_linenumber, l_orderkey % {SCENE_SIDE}, FLOOR(l_orderkey / {SCENE_SIDE}) % {SCENE_SIDE}
+"""
+_SCALED = {b: f"(CASE WHEN scale > 0 THEN {b} * scale + offset_ END)" for b in rs.BANDS}
+CTES["scene_rated"] = f"""
+WITH placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chip_id ORDER BY cloud_cover, scene_id) AS place FROM scene_meta),
+px AS (
+  SELECT chip_id, scene_id, scl IN (4, 5, 6) AS clear, scl IN (4, 5, 6) AND {" AND ".join(f"{v} IS NOT NULL" for v in _SCALED.values())} AS finite,
+         row >= {SCENE_SIDE * 3 / 8} AND row < {SCENE_SIDE * 5 / 8} AND col >= {SCENE_SIDE * 3 / 8} AND col < {SCENE_SIDE * 5 / 8} AS centre,
+         ({" + ".join(f"CASE WHEN {v} < -0.05 THEN 1 ELSE 0 END" for v in _SCALED.values())}) / 6.0 AS low
+  FROM scene_pixels JOIN placed USING (chip_id, scene_id) WHERE place <= 8),
+stats AS (
+  SELECT chip_id, scene_id, AVG(clear::INT) AS cf, AVG(clear::INT) FILTER (centre) AS cc, AVG(finite::INT) AS ff, AVG(finite::INT) FILTER (centre) AS fc,
+         AVG(low) FILTER (finite) AS tail FROM px GROUP BY ALL)
+SELECT p.*, COALESCE(cf, 0) AS clear_full, COALESCE(ff, 0) AS finite_full, COALESCE(tail, 0) AS tail,
+  CASE WHEN LEAST(COALESCE(cf, 0), COALESCE(cc, 0)) < 0.8 THEN 'cloud/coverage' WHEN NOT (scale > 0) THEN 'invalid scale or offset'
+       WHEN LEAST(COALESCE(ff, 0), COALESCE(fc, 0)) < 0.8 THEN 'missing band pixels' WHEN COALESCE(tail, 0) > 0.05 THEN 'suspect reflectance offset' END AS reason
+FROM placed p LEFT JOIN stats USING (chip_id, scene_id) WHERE place <= 8"""
+
+
+def scene_tables(spark, folder):
+    lineitem = bindings.table(spark, folder, "lineitem")
+    meta, cells = (spark.sql(CTES[n].replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem) for n in ("scene_meta", "scene_pixels"))
+    return meta.withColumnRenamed("offset_", "offset"), cells
+
+
+@query(
+    "f14_scenes_from_pixels",
+    """
+WITH best AS (SELECT chip_id, MIN(place) FILTER (reason IS NULL) AS b FROM scene_rated GROUP BY chip_id)
+SELECT chip_id, MAX(scene_id) FILTER (place = b) AS scene_id, COUNT(*) FILTER (b IS NULL OR place < b) AS rejected,
+       COALESCE(STRING_AGG(scene_id || ':' || reason, '|' ORDER BY place) FILTER (b IS NULL OR place < b), '') AS reasons
+FROM scene_rated JOIN best USING (chip_id) GROUP BY chip_id""",
+)
+def f14_pixels(spark, folder):
+    """The first acceptable scene of every chip, judged on its integer bands under the scene's own scale and offset."""
+    return rs.choose_scene(rs.scene_statistics(*scene_tables(spark, folder), SCENE_SIDE))
+
+
+@query("f14_scene_statistics", "SELECT chip_id, scene_id, clear_full, finite_full, tail FROM scene_rated", "clear_full finite_full tail")
+def f14_statistics(spark, folder):
+    return rs.scene_statistics(*scene_tables(spark, folder), SCENE_SIDE).select("chip_id", "scene_id", "clear_full", "finite_full", "tail")
+
+
+CTES["records"] = """
+SELECT s_suppkey AS chip_id, CASE WHEN s_nationkey = 1 THEN 'failed' ELSE 'ok' END AS status, 's2' AS wanted_collection,
+  CASE WHEN s_nationkey = 2 THEN 's1' ELSE 's2' END AS collection,
+  CAST(s_suppkey AS VARCHAR(20)) AS source_id, CAST(CASE WHEN s_nationkey = 3 THEN s_suppkey + 1 ELSE s_suppkey END AS VARCHAR(20)) AS recorded_source_id,
+  CONCAT('C', CAST(s_nationkey % 6 AS VARCHAR(2))) AS country, CONCAT('C', CAST(CASE WHEN s_nationkey = 4 THEN 9 ELSE s_nationkey % 6 END AS VARCHAR(2))) AS recorded_country,
+  CASE WHEN s_nationkey = 5 THEN NULL ELSE s_suppkey END AS recorded_chip_id,
+  'A1' AS scene_id, CASE WHEN s_nationkey = 6 THEN 'A2' ELSE 'A1' END AS recorded_scene_id,
+  '2023-06-01' AS scene_time, CASE WHEN s_nationkey = 7 THEN '2023-06-02' ELSE '2023-06-01' END AS recorded_scene_time,
+  'EPSG:32639' AS crs, CASE WHEN s_nationkey = 8 THEN 'EPSG:32638' ELSE 'EPSG:32639' END AS recorded_crs,
+  CASE WHEN s_nationkey = 9 THEN 20e0 ELSE 10e0 END AS t0, CASE WHEN s_nationkey = 10 THEN 0.5e0 ELSE 0e0 END AS t1, CASE WHEN s_nationkey = 11 THEN 10e0 ELSE -10e0 END AS t4
+FROM supplier
+"""
+_MASKS = """scl IN (4, 5, 6) OR (chip_id % 11 = 0 AND row = 3) AS clear_mask, (landcover <> 0) <> (chip_id % 13 = 0 AND row = 2) AS landcover_mask"""
+CTES["record_facts"] = f"""
+SELECT chip_id, COUNT(*) FILTER (clear_mask AND scl NOT IN (4, 5, 6)) AS scl_breaks, COUNT(*) FILTER (landcover_mask <> (landcover <> 0)) AS landcover_breaks
+FROM (SELECT *, {_MASKS} FROM pixels) GROUP BY chip_id"""
+_BROKEN = {
+    "status": "status <> 'ok'", "collection": "collection <> wanted_collection", "pixel grid": "t0 <> 10 OR t1 <> 0 OR t4 <> -10",
+    "land cover mask": "COALESCE(landcover_breaks, 1) > 0", "scene class under clear mask": "COALESCE(scl_breaks, 1) > 0",
+} | {f"{c} identity": f"{c} IS DISTINCT FROM recorded_{c}" for c in rs.RECORDED}
+
+
+@query(
+    "f13_record_constraints",
+    " UNION ALL ".join(f"SELECT chip_id, '{n}' AS rule FROM records LEFT JOIN record_facts USING (chip_id) WHERE {c}" for n, c in _BROKEN.items()),
+)
+def f13_records(spark, folder):
+    """Every rule on a chip's record and masks that it breaks; each rule is broken by some chip."""
+    supplier = bindings.table(spark, folder, "supplier")
+    chips = spark.sql(CTES["records"].replace("FROM supplier", "FROM {supplier}"), supplier=supplier)
+    chips = chips.withColumn("transform", F.array("t0", "t1", F.lit(0.0), F.lit(0.0), "t4", F.lit(0.0)))
+    masks = bindings.pixels(spark, folder).selectExpr("chip_id", "scl", "landcover", "row", "col", *_MASKS.split(", (l")[:1], "(l" + _MASKS.split(", (l")[1])
+    return rs.record_constraints(chips, masks)
+
+
 FOOTPRINT = "lon - 0.02 AS west, lat - 0.02 AS south, lon + 0.02 AS east, lat + 0.02 AS north"
 
 

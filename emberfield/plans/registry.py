@@ -35,6 +35,9 @@ CTES: dict[str, str] = {
     "attempts": bindings.ATTEMPTS,
 }
 
+MATERIALIZED = {"month_sequence", "channel_scale"}
+"""Tables that a planner must not repeat for each row that uses them."""
+
 
 def _mentioned(text: str, seen: list[str]) -> list[str]:
     words = set(re.findall(r"[a-z_][a-z_0-9]*", text))
@@ -50,7 +53,8 @@ def with_ctes(body: str) -> str:
     names = _mentioned(body, [])
     if not names:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in names) + "\n" + body
+    once = {n: " MATERIALIZED" if n in MATERIALIZED else "" for n in names}
+    return "WITH " + ",\n".join(f"{n} AS{once[n]} ({CTES[n].strip()})" for n in names) + "\n" + body
 
 
 def _rounded(df: DataFrame, digits: int) -> DataFrame:
