@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberfield.operators import evaluation as ev
-from emberfield.operators import contracts, fusion, nested, policy
+from emberfield.operators import contracts, fusion, ledger, nested, policy, transfer
 from emberfield.plans.evaluation_queries import (
     AP, CONFIRM_REPEATS, PAIRED_REPEATS, SEED_BRANCHES, THR, THRESHOLD, AUC, MACRO_F1, bootstrap_sql, budget_sql, confusion_sql, curve_sql,
     scores, seed_scores, seed_metrics, FOUND, SITES_FOUND, BEST,
@@ -415,28 +415,86 @@ def k14(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(
-    "k15_seed_pipeline_policy",
-    f"""
+CTES["pipeline_scores"] = f"""
 SELECT source_id, AVG(CASE WHEN available THEN {fuse_sql('c', 'v', 'alpha')} ELSE c END) AS score, AVG(compact) AS baseline
 FROM (SELECT source_id, seed, compact, {VISUAL} >= 0.1 AS available, CASE seed WHEN 272 THEN 0.3 WHEN 273 THEN 0.0 ELSE 0.5 END AS alpha,
              {calibrate_sql('compact', 'mean_c', 'std_c')} AS c, {calibrate_sql(VISUAL, 'mean_v', 'std_v')} AS v
       FROM (SELECT *, ({COMPACT} + {COMPACT} * 0.9 + {COMPACT} * 0.8) / 3 AS compact FROM seed_predictions)
       JOIN (SELECT seed, {REFERENCE[7:]} FROM seed_predictions GROUP BY seed) r USING (seed))
-GROUP BY source_id""",
-    "score baseline",
-)
+GROUP BY source_id"""
+
+
+@query("k15_seed_pipeline_policy", "SELECT * FROM pipeline_scores", "score baseline")
 def k15(spark, folder):
     rows = bindings.seed_predictions(spark, folder)
-    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (F.col(COMPACT) * w).alias("score")) for m, w in enumerate((1.0, 0.9, 0.8))]))
-    compact = rows.select("source_id", "seed", models.alias("m")).select("source_id", "seed", "m.*")
-    visual = rows.select("source_id", "seed", F.col(VISUAL).alias("score"), (F.col(VISUAL) >= 0.1).alias("image_available"))
-    references = fusion.reference_statistics(rows, COMPACT, VISUAL, ["seed"])
+    compact, visual, references = pipeline_inputs(rows)
     fused = fusion.seed_pipeline_policy(compact, visual, ALPHA_OF_SEED, references)
     plain = fusion.seed_pipeline_policy(compact, None, {}, None, guarded=False).withColumnRenamed("score", "baseline")
     return fused.join(plain, "source_id")
 
 
+def pipeline_inputs(rows):
+    """Scores of three models of each seed, image scores, and the saved calibration of each seed."""
+    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (F.col(COMPACT) * w).alias("score")) for m, w in enumerate((1.0, 0.9, 0.8))]))
+    compact = rows.select("source_id", "seed", models.alias("m")).select("source_id", "seed", "m.*")
+    visual = rows.select("source_id", "seed", F.col(VISUAL).alias("score"), (F.col(VISUAL) >= 0.1).alias("image_available"))
+    return compact, visual, fusion.reference_statistics(rows, COMPACT, VISUAL, ["seed"])
+
+
+CTES["transfer_scores"] = """
+SELECT source_id, country, block_id, is_eog_flare, eog_flare_id, 'compact_tabular' AS branch, ROUND(baseline, 9) AS score
+FROM predictions JOIN pipeline_scores USING (source_id) WHERE CAST(source_id AS BIGINT) % 10 <> 3 AND CAST(source_id AS BIGINT) % 20 <> 7
+UNION ALL SELECT source_id, country, block_id, is_eog_flare, eog_flare_id, 'guarded_cv_tabular', ROUND(score, 9)
+FROM predictions JOIN pipeline_scores USING (source_id) WHERE CAST(source_id AS BIGINT) % 10 <> 3 AND CAST(source_id AS BIGINT) % 20 <> 7"""
+CTES["transfer_curve"] = curve_sql("branch", "transfer_scores")
+CTES["transfer_budgeted"] = budget_sql("branch", "transfer_scores", ev.BUDGETS)
+
+
+def transferred(spark, folder):
+    """The panel with a log of attempts, of which a tenth failed, and reviews, of which a twentieth object."""
+    panel = bindings.predictions(spark, folder)
+    number = F.col("source_id").cast("bigint")
+    items = panel.select(F.col("source_id").alias("item_id"), F.concat(F.lit("chip_"), "source_id").alias("chip_id"))
+    tries = panel.select(
+        F.col("source_id").alias("item_id"), number.alias("attempt_id"), F.current_date().alias("attempted_at"),
+        F.when(number % 10 == 3, "failed").otherwise("ok").alias("status"), F.concat(F.lit("chip_"), "source_id").alias("chip_id"),
+    )
+    state = ledger.attempt_ledger(items, tries).select(F.col("item_id").alias("source_id"), "status")
+    review = panel.select("source_id", (number % 20 == 7).cast("string").alias("review_reflectance_tail"))
+    compact, visual, references = pipeline_inputs(settle(bindings.seed_predictions(spark, folder)))
+    return transfer.frozen_transfer(state, panel, review, compact, visual, settle(references), ALPHA_OF_SEED, PAIRED_REPEATS)
+
+
+@query(
+    "k13_frozen_transfer",
+    conditions_sql(
+        f"""SELECT MAX(ap) FILTER (branch = '{CANDIDATE}') - MAX(ap) FILTER (branch = '{BASE}') AS ap_delta,
+  MAX(s) FILTER (branch = '{CANDIDATE}') - MAX(s) FILTER (branch = '{BASE}') AS site_delta
+  FROM (SELECT branch, {AP} AS ap FROM transfer_curve GROUP BY branch)
+  JOIN (SELECT branch, {SITES_FOUND} AS s FROM transfer_budgeted WHERE review_fraction = 0.2 GROUP BY branch) USING (branch)""",
+        [("pr_auc_delta_at_least_minus_0_01", "ap_delta", ">=", -0.01), ("positive_site_loss_at_20_no_more_than_one", "site_delta", ">=", -1)],
+    ),
+    "observed",
+)
+def k13_transfer(spark, folder):
+    """Gates, frozen pipelines, budgets and the decision, from the attempt log on."""
+    return transferred(spark, folder).decision
+
+
+@query(
+    "k13_transfer_metrics",
+    f"SELECT branch, MAX(total) AS n, MAX(positives) AS n_pos, {AP} AS pr_auc, {AUC} AS roc_auc FROM transfer_curve GROUP BY branch",
+    "pr_auc roc_auc",
+)
+def k13_metrics(spark, folder):
+    return transferred(spark, folder).metrics
+
+
+@query("k13_transfer_bootstrap", bootstrap_sql("block_id", 13014, "transfer_scores", BASE, CANDIDATE, PAIRED_REPEATS), "mean lower_95 upper_95")
+def k13_bootstrap(spark, folder):
+    return transferred(spark, folder).bootstrap
+
+
 @query("k16_ensemble_predictions", "SELECT * FROM ensemble", f"{COMPACT} {VISUAL} {GUARDED}")
 def k16(spark, folder):
     return ensemble(spark, folder)
