@@ -9,14 +9,12 @@ SimHash index are the first candidates, and bands of minima bring what they cann
 Candidates: equal sets collapse to one class. Classes linked by SimHash come first. ``BANDS`` keys of ``ROWS`` minima each
 are made for a class; a pair at similarity s shares none with a chance of
 (1 - s^ROWS)^BANDS, 3 in a million at 0.8 and less above. Every class is compared with
-the first class of each of its bands, which connects groups of near copies in rows as many
-as their members. In a band that then holds several components, the members outside its
-largest component are compared with all that are not in their own component, if they are at
-most ``OUTSIDE``: rows in proportion to the members again. A band with more of them is routed on: its
-members are dealt by ``SUB_BANDS`` keys of ``ROWS`` further minima, up to ``LEVELS`` levels deep, so
-that texts which only share a passage part; a pair at 0.8 is missed on all of its ways with a chance of
-about 1 in 100,000. What is still together on the last level agrees in 15 minima or more and is
-compared whole. Each link is settled by the shingle sets themselves, read for candidates only.
+the hub of each of its bands, the class that meets most others, which connects groups of near copies in rows as many
+as their members. A band that then holds several components is compared across them in tasks: its
+members are dealt in tiles of about ``TILE``, each pair of tiles is one task's group, and what leaves it
+are links that connect, never pairs. The common shingles are counted by products of
+member-shingle matrices, a slice of the shingles at a time. A link is settled by the shingle sets themselves,
+read once, for candidates only.
 
 Cases: NULL, empty and wordless texts have the empty set and are copies of one another; a very long text is
 read whole; repeated rows are copies, of which one stays; an empty table gives no rows; other columns are
@@ -26,26 +24,25 @@ never read, so none can clash.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from emberfield.llm.common import map_texts
 from emberfield.llm.simhash import linked_codes, majority, shingle_hashes
+from emberfield.llm.subspace import Forest
 from emberfield.operators.components import connected_components
 from emberfield.session import settle
 
 SHINGLE, SEED = 5, 42
 BANDS, ROWS = 32, 5
-SUB_BANDS, LEVELS = 8, 3
-OUTSIDE = 64
-"""Members outside a band's largest component up to which they are compared with all others."""
+TILE, SLICE = 256, 8192
+"""Members of a band, and shingles, compared at once in a task."""
 
 
-def _hashing(level: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """Factors and salts of the minima of one level."""
-    factors, salts = (np.random.default_rng(SEED + 2 * level + i).integers(0, 1 << 63, bands * ROWS, np.uint64) for i in (0, 1))
-    return factors * np.uint64(2) + np.uint64(1), salts
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+SALTS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -53,15 +50,13 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE))
 
 
-def band_keys(shingles: np.ndarray, level: int = 0, step: int = 1 << 11) -> list[int]:
-    """One signed key for each band of a level, from the minima of its rows."""
-    bands = SUB_BANDS if level else BANDS
-    factors, salts = _hashing(level, bands)
-    least = np.full(bands * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+def band_keys(shingles: np.ndarray, step: int = 1 << 11) -> list[int]:
+    """One signed key for each band, from the minima of its rows."""
+    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(shingles), step):
-        mixed = (shingles[i : i + step, None] ^ salts) * factors
+        mixed = (shingles[i : i + step, None] ^ SALTS) * FACTORS
         np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(0), out=least)
-    rows = least.reshape(bands, ROWS)
+    rows = least.reshape(BANDS, ROWS)
     return np.array([xxh64_intdigest(r.tobytes(), band) for band, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
 
 
@@ -77,13 +72,6 @@ def _signatures(texts: list[bytes]) -> dict[str, list]:
     return {"code": np.array(codes, np.uint64).view(np.int64), "key": keys, "size": sizes, "bands": bands}
 
 
-def _further(level: int):
-    def run(texts: list[bytes]) -> dict[str, list]:
-        return {"subs": [band_keys(shingle_set(t), level) for t in texts]}
-
-    return run
-
-
 def _shingles(texts: list[bytes]) -> dict[str, list]:
     return {"shingles": [shingle_set(t).view(np.int64) for t in texts]}
 
@@ -94,14 +82,18 @@ def signed(docs: DataFrame, text: str = "text") -> DataFrame:
     return made.select(*[c for c in made.columns if c != name], f"{name}.*")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more; ``texts`` is (id, text).
+def shingle_sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, shingles) of the asked ids, written once for all comparisons; ``texts`` is (id, text)."""
+    asked = texts.join(ids.distinct().hint("merge"), "id", "left_semi")
+    made, name = map_texts(asked, "text", _shingles, "shingles array<long>", keep_text=False)
+    return settle(made.select("id", f"{name}.shingles"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more; ``sets`` is (id, shingles).
 
     With i common of n and m shingles, i / (n + m - i) >= 4 / 5 where 9 i >= 4 (n + m).
     """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    made, name = map_texts(texts.join(asked.hint("merge"), "id", "left_semi"), "text", _shingles, "shingles array<long>", keep_text=False)
-    sets = settle(made.select("id", f"{name}.shingles"))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_y"))
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
@@ -115,30 +107,79 @@ def _alike_in_size(a: str, b: str) -> Column:
 
 def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect all similar classes; ``classes`` is (id, size, bands, code), ``texts`` (id, text)."""
-    links, seen = _with_similar(None, None, near_codes(classes), texts)
-    dealt = classes.select("id", "size", F.explode("bands").alias("band"))
-    for level in range(LEVELS):
-        shared = dealt.groupBy("band").agg(F.min(F.struct("id", "size")).alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        member = settle(dealt.join(shared.drop("_n").hint("merge"), "band"))
-        to_hub = member.where((F.col("id") != F.col("hub.id")) & _alike_in_size("size", "hub.size"))
-        links, seen = _with_similar(links, seen, to_hub.select(F.col("id").alias("a"), F.col("hub.id").alias("b")), texts)
-        root = settle(connected_components(links)).withColumnRenamed("node", "id")
-        labelled = settle(
-            member.join(root.hint("merge"), "id", "left").select("band", "id", "size", F.coalesce("root", "id").alias("root"))
-        )
-        parts = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_n"))
-        largest = parts.groupBy("band").agg(F.max(F.struct("_n", "root")).alias("_top"), F.sum("_n").alias("_all"))
-        open_ = largest.select("band", F.col("_top.root").alias("_big"), (F.col("_all") - F.col("_top._n")).alias("_outside")).where("_outside > 0")
-        inside = settle(labelled.join(open_.hint("merge"), "band"))
-        few = inside if level + 1 == LEVELS else inside.where(F.col("_outside") <= OUTSIDE)
-        links, seen = _with_similar(links, seen, _across(few), texts)
-        many = settle(inside.where(F.col("_outside") > OUTSIDE).select("id", "size", "band"))
-        if level + 1 == LEVELS or many.isEmpty():
-            return links
-        asked = texts.join(many.select("id").distinct().hint("merge"), "id", "left_semi")
-        made, name = map_texts(asked, "text", _further(level + 1), "subs array<long>", keep_text=False)
-        routed = many.join(made.select("id", F.explode(f"{name}.subs").alias("sub")).hint("merge"), "id")
-        dealt = settle(routed.select("id", "size", F.xxhash64("band", "sub").alias("band")).distinct())
+    near, member = settle(near_codes(classes)), _shared(classes.select("id", "size", F.explode("bands").alias("band")))
+    sets = shingle_sets(member.select("id").unionByName(near.select(F.explode(F.array("a", "b")).alias("id"))), texts)
+    to_hub = member.where((F.col("id") != F.col("hub.id")) & _alike_in_size("size", "hub.size"))
+    pairs = near.unionByName(to_hub.select(F.col("id").alias("a"), F.col("hub.id").alias("b"))).distinct()
+    links = settle(_similar(pairs, sets))
+    return links.unionByName(settle(tile_links(_split_bands(member, links), sets)))
+
+
+def _shared(dealt: DataFrame) -> DataFrame:
+    """(band, id, size, hub) of the bands with several members.
+
+    The hub is the member that meets most others over all of its bands: the text that copies
+    were made from shares more bands with them than they do with each other.
+    """
+    counts = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    member = settle(dealt.join(counts.hint("merge"), "band"))
+    met = member.groupBy("id").agg(F.sum("_n").alias("_met"))
+    hub = F.max(F.struct("_met", (-F.col("id")).alias("_low"), "id", "size"))
+    hubs = member.join(met.hint("merge"), "id").groupBy("band").agg(hub.alias("hub"))
+    return settle(member.drop("_n").join(hubs.hint("merge"), "band"))
+
+
+def _split_bands(member: DataFrame, links: DataFrame) -> DataFrame:
+    """(band, id, root, tiles) of the members of bands that hold several components."""
+    root = connected_components(links).withColumnRenamed("node", "id")
+    labelled = settle(member.join(root.hint("merge"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")))
+    open_ = labelled.groupBy("band").agg(
+        F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")
+    )
+    return settle(labelled.join(open_.where("_lo < _hi").select("band", "tiles").hint("merge"), "band"))
+
+
+def tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one band and different components, one tile pair to a group."""
+    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    place = lambda host, t, g: F.struct(F.lit(host).alias("host"), t.alias("tile"), g.alias("guest"))
+    hosts = F.transform(F.sequence(own, F.col("tiles") - 1), lambda g: place(True, own, g))
+    none = F.array().cast("array<struct<host:boolean,tile:int,guest:int>>")
+    guests = F.when(own > 0, F.transform(F.sequence(F.lit(0), own - 1), lambda t: place(False, t, own))).otherwise(none)
+    dealt = members.withColumn("_p", F.explode(F.concat(hosts, guests))).select("band", "_p.tile", "_p.guest", "_p.host", "id", "root")
+    whole = dealt.join(sets.hint("merge"), "id")
+    return whole.groupBy("band", "tile", "guest").applyInArrow(_compared, "a long, b long").distinct()
+
+
+def _compared(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links of a tile with another one of its band, or with itself, that connect what is similar."""
+    among, host = key[1].as_py() == key[2].as_py(), rows.column("host").to_numpy()
+    sides = [rows.filter(pa.array(host)), rows.filter(pa.array(host if among else ~host))]
+    ids, roots = ([t.column(c).to_numpy() for t in sides] for c in ("id", "root"))
+    lists = [t.column("shingles").combine_chunks() for t in sides]
+    sizes = [np.diff(x.offsets.to_numpy()) for x in lists]
+    n, m = map(len, ids)
+    forest, whole = Forest(n + m), np.concatenate(ids)
+    if n and m:
+        flat = [x.flatten().to_numpy() for x in lists]
+        row = [np.repeat(np.arange(len(x)), x) for x in sizes]
+        shared = np.intersect1d(*flat)
+        common = np.zeros((n, m))
+        for lo in range(0, len(shared), SLICE):
+            part = shared[lo : lo + SLICE]
+            dense = []
+            for values, at, height in zip(flat, row, (n, m), strict=True):
+                column = np.minimum(np.searchsorted(part, values), len(part) - 1)
+                there = part[column] == values
+                block = np.zeros((height, len(part)), np.float32)
+                block[at[there], column[there]] = 1
+                dense.append(block)
+            common += dense[0] @ dense[1].T
+        similar = (9 * common >= 4 * (sizes[0][:, None] + sizes[1])) & (roots[0][:, None] != roots[1])
+        a, b = np.nonzero(similar)
+        forest.link(a, b if among else n + b)
+    child, root = forest.edges()
+    return pa.table({"a": pa.array(whole[child], pa.int64()), "b": pa.array(whole[root], pa.int64())})
 
 
 def near_codes(classes: DataFrame) -> DataFrame:
@@ -152,28 +193,6 @@ def near_codes(classes: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.greatest("_a.id", "_b.id").alias("a"), F.least("_a.id", "_b.id").alias("b")))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a band from different components, one of them outside its largest."""
-    outside = members.where(F.col("root") != F.col("_big")).select(
-        "band", F.col("id").alias("a"), F.col("size").alias("_size"), F.col("root").alias("_root")
-    )
-    pairs = members.hint("merge").join(outside, "band").where((F.col("root") != F.col("_root")) & _alike_in_size("size", "_size"))
-    once = (F.col("root") == F.col("_big")) | (F.col("id") < F.col("a"))
-    return pairs.where(once).select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b"))
-
-
-def _with_similar(links: DataFrame | None, seen: DataFrame | None, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and compared pairs, with those of ``pairs`` that have not been compared yet."""
-    new = pairs.distinct()
-    if seen is not None:
-        new = new.join(seen.hint("merge"), ["a", "b"], "left_anti")
-    new = settle(new)
-    if seen is not None and new.isEmpty():
-        return links, seen
-    found = settle(_similar(new, texts))
-    return (found, new) if seen is None else (links.unionByName(found), seen.unionByName(new))
-
-
 def components(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(first) of every component; ``classes`` is (id, first, size, bands, code), ``texts`` (id, text).
 

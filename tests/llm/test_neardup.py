@@ -45,11 +45,11 @@ def test_stage_removes_edited_copies(spark, sf, documents, texts):
     assert len(got) < simhash.near_duplicates(documents).select("component_id").distinct().count()
 
 
-@pytest.mark.parametrize(("outside", "levels"), [(0, 3), (2, 2), (64, 3)])
-def test_family_that_shares_a_passage(spark, sf, monkeypatch, outside, levels):
+@pytest.mark.parametrize(("tile", "step"), [(7, 16), (256, 8192)])
+def test_family_that_shares_a_passage(spark, sf, monkeypatch, tile, step):
     """Many texts over a shared passage, below the limit but in common bands, with near copies among them."""
-    monkeypatch.setattr(neardup, "OUTSIDE", outside)
-    monkeypatch.setattr(neardup, "LEVELS", levels)
+    monkeypatch.setattr(neardup, "TILE", tile)
+    monkeypatch.setattr(neardup, "SLICE", step)
     draw = random.Random(7)
     passage = [f"p{i}" for i in range(60)]
     texts = {}
