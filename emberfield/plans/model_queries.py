@@ -214,6 +214,14 @@ def k19_fits(spark, folder):
     return ev.full_metrics(settle(judged), ["branch", "country"], F.col("threshold"))
 
 
+@query("d18_group_ablation")
+def d18_ablation(spark, folder):
+    """Boosted trees on every cumulative and leave-one-out feature group, each judged on the hold-out country."""
+    train, test = split(spark, folder)
+    sets = ft.group_sets(ft.feature_columns(train.drop("is_eog_flare", "eog_flare_id", "block_id")))
+    return ev.ablation_table(settle(md.feature_ablation(train, test, sets)), "branch")
+
+
 @query("i11_feature_importance")
 def i11(spark, folder):
     train, _ = split(spark, folder)
