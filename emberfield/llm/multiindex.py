@@ -38,8 +38,11 @@ FIT_ROWS = 20_000
 FIT_QUERIES = 200
 RECALL = 0.96
 SHARD = 4096
-FLOOR = 2048
-"""Entries that a query visits at least."""
+FLOOR = 256
+"""Entries that a query visits at least; where the measured share asks for more, it has no effect."""
+
+PROBED = 64
+"""Queries whose cells one task traverses."""
 
 MOST_CENTROIDS = 1024
 ENTRIES_A_CELL = 12
@@ -258,7 +261,7 @@ def _rerank(k: int):
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", seed: int = 0
+    vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", seed: int = 0, floor: int = FLOOR
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which ``is_query`` (over ``vec_id``) holds."""
     rows = settle(usable(vectors, vec_id, embedding))
@@ -271,8 +274,9 @@ def search(
     for r in filed.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
     plan = layout(sizes)
-    wanted = min(total, max(FLOOR, int(np.ceil(book.share * total))))
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    wanted = min(total, max(floor, k + 1, int(np.ceil(book.share * total))))
+    queries = settle(rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    queries = queries.repartition(max(1, -(-queries.count() // PROBED)))  # dealt by count: few bytes make much work
     probes = settle(queries.mapInArrow(_probes(book, plan, wanted), "query_id long, query array<double>, shard long, cells array<long>"))
     blocks = probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("blocks"))
     placed = filed.withColumn("_h", F.xxhash64("vec_id")).mapInArrow(

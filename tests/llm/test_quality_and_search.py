@@ -151,6 +151,19 @@ def test_op3_recall(spark):
     assert all(r.score == pytest.approx(vectors[at[r.query_id]] @ vectors[at[r.vec_id]], abs=1e-12) for r in got)
 
 
+def test_driver_vectors_go_through_the_index(spark):
+    """Without a floor, the measured share alone decides what is visited: less than all, and recall holds."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    book = multiindex.fit(vectors, len(vectors), 20)
+    assert book.share < 0.95
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = multiindex.search(frame, multiindex.F.col("vec_id") % 20 == 0, floor=0).collect()
+    want = plain_search(vectors, ids, [int(i) for i in ids if i % 20 == 0], 20)
+    hit = Counter(r.query_id for r in got if r.vec_id in {v for v, _ in want[r.query_id]})
+    assert sum(hit.values()) >= 0.9 * 20 * len(want) and min(hit.values()) >= 12
+
+
 def test_share_reaches_recall(spark):
     """Beyond the floor: 9,000 vectors without structure, and a third of them in one place."""
     draw = np.random.default_rng(6)
