@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberfield.functions.columns import SATURATION_K
 from emberfield.operators.ordering import group_quantiles
+from emberfield.session import settle
 
 FILE = ("country", "sensor", "year")
 VOCABULARY_LIMIT = 12
@@ -18,24 +19,38 @@ def count_rows() -> Column:
 
 
 def profile_files(det: DataFrame) -> DataFrame:
-    """One row per file: sizes, ranges, nulls, medians and flag counts."""
+    """One row per file: sizes, ranges, nulls, medians and flag counts.
+
+    Rows collapse to the days of a file first, so the days are counted without
+    expanding rows for a distinct count.
+    """
     nulls = sum((F.col(c).isNull().cast("bigint") for c in det.columns), F.lit(0).cast("bigint"))
-    flat = det.groupBy(*FILE).agg(
-        count_rows().alias("rows"),
+    spans = [(f, c, f"{n}_{e}") for c, n in (("latitude", "lat"), ("longitude", "lon")) for f, e in ((F.min, "min"), (F.max, "max"))]
+    peaks = [*spans, (F.max, "frp", "frp_max"), (F.max, "t_mir", "tmir_max")]
+    totals = {
+        "rows": F.lit(1).cast("bigint"),
+        "n_null": nulls,
+        "frp_nonpos": (F.col("frp") <= 0).cast("bigint"),
+        "tmir_sat": (F.col("t_mir") >= SATURATION_K).cast("bigint"),
+        "_night": (F.col("daynight") == "N").cast("bigint"),
+        "_told": F.col("daynight").isNotNull().cast("bigint"),
+    }
+    days = det.groupBy(*FILE, "acq_date").agg(
+        *[F.coalesce(F.sum(v), F.lit(0)).alias(n) for n, v in totals.items()], *[f(c).alias(n) for f, c, n in peaks]
+    )
+    flat = days.groupBy(*FILE).agg(
+        *[F.sum(n).alias(n) for n in totals],
+        *[f(n).alias(n) for f, _, n in peaks],
         F.min("acq_date").alias("date_min"),
         F.max("acq_date").alias("date_max"),
-        F.count_if(F.col("acq_date").isNull()).alias("bad_date"),
-        F.sum(nulls).alias("n_null"),
-        F.count_if(F.col("frp") <= 0).alias("frp_nonpos"),
-        *[f(c).alias(f"{n}_{e}") for c, n in (("latitude", "lat"), ("longitude", "lon")) for f, e in ((F.min, "min"), (F.max, "max"))],
-        F.max("frp").alias("frp_max"),
-        F.max("t_mir").alias("tmir_max"),
-        F.count_if(F.col("t_mir") >= SATURATION_K).alias("tmir_sat"),
-        F.round(100 * F.avg((F.col("daynight") == "N").cast("int")), 2).alias("dn_N_pct"),
+        F.sum(F.when(F.col("acq_date").isNull(), F.col("rows")).otherwise(0)).alias("bad_date"),
+        F.count("acq_date").alias("n_days"),
     )
-    days = det.groupBy(*FILE).agg(F.count_distinct("acq_date").alias("n_days"))
-    medians = group_quantiles(det, FILE, {"frp_med": ("frp", 0.5), "tmir_med": ("t_mir", 0.5)})
-    return flat.join(days, list(FILE)).join(medians, list(FILE))
+    share = F.when(F.col("_told") > 0, F.round(100 * F.col("_night") / F.col("_told"), 2))
+    flat = settle(flat.withColumn("dn_N_pct", share).drop("_night", "_told"))
+    sizes = flat.select(*FILE, F.col("rows").alias("count"))
+    medians = group_quantiles(det, FILE, {"frp_med": ("frp", 0.5), "tmir_med": ("t_mir", 0.5)}, sizes=sizes)
+    return flat.join(medians, list(FILE))
 
 
 def exact_duplicates(det: DataFrame) -> DataFrame:

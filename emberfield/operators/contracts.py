@@ -107,6 +107,17 @@ def forbid_leakage(columns: Iterable[str], blocked: Iterable[str] = BLOCKED) ->
         raise ValueError(f"leaking columns: {sorted(leaked)}")
 
 
+def leakage_report(df: DataFrame, blocked: Iterable[str] = BLOCKED) -> DataFrame:
+    """(column, leaking, known): every column of a table, whether it may not train, and its known values."""
+    known = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    banned = set(blocked)
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.lit(c in banned).alias("leaking"), F.col(f"`{c}`").alias("known"))
+        for c in df.columns
+    ]
+    return known.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def same_lineage(first: DataFrame, second: DataFrame, key: str = "country") -> DataFrame:
     """Per key: are the fingerprints of two manifests present and equal."""
     joined = first.select(key, F.col("fingerprint").alias("a")).join(
@@ -145,3 +156,15 @@ def reconcile(computed: DataFrame, stored: DataFrame, keys: Sequence[str], relat
     gap = F.abs(F.col("computed") - F.col("stored"))
     limit = F.greatest(relative * F.greatest(F.abs("computed"), F.abs("stored")), F.lit(1e-12))
     return joined.withColumn("matches", F.coalesce(gap <= limit, F.lit(False)))
+
+
+def evidence_faults(reconciled: DataFrame) -> DataFrame:
+    """Keys whose evidence fails, with the reason; both sides without a value fail as well."""
+    computed, stored = F.col("computed"), F.col("stored")
+    reason = (
+        F.when(computed.isNull() & stored.isNull(), "no value")
+        .when(stored.isNull(), "not stored")
+        .when(computed.isNull(), "not computed")
+        .otherwise("differs")
+    )
+    return reconciled.where(~F.col("matches")).withColumn("reason", reason).drop("matches")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberfield.functions.columns import seeded_order
 from emberfield.operators.components import connected_components
 from emberfield.operators.ordering import row_numbers
-from emberfield.session import lookup, with_row
+from emberfield.session import lookup, settle, with_row
 
 LABEL, SITE = "is_eog_flare", "eog_flare_id"
 
@@ -62,12 +62,55 @@ def country_class_weights(df: DataFrame, cap: float = 5.0) -> DataFrame:
     return df.join(weights, ["country", LABEL])
 
 
+def dealt_runs(sizes: Iterable[tuple[int, int]], k: int) -> list[tuple[int, int, int, int]]:
+    """(size, fold, first, last): which blocks of each size go to which fold.
+
+    ``sizes`` lists (size, number of blocks), largest size first. Every block goes to the
+    lightest fold, the lower number on ties. Blocks of one size are dealt at once: fold f
+    takes its next blocks at loads L_f, L_f + size, ..., so the takes below one common load,
+    found by bisection, and the first few at it are those of the one-by-one rule.
+    """
+    loads, runs = [0] * k, []
+    for size, blocks in sizes:
+        def below(level: int) -> list[int]:
+            return [max(0, -((load - level) // size)) for load in loads]
+
+        low, high = min(loads), max(loads) + size * blocks
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if sum(below(middle)) <= blocks else (low, middle - 1)
+        takes = below(low)
+        left = blocks - sum(takes)
+        for f, load in enumerate(loads):
+            if left and load <= low and (low - load) % size == 0:
+                takes[f] += 1
+                left -= 1
+        first = 1
+        for f, taken in enumerate(takes):
+            loads[f] += size * taken
+            if taken:
+                runs.append((size, f, first, first + taken - 1))
+            first += taken
+    return runs
+
+
 def fold_of_blocks(df: DataFrame, k: int, block: str = "block_id") -> DataFrame:
-    """(block, fold): blocks by size in serpentine order over the folds."""
-    sizes = df.groupBy(block).agg(F.count(F.lit(1)).alias("_n"))
-    placed = row_numbers(sizes, [], [F.col("_n").desc(), F.col(block)], "_r")
-    turn = (F.col("_r") - 1) % (2 * k)
-    return placed.select(block, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    """(block, fold): largest blocks first, each to the lightest fold.
+
+    Only the histogram of block sizes reaches the driver. Distinct sizes add up to at most
+    the number of rows, so there are at most sqrt(2 * rows) of them. Among blocks of one
+    size the lower ids go to the lower folds.
+    """
+    sizes = settle(df.groupBy(block).agg(F.count(F.lit(1)).alias("_n")))
+    histogram = sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("_b")).orderBy(F.desc("_n")).collect()
+    runs = lookup(
+        df.sparkSession.createDataFrame(
+            dealt_runs([(row["_n"], row["_b"]) for row in histogram], k),
+            "_n bigint, fold int, _first bigint, _last bigint",
+        )
+    )
+    placed = row_numbers(sizes, ["_n"], [F.col(block)], "_r")
+    return placed.join(runs, "_n").where(F.col("_r").between(F.col("_first"), F.col("_last"))).select(block, "fold")
 
 
 def grouped_folds(df: DataFrame, k: int, block: str = "block_id") -> DataFrame:

@@ -8,7 +8,7 @@ from emberfield.operators import audit
 from emberfield.plans.registry import CTES, query
 from emberfield.session import scratch_folder
 from emberfield.sources import ingest
-from emberfield.sources.bindings import detections
+from emberfield.sources.bindings import detections, faulty_detections
 
 FOLDER_SQL = "CASE sensor WHEN 'MODIS' THEN 'modis' WHEN 'VIIRS_SNPP' THEN 'viirs_snpp' ELSE 'viirs_noaa20' END"
 
@@ -294,3 +294,44 @@ def b12(spark, folder):
         for bands in (ingest.MODIS_BANDS, ingest.VIIRS_BANDS)
     ]
     return audit.schema_census(parts[0].unionByName(parts[1]))
+
+
+UNKNOWN = " + ".join(f"CAST({c} IS NULL AS INT)" for c in ("t_mir", "frp", "acq_date", "daynight", "confidence"))
+
+
+@query(
+    "b1_faulty_files",
+    f"""
+SELECT country, sensor, year, COUNT(*) AS rows, MIN(acq_date) AS date_min, MAX(acq_date) AS date_max,
+       COUNT(*) FILTER (acq_date IS NULL) AS bad_date, SUM({UNKNOWN}) AS n_null, COUNT(*) FILTER (frp <= 0) AS frp_nonpos,
+       MIN(latitude) AS lat_min, MAX(latitude) AS lat_max, MIN(longitude) AS lon_min, MAX(longitude) AS lon_max,
+       MAX(frp) AS frp_max, MAX(t_mir) AS tmir_max, COUNT(*) FILTER (t_mir >= 367) AS tmir_sat,
+       ROUND(100.0 * AVG(CASE WHEN daynight = 'N' THEN 1 WHEN daynight IS NOT NULL THEN 0 END), 2) AS "dn_N_pct",
+       COUNT(DISTINCT acq_date) AS n_days, MEDIAN(frp) AS frp_med, MEDIAN(t_mir) AS tmir_med
+FROM faulty_detections GROUP BY country, sensor, year""",
+    'lat_min lat_max lon_min lon_max frp_max tmir_max dn_N_pct frp_med tmir_med',
+)
+def b1_faulty(spark, folder):
+    return audit.profile_files(faulty_detections(spark, folder))
+
+
+@query(
+    "b2_faulty_duplicates",
+    "SELECT country, sensor, year, SUM(n - 1) AS dup_rows FROM (SELECT *, COUNT(*) AS n FROM faulty_detections GROUP BY ALL) GROUP BY country, sensor, year",
+)
+def b2_faulty(spark, folder):
+    """Whole rows that repeat, rows with unknown values included."""
+    return audit.exact_duplicates(faulty_detections(spark, folder))
+
+
+@query(
+    "b8_faulty_totals",
+    f"""
+SELECT COUNT(*) AS rows, COUNT(*) FILTER (acq_date IS NULL) AS bad_date, SUM({UNKNOWN}) AS n_null, COUNT(*) FILTER (frp <= 0) AS frp_nonpos,
+       COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM faulty_detections)) AS dup_rows,
+       ROUND(100.0 * (COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM faulty_detections))) / COUNT(*), 3) AS dup_pct
+FROM faulty_detections""",
+    "dup_pct",
+)
+def b8_faulty(spark, folder):
+    return audit.quality_totals(faulty_detections(spark, folder))

@@ -140,3 +140,49 @@ def l8(spark, folder):
     computed = long(F.col("pr_auc"), F.col("roc_auc"))
     stored = long(F.round("pr_auc", 6), F.round("roc_auc", 15))
     return contracts.reconcile(computed, stored, [*BY, "metric"])
+
+
+COLUMNS_READ = ["source_id", "country", "block_id", "is_eog_flare", "eog_flare_id", "score_compact_tabular", "score_visual"]
+
+
+@query(
+    "l5_leakage_report",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {str(not c.startswith('score')).upper()} AS leaking, COUNT({c}) AS known FROM predictions" for c in COLUMNS_READ
+    ),
+)
+def l5_report(spark, folder):
+    """Every column of the score table: all but the scores leak."""
+    return contracts.leakage_report(bindings.predictions(spark, folder))
+
+
+@query(
+    "l8_evidence_faults",
+    """
+WITH computed AS (
+  SELECT branch, country, metric, value FROM country_rank UNPIVOT (value FOR metric IN (pr_auc, roc_auc))),
+stored AS (
+  SELECT branch, country, metric, CASE WHEN country = 'fr' AND metric = 'pr_auc' THEN value * (1 + 1e-6)
+                                       WHEN country = 'es' THEN value * (1 + 1e-12) ELSE value END AS value
+  FROM computed WHERE NOT (country = 'de' AND metric = 'roc_auc')
+  UNION ALL SELECT branch, 'withdrawn', metric, value FROM computed WHERE country = 'de')
+SELECT branch, country, metric, c.value AS computed, s.value AS stored,
+       CASE WHEN c.value IS NULL AND s.value IS NULL THEN 'no value' WHEN s.value IS NULL THEN 'not stored'
+            WHEN c.value IS NULL THEN 'not computed' ELSE 'differs' END AS reason
+FROM computed c FULL JOIN stored s USING (branch, country, metric)
+WHERE NOT COALESCE(ABS(c.value - s.value) <= GREATEST(1e-10 * GREATEST(ABS(c.value), ABS(s.value)), 1e-12), FALSE)""",
+    "computed stored",
+)
+def l8_faults(spark, folder):
+    """Stored evidence with values off by more and by less than the tolerance, values lost and values of a country that is no more."""
+    fresh = ev.ranking(scores(spark, folder), BY, ["pr_auc", "roc_auc"])
+    computed = fresh.unpivot(BY, ["pr_auc", "roc_auc"], "metric", "value")
+    country, metric = F.col("country"), F.col("metric")
+    drifted = (
+        F.when((country == "fr") & (metric == "pr_auc"), F.col("value") * (1 + 1e-6))
+        .when(country == "es", F.col("value") * (1 + 1e-12))
+        .otherwise(F.col("value"))
+    )
+    kept = computed.where(~((country == "de") & (metric == "roc_auc"))).withColumn("value", drifted)
+    withdrawn = computed.where(country == "de").withColumn("country", F.lit("withdrawn"))
+    return contracts.evidence_faults(contracts.reconcile(computed, kept.unionByName(withdrawn), [*BY, "metric"]))

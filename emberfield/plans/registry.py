@@ -28,6 +28,7 @@ DOUBLES: dict[str, str] = {}
 
 CTES: dict[str, str] = {
     "detections": bindings.DETECTIONS,
+    "faulty_detections": bindings.FAULTS,
     "sites_wide": bindings.SITES,
     "predictions": bindings.PREDICTIONS,
     "seed_predictions": f"SELECT {bindings.SEED_COLUMNS} FROM (SELECT *, UNNEST([272, 273, 274]) AS seed FROM predictions)",

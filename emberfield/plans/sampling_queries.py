@@ -213,9 +213,19 @@ def h2(spark, folder):
     return folds.country_class_weights(bindings.predictions(spark, folder)).select("source_id", "weight")
 
 
-CTES["fold_blocks"] = """
-SELECT block_id, CASE WHEN t < 5 THEN t ELSE 9 - t END AS fold FROM (
-  SELECT block_id, (ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, block_id) - 1) % 10 AS t FROM predictions GROUP BY block_id)
+LIGHTEST = ", ".join(f"loads[{i}] + CASE WHEN LIST_POSITION(loads, LIST_MIN(loads)) = {i} THEN n ELSE 0 END" for i in range(1, 6))
+CTES["fold_blocks"] = f"""
+WITH RECURSIVE ranked AS (
+  SELECT block_id, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, block_id) AS r FROM predictions GROUP BY block_id),
+dealt(r, fold, loads) AS (
+  SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST([0, 0, 0, 0, 0] AS BIGINT[])
+  UNION ALL
+  SELECT ranked.r, CAST(LIST_POSITION(loads, LIST_MIN(loads)) - 1 AS BIGINT), [{LIGHTEST}]
+  FROM dealt JOIN ranked ON ranked.r = dealt.r + 1),
+taken AS (SELECT n, fold, COUNT(*) AS c FROM dealt JOIN ranked USING (r) GROUP BY n, fold),
+runs AS (SELECT n, fold, c, SUM(c) OVER (PARTITION BY n ORDER BY fold) AS last FROM taken),
+placed AS (SELECT block_id, n, ROW_NUMBER() OVER (PARTITION BY n ORDER BY block_id) AS t FROM ranked)
+SELECT block_id, fold FROM placed JOIN runs ON placed.n = runs.n AND t > last - c AND t <= last
 """
 
 

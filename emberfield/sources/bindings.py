@@ -39,6 +39,19 @@ SELECT CAST(10 + (l_partkey % 40) * 0.05e0 + (l_suppkey % 3) * 0.001e0 AS DOUBLE
 FROM lineitem
 """
 
+FAULTS = """
+WITH faulty AS (
+SELECT latitude, longitude, CASE WHEN acq_time BETWEEN 300 AND 399 THEN NULL ELSE t_mir END AS t_mir, t_lwir,
+       CASE WHEN acq_time BETWEEN 500 AND 599 THEN -frp WHEN acq_time BETWEEN 700 AND 799 THEN NULL ELSE frp END AS frp,
+       scan, track, CASE WHEN acq_time BETWEEN 900 AND 999 THEN NULL ELSE acq_date END AS acq_date, acq_time,
+       CASE WHEN acq_time BETWEEN 1300 AND 1359 THEN NULL ELSE daynight END AS daynight, sensor,
+       CASE WHEN acq_time BETWEEN 1100 AND 1199 THEN NULL ELSE confidence END AS confidence,
+       type, satellite, version, country, year
+FROM detections)
+SELECT * FROM faulty UNION ALL SELECT * FROM faulty WHERE acq_time < 200 OR acq_time BETWEEN 900 AND 929
+"""
+"""All detections with unknown values, dates that do not parse and powers below zero by the hour, some rows twice."""
+
 SITES = """
 SELECT CONCAT('s_', CAST(p_partkey AS VARCHAR(20))) AS flare_id,
        CONCAT('C', CAST(p_partkey % 6 AS VARCHAR(2))) AS country,
@@ -124,6 +137,10 @@ def detections(spark: SparkSession, folder: str) -> DataFrame:
     return _bind(spark, DETECTIONS, lineitem=table(spark, folder, "lineitem"))
 
 
+def faulty_detections(spark: SparkSession, folder: str) -> DataFrame:
+    return _bind(spark, FAULTS, detections=detections(spark, folder))
+
+
 def sites_wide(spark: SparkSession, folder: str) -> DataFrame:
     return _bind(spark, SITES, part=table(spark, folder, "part"))
 

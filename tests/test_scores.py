@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from emberfield.operators import contracts, evaluation, folds, fusion, ledger, policy, sampling, temporal
@@ -129,6 +132,28 @@ def test_folds_keep_blocks_together(scored):
     assert got == 1
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=60), st.integers(1, 7))
+def test_bulk_dealing_equals_one_by_one(sizes, k):
+    loads, want = [0] * k, Counter()
+    for size in sorted(sizes, reverse=True):
+        fold = loads.index(min(loads))
+        loads[fold] += size
+        want[size, fold] += 1
+    runs = folds.dealt_runs(sorted(Counter(sizes).items(), reverse=True), k)
+    assert {(size, fold): last - first + 1 for size, fold, first, last in runs} == dict(want)
+    for size, blocks in Counter(sizes).items():
+        assert sorted(t for s, _, first, last in runs if s == size for t in range(first, last + 1)) == list(range(1, blocks + 1))
+
+
+def test_folds_of_no_rows_and_of_one_large_block(spark):
+    shape = "block_id string, x int"
+    assert folds.grouped_folds(spark.createDataFrame([], shape), 3).count() == 0
+    rows = [("big", i) for i in range(50)] + [(f"b{i}", 0) for i in range(7)]
+    got = folds.grouped_folds(spark.createDataFrame(rows, shape), 3).groupBy("fold").count().toPandas()
+    assert dict(zip(got["fold"], got["count"])) == {0: 50, 1: 4, 2: 3}
+
+
 def test_linked_blocks_merge_inside_a_country(spark):
     rows = [("p", "b1", 1, "f"), ("p", "b2", 1, "f"), ("p", "b3", 0, None), ("q", "b1", 1, "f"), ("q", "b4", 1, "g")]
     df = spark.createDataFrame(rows, "country string, block_id string, is_eog_flare int, eog_flare_id string")
@@ -274,3 +299,21 @@ def test_stream_drops_repeats_and_late_rows(spark, tmp_path):
 
     got = {str(r["day"]): (r["detection_count"], r["value_sum"]) for r in st.closed_rows(spark, build).collect()}
     assert got == {"2024-01-01": (2, 3.0), "2024-01-09": (1, 1.0), "2024-01-10": (1, 1.0)}
+
+
+def test_leakage_report_names_every_column(spark):
+    df = spark.createDataFrame([("a", None, 1.0), ("b", 2, None)], "source_id string, `x.y` int, lat double")
+    got = {r["column"]: (r["leaking"], r["known"]) for r in contracts.leakage_report(df).collect()}
+    assert got == {"source_id": (True, 2), "x.y": (False, 1), "lat": (True, 1)}
+    with pytest.raises(ValueError, match="lat"):
+        contracts.forbid_leakage(df.columns)
+
+
+def test_evidence_faults_give_each_reason(spark):
+    shape = "key string, value double"
+    computed = spark.createDataFrame([("same", 0.5), ("off", 0.5), ("lost", 0.5), ("empty", None)], shape)
+    stored = spark.createDataFrame([("same", 0.5 + 1e-13), ("off", 0.5 + 1e-9), ("gone", 0.5), ("empty", None)], shape)
+    faults = contracts.evidence_faults(contracts.reconcile(computed, stored, ["key"]))
+    assert {r["key"]: r["reason"] for r in faults.collect()} == {
+        "off": "differs", "lost": "not stored", "gone": "not computed", "empty": "no value",
+    }
