@@ -160,9 +160,13 @@ def by_source(det: DataFrame, *aggregates: dict[str, Column]) -> DataFrame:
 
 
 def intensity(det: DataFrame) -> DataFrame:
-    """Mean, max, std, median of five channels; power percentile, variation and sum."""
-    medians = group_quantiles(det, ["source_id"], QUANTILES)
-    return by_source(det, moment_aggregates()).withColumns(power_variation()).join(medians, "source_id")
+    """Mean, max, std, median of five channels; power percentile, variation and sum.
+
+    The moments count the rows of each source as well, so the quantiles need no pass of their own for that.
+    """
+    moments = settle(by_source(det, moment_aggregates(), {"_rows": F.count(F.lit(1))}).withColumns(power_variation()))
+    medians = group_quantiles(det, ["source_id"], QUANTILES, sizes=moments.select("source_id", F.col("_rows").alias("count")))
+    return moments.drop("_rows").join(medians, "source_id")
 
 
 def saturation_night(det: DataFrame) -> DataFrame:
