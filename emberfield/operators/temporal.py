@@ -122,11 +122,15 @@ def hardness(df: DataFrame, columns: Sequence[str] = HARDNESS) -> DataFrame:
     return ranked.select("source_id", F.round(mean, 12).alias("hardness"))
 
 
-def hard_negative_sample(df: DataFrame, ratio: int, seed: int, holdout: str) -> tuple[DataFrame, DataFrame]:
+def hard_negative_sample(
+    df: DataFrame, ratio: int, seed: int, holdout: str, complete: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """One source per known site, hard and random unlabelled ones; and a diagnostics row per country.
 
     Unlabelled sources in a block with any positive are never sampled. Ranks over
-    a country are range-partitioned, so no country is ordered in one task.
+    a country are range-partitioned, so no country is ordered in one task. A country
+    without known sites or without free unlabelled sources is an error; unless
+    ``complete``, it keeps the positives it has and its zeros show in the diagnostics.
     """
     frame = settle(forbid_holdout(df, holdout))
     positives = frame.where(F.col("is_eog_flare") == 1)
@@ -142,9 +146,10 @@ def hard_negative_sample(df: DataFrame, ratio: int, seed: int, holdout: str) ->
         .withColumn("target", F.least(F.col("pool"), ratio * F.col("sites")))
         .select("country", "target", F.floor((F.col("target") + 1) / 2).alias("hard"))
     )
-    short = frame.select("country").distinct().join(sizes, "country", "left_anti").limit(5).collect()
-    if short:
-        raise ValueError(f"countries without known sites or without free unlabelled sources: {[r.country for r in short]}")
+    if complete:
+        short = frame.select("country").distinct().join(sizes, "country", "left_anti").limit(5).collect()
+        if short:
+            raise ValueError(f"countries without known sites or without free unlabelled sources: {[r.country for r in short]}")
     rated = free.join(hardness(free), "source_id")
     placed = row_numbers(rated, ["country"], [F.col("hardness").desc(), F.col("source_id")], "_r").join(sizes, "country")
     placed = settle(placed.drop("_r_group"))
