@@ -13,11 +13,14 @@ from emberfield.session import lookup, settle
 LABEL, SITE = "is_eog_flare", "eog_flare_id"
 
 
-def enriched_panel(df: DataFrame, quotas: DataFrame, positive_quota: int, seed: int) -> DataFrame:
+def enriched_panel(
+    df: DataFrame, quotas: DataFrame, positive_quota: int, seed: int, complete: bool = True
+) -> DataFrame:
     """Per country: one positive per site, then per block, then unlabelled ones in other blocks.
 
     ``quotas`` is (country, n). Both deduplications are grouped minima over the
-    seeded order. A country that cannot fill its quota is an error.
+    seeded order. A country that cannot fill its quota is an error; unless
+    ``complete``, it gives every row it can.
     """
     columns = [*df.columns]
     order = [F.col("_order"), F.col("source_id")]
@@ -40,16 +43,19 @@ def enriched_panel(df: DataFrame, quotas: DataFrame, positive_quota: int, seed:
     panel = settle(
         positive.select(*columns, "_order", "_r").unionByName(filler.select(*columns, "_order", "_r"))
     )
-    sizes = panel.groupBy("country").agg(F.count(F.lit(1)).alias("_have"))
-    short = room.join(sizes, "country", "left").where(F.coalesce("_have", F.lit(0)) != F.col("n"))
-    if not short.isEmpty():
-        raise ValueError("insufficient distinct blocks for the panel")
+    if complete:
+        sizes = panel.groupBy("country").agg(F.count(F.lit(1)).alias("_have"))
+        short = room.join(sizes, "country", "left").where(F.coalesce("_have", F.lit(0)) != F.col("n"))
+        if not short.isEmpty():
+            raise ValueError("insufficient distinct blocks for the panel")
     return panel.withColumn("chip_id", chip_id(F.col("country"), F.col("source_id")))
 
 
-def mixed_panel(df: DataFrame, quotas: DataFrame, positive_quota: int, seed: int) -> DataFrame:
+def mixed_panel(
+    df: DataFrame, quotas: DataFrame, positive_quota: int, seed: int, complete: bool = True
+) -> DataFrame:
     """Enriched panel shuffled again per country; batch_order counts from 0."""
-    panel = enriched_panel(df, quotas, positive_quota, seed).drop("_order", "_r")
+    panel = enriched_panel(df, quotas, positive_quota, seed, complete).drop("_order", "_r")
     mixed = panel.withColumn("_mix", seeded_order(seed + 100, F.col("source_id")))
     placed = row_numbers(mixed, ["country"], [F.col("_mix"), F.col("source_id")], "_r")
     return placed.withColumn("batch_order", F.col("_r") - 1).drop("_mix", "_r", "_r_group")
@@ -67,25 +73,29 @@ def interleave(panel: DataFrame) -> DataFrame:
     return placed.withColumn("batch_order", F.col("_o") - 1).drop("_key", "_o", "_o_group", "_r", "_order")
 
 
-def stable_panel(df: DataFrame, country: str, n: int, positive_quota: int, seed: int) -> DataFrame:
+def stable_panel(
+    df: DataFrame, country: str, n: int, positive_quota: int, seed: int, complete: bool = True
+) -> DataFrame:
     """Frozen, interleaved panel of one country; the same rows on any engine."""
     if n < 30 or not 1 <= positive_quota < n:
         raise ValueError("need n >= 30 and 1 <= positive_quota < n")
     frame = require_panel(df.where(F.col("country") == country))
     quotas = df.sparkSession.createDataFrame([(country, n)], "country string, n int")
-    return interleave(enriched_panel(frame, quotas, positive_quota, seed))
+    return interleave(enriched_panel(frame, quotas, positive_quota, seed, complete))
 
 
 def require_panel(df: DataFrame) -> DataFrame:
     return require(df, coordinates=True)
 
 
-def quota_pilot(df: DataFrame, seed: int, positives: int = 8, large: int = 17, small: int = 16, first: int = 4) -> DataFrame:
+def quota_pilot(
+    df: DataFrame, seed: int, positives: int = 8, large: int = 17, small: int = 16, first: int = 4, complete: bool = True
+) -> DataFrame:
     """Pilot with ``large`` rows for the first countries in name order, ``small`` for the others."""
     names = df.groupBy("country").agg(F.count(F.lit(1)).alias("_n"))
     placed = row_numbers(names, [], [F.col("country")], "_i")
     quotas = placed.select("country", F.when(F.col("_i") <= first, large).otherwise(small).alias("n"))
-    return enriched_panel(df, lookup(quotas), positives, seed).drop("_order", "_r")
+    return enriched_panel(df, lookup(quotas), positives, seed, complete).drop("_order", "_r")
 
 
 def round_robin_batches(panel: DataFrame, size: int) -> DataFrame:

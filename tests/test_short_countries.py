@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from emberfield.operators import temporal
+from emberfield.operators import sampling, temporal
+from emberfield.plans import sampling_queries as sq
 from emberfield.plans import temporal_queries as tq
 
 RATED = ", ".join(f"{c} double" for c in temporal.HARDNESS)
@@ -17,6 +18,16 @@ def rows(spark):
     return spark.createDataFrame([(*r[:3], 1.0, 2.0, *r[3:]) for r in data], "source_id string, country string, block_id string, lat double, lon double, is_eog_flare int, eog_flare_id string")
 
 
+def test_panels_keep_countries_below_their_quota(spark, rows, monkeypatch):
+    monkeypatch.setattr(sq, "labels", lambda *_: rows)
+    placed = {(r.source_id, r.batch_order) for r in sq.g2(spark, "").collect()}
+    assert {s for s, _ in placed} == {"c", "d"} and {o for _, o in placed} == {0, 1}
+    assert {r.source_id for r in sq.g1(spark, "").collect()} == {"a", "b", "c", "d"}
+    assert {r.source_id for r in sq.g4(spark, "").collect()} == {"a", "b", "c", "d"}
+    with pytest.raises(ValueError, match="insufficient"):
+        sampling.quota_pilot(rows, 42)
+
+
 def test_sample_keeps_countries_without_free_sources(spark, rows, monkeypatch):
     data = [(r.source_id, {"C5": "C1"}.get(r.country, r.country), r.block_id, r.is_eog_flare, r.eog_flare_id, 20, *[1.0] * len(temporal.HARDNESS)) for r in rows.collect()]
     pool = spark.createDataFrame(data, f"source_id string, country string, block_id string, is_eog_flare int, eog_flare_id string, n_days int, {RATED}")
