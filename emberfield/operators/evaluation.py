@@ -8,6 +8,7 @@ scores per key; the ordered part then runs on those cells, range-partitioned.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,9 @@ BUDGETS = (0.1, 0.2, 0.3)
 SCORES_AT_ONCE = 256
 """Distinct scores that a bootstrap task spreads over all repeats at once."""
 
+DRAWS_AT_ONCE = 1 << 22
+"""Draws of a bootstrap that one group of slots holds; a tile of slots makes a quarter of them."""
+
 GATES = (0.001, 0.0025, 0.005, 0.01, 0.02)
 
 
@@ -331,33 +335,64 @@ def top_n_review(df: DataFrame, n: int, threshold: float | None = None) -> DataF
     return df.orderBy(*order).limit(n)
 
 
-def draw_index(seed: int, repeat: Column, slot: Column, size: Column) -> Column:
-    """Portable draw in [0, size): 15 hex digits of an md5."""
-    text = F.concat_ws(":", F.lit(str(seed)), repeat.cast("string"), slot)
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"), size)
+def _tile_draws(country: str, stratum: int, size: int, first: int, last: int, repeats: int, seed: int) -> Iterator[np.ndarray]:
+    """Draws in [0, size) of slots first to last in each repeat: 15 hex digits of a portable md5, modulo size."""
+    tails = [f":{country}:{stratum}:{slot}".encode() for slot in range(first, last)]
+    for repeat in range(repeats):
+        head = f"{seed}:{repeat}".encode()
+        digests = b"".join([md5(head + tail).digest()[:8] for tail in tails])
+        yield (np.frombuffer(digests, ">u8") >> np.uint64(4)).astype("int64") % size
 
 
 def drawn_repeats(df: DataFrame, unit: str, repeats: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """(keys, country, unit, drawn): the repeats that draw each unit, within country and label stratum.
 
     A unit drawn five times in a repeat has that repeat five times in its array, so
-    multiplicities stand for row copies. Only here do units meet repeats, in rows of a few
-    small numbers; afterwards a unit is one row again.
+    multiplicities stand for row copies. A draw depends on country, stratum, slot and size
+    alone, so keys of one size share theirs. Tiles of slots draw for all repeats and send
+    their draws packed, four bytes each, to blocks of drawn slots of bounded size.
     """
-    place = [*by, "country", "stratum"]
+    place, pool = [*by, "country", "stratum"], ["country", "stratum", "size"]
     units = df.groupBy(*by, "country", unit).agg(F.max(LABEL).alias("stratum"))
     placed = row_numbers(units, place, [F.col(unit)], "slot").select(
         *place, unit, (F.col("slot") - 1).alias("slot"), F.col("slot_group").alias("size")
     )
     placed = settle(placed)
-    slot = F.concat_ws(":", "country", F.col("stratum").cast("string"), F.col("slot").cast("string"))
-    drawn = (
-        placed.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        .select("repeat", *place, draw_index(seed, F.col("repeat"), slot, F.col("size")).alias("slot"))
-        .groupBy(*place, "slot")
-        .agg(F.collect_list("repeat").alias("drawn"))
-    )
-    return drawn.join(placed.drop("size"), [*place, "slot"]).select(*by, "country", unit, "drawn")
+    block = max(1, DRAWS_AT_ONCE // repeats)
+    tile = max(1, DRAWS_AT_ONCE // (4 * repeats))
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    named = ", ".join(f"{c} {kinds[c]}" for c in pool)
+    first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(tile).cast("bigint")))
+    tiles = placed.select(*pool).na.drop().distinct().withColumn("first", first)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                size = row["size"]
+                last = min(size, row["first"] + tile)
+                slots = np.stack(list(_tile_draws(row["country"], row["stratum"], size, row["first"], last, repeats, seed)))
+                codes = np.sort((slots * repeats + np.arange(repeats)[:, None]).ravel())
+                starts = np.arange(0, size, block)
+                cuts = np.searchsorted(codes, np.append(starts, size) * repeats)
+                packed = [
+                    (codes[lo:hi] - start * repeats).astype("<i4").tobytes()
+                    for start, lo, hi in zip(starts, cuts[:-1], cuts[1:])
+                ]
+                whole = [pa.array([row[c]] * len(starts), batch.schema.field(c).type) for c in pool]
+                yield pa.RecordBatch.from_arrays([*whole, pa.array(starts), pa.array(packed, pa.binary())], [*pool, "start", "packed"])
+
+    def unpack(part: pa.Table) -> pa.Table:
+        codes = np.sort(np.frombuffer(b"".join(part.column("packed").to_pylist()), "<i4"))
+        slots, sizes = np.unique(codes // repeats, return_counts=True)
+        drawn = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype("int32"), codes % repeats)
+        whole = [pa.array([part.column(c)[0].as_py()] * len(slots), part.schema.field(c).type) for c in pool]
+        return pa.Table.from_arrays([*whole, pa.array(slots.astype("int64") + part.column("start")[0].as_py()), drawn], [*pool, "slot", "drawn"])
+
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # A number of its own: a few small rows stand for much work, so they must not be merged.
+    packed = tiles.repartition(tasks, *pool, "first").mapInArrow(draw, f"{named}, start bigint, packed binary")
+    drawn = packed.groupBy(*pool, "start").applyInArrow(unpack, f"{named}, slot bigint, drawn array<int>")
+    return settle(drawn).join(placed, [*pool, "slot"]).select(*by, "country", unit, "drawn")
 
 
 def _drawn_counts(part: pa.Table, repeats: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -112,3 +112,23 @@ def test_years_with_a_hole(spark):
     det = spark.createDataFrame([], "source_id string")
     with pytest.raises(ValueError, match="hole"):
         temporal.monthly_sequence(det, [2020, 2022])
+
+
+def test_draws_move_packed_in_bounded_blocks(spark, monkeypatch, capsys):
+    """Several tiles and blocks give the plain draws, for every key; rows and repeats are never multiplied out."""
+    from hashlib import md5
+
+    monkeypatch.setattr(ev, "DRAWS_AT_ONCE", 60, raising=False)
+    rows = [(seed, f"s{i:03d}", "C", 0) for seed in (1, 2) for i in range(40)] + [(1, "p", "C", 1)]
+    df = spark.createDataFrame(rows, "seed int, source_id string, country string, is_eog_flare int")
+    drawn = ev.drawn_repeats(df, "source_id", 5, 3, ["seed"])
+    got = {(r.seed, r.source_id): sorted(r.drawn) for r in drawn.collect()}
+    want = {(1, "p"): [0, 1, 2, 3, 4]}
+    for repeat in range(5):
+        for slot in range(40):
+            unit = int(md5(f"3:{repeat}:C:0:{slot}".encode()).hexdigest()[:15], 16) % 40
+            for seed in (1, 2):
+                want.setdefault((seed, f"s{unit:03d}"), []).append(repeat)
+    assert got == want
+    drawn.explain()
+    assert "collect_list" not in capsys.readouterr().out
