@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from emberfield.functions.columns import utm_epsg
@@ -289,8 +291,15 @@ SELECT chip_id, MAX(scene_id) FILTER (place = b) AS scene_id, COUNT(*) FILTER (b
 FROM rated JOIN best USING (chip_id) GROUP BY chip_id""",
 )
 def f14(spark, folder):
+    return rs.choose_scene(exact_means(spark, folder, SCENES))
+
+
+def exact_means(spark, folder, text):
+    """Rows of a text over line items with means of exact sums: where a mean lies on a rounding half, sums of doubles decide by their order."""
+    exact = re.sub(r"AVG\((\w+)\)", r"(SUM(CAST(\1 AS DECIMAL(24, 8))) / NULLIF(COUNT(\1), 0))", text)
     lineitem = bindings.table(spark, folder, "lineitem")
-    return rs.choose_scene(spark.sql(SCENES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem))
+    rows = spark.sql(exact.replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem)
+    return rows.select(*[F.col(c).cast("double") if t.startswith("decimal") else F.col(c) for c, t in rows.dtypes])
 
 
 SCENE_SIDE = 4
@@ -327,8 +336,7 @@ FROM placed p LEFT JOIN stats USING (chip_id, scene_id) WHERE place <= 8"""
 
 
 def scene_tables(spark, folder):
-    lineitem = bindings.table(spark, folder, "lineitem")
-    meta, cells = (spark.sql(CTES[n].replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem) for n in ("scene_meta", "scene_pixels"))
+    meta, cells = (exact_means(spark, folder, CTES[n]) for n in ("scene_meta", "scene_pixels"))
     return meta.withColumnRenamed("offset_", "offset"), cells
 
 

@@ -71,3 +71,22 @@ def test_sweep_equals_separate_sizes(spark, cells):
     for size in cells:
         summary = grid.source_summary(grid.labelled_sources(det, sites, size), sites)
         assert got[size] == {(r.country, r.sources, r.sources_matched, r.eog_recovered) for r in summary.collect()}
+
+
+@pytest.mark.parametrize("name", ["f14_choose_scene", "f14_scenes_from_pixels", "f14_scene_statistics"])
+def test_cloud_cover_on_a_rounding_half(spark, tmp_path, name):
+    """Discounts of scene R1 have the exact mean 4.25 % (0.425 %), below which their sum as doubles falls; A1 has 4.3 % (0.43 %) and goes first."""
+    finer = [0.007, 0.01, 0.002, 0.01, 0.004, 0.001, 0.002, 0.005, 0.001, 0.004, 0.008, 0.0, 0.0, 0.007, 0.001, 0.0, 0.005, 0.01, 0.008, 0.0]
+    digits = 2 if name == "f14_choose_scene" else 3
+    half = [0.05, 0.01, 0.05, 0.01, 0.03, 0.04, 0.02, 0.04, 0.04, 0.07, 0.05, 0.03, 0.01, 0.08, 0.06, 0.02, 0.08, 0.07, 0.08, 0.01]
+    scenes = [("R", d) for d in half] + [("A", 0.043)] * 20 if digits == 2 else [("R", d) for d in finer] + [("A", 0.0043)] * 20
+    rows = [(1, 1, order, flag, 30.0, 30000.0, d, 0.01) for order, (flag, d) in enumerate(scenes)]
+    table = spark.createDataFrame(rows, "l_suppkey bigint, l_linenumber int, l_orderkey bigint, l_returnflag string, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    table.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = QUERIES[name](spark, str(tmp_path))
+    if name == "f14_scene_statistics":
+        meta, _ = rq.scene_tables(spark, str(tmp_path))
+        assert {r.scene_id: r.cloud_cover for r in meta.collect()} == {"A1": 0.43, "R1": 0.43}
+        assert got.count() == 2
+    else:
+        assert got.first().reasons.split(":")[0] == "A1" and got.first().rejected == 2
