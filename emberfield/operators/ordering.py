@@ -9,14 +9,19 @@ slices before it. A key holding most of the table is spread over many slices.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberfield.session import settle
+from emberfield.session import lookup, settle
 
 HOT_GROUP_ROWS = 50_000
-"""Groups above this size take the range-partitioned way to their quantiles."""
+"""Groups above this size take the narrowed way to their quantiles."""
+
+BINS_A_FOLD = 64
+"""Bins for each e-fold of magnitude when the quantiles of hot groups are narrowed down."""
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], totals: dict[str, Column]) -> DataFrame:
@@ -155,6 +160,69 @@ def _between(position: Column, low: Column, high: Column) -> Column:
     return F.when(low == high, low).when(F.ceil(position) == F.floor(position), low).otherwise(weighed)
 
 
+def narrowed_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Quantiles of few, large groups without a cell for each distinct value.
+
+    The first pass counts rows by bins that keep the order of the values, so the bin of each
+    quantile is known exactly; the second counts values inside that bin only. Bins are as wide
+    as their values' magnitude asks, whatever the range; a bin that holds most of a group
+    is ranked over many slices like any other.
+    """
+    keys = list(keys)
+    long = melt(df, keys, sorted({c for c, _ in wanted.values()})).where(F.col("value").isNotNull())
+    place = F.rint(F.signum("value") * F.log1p(F.abs("value")) * BINS_A_FOLD)
+    bins = long.groupBy(*keys, "metric", place.alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("value").alias("_low"), F.max("value").alias("_high")
+    )
+    span = Window.partitionBy(*keys, "metric")
+    upto = span.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    ran = bins.withColumns({"_upto": F.sum("_n").over(upto), "_size": F.sum("_n").over(span)})
+    bounds = []
+    for name, (column, p) in wanted.items():
+        mine, position = F.col("metric") == column, F.lit(float(p)) * (F.col("_size") - 1)
+        bounds += [
+            F.max(F.when(mine, F.col("_size"))).alias(f"_size_{name}"),
+            F.max(F.when(mine & (F.col("_upto") <= F.floor(position)), F.col("_upto"))).alias(f"_below_{name}"),
+            F.min(F.when(mine & (F.col("_upto") > F.floor(position)), F.col("_low"))).alias(f"_from_{name}"),
+            F.min(F.when(mine & (F.col("_upto") > F.ceil(position)), F.col("_high"))).alias(f"_to_{name}"),
+        ]
+    cuts = lookup(ran.groupBy(*keys).agg(*bounds))
+    values = {n: F.col(c).cast("double") for n, (c, _) in wanted.items()}
+    inside = {n: v.between(F.col(f"_from_{n}"), F.col(f"_to_{n}")) for n, v in values.items()}
+    cells = (
+        df.join(cuts, keys)
+        .where(reduce(or_, inside.values()))
+        .select(
+            *keys,
+            F.explode(
+                F.array(*[F.struct(F.lit(n).alias("name"), F.when(inside[n], v).alias("value")) for n, v in values.items()])
+            ).alias("_m"),
+        )
+        .where(F.col("_m.value").isNotNull())
+        .groupBy(*keys, F.col("_m.name").alias("name"), F.col("_m.value").alias("value"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    near = running_totals(cells, [*keys, "name"], [F.col("value")], {"_upto": F.col("_n")}).join(cuts, keys)
+    picks = []
+    for name, (_, p) in wanted.items():
+        position = F.lit(float(p)) * (F.col(f"_size_{name}") - 1)
+        reached = F.col("_upto") + F.coalesce(F.col(f"_below_{name}"), F.lit(0))
+        mine = F.col("name") == name
+        picks += [
+            F.max(f"_size_{name}").alias(f"_size_{name}"),
+            F.min(F.when(mine & (reached > F.floor(position)), F.col("value"))).alias(f"_lo_{name}"),
+            F.min(F.when(mine & (reached > F.ceil(position)), F.col("value"))).alias(f"_hi_{name}"),
+        ]
+    found = near.groupBy(*keys).agg(*picks)
+    return found.select(
+        *keys,
+        *[
+            _between(F.lit(float(p)) * (F.col(f"_size_{n}") - 1), F.col(f"_lo_{n}"), F.col(f"_hi_{n}")).alias(n)
+            for n, (_, p) in wanted.items()
+        ],
+    )
+
+
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -162,26 +230,19 @@ def group_quantiles(
     hot_rows: int = HOT_GROUP_ROWS,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Quantiles of many groups: built-in ``percentile`` for ordinary ones, slices for hot ones.
+    """Quantiles of many groups: built-in ``percentile`` for ordinary ones, narrowed bins for hot ones.
 
     ``wanted`` maps an output name to (column, probability). Group sizes are
     counted first unless given as ``sizes`` (keys, count); the number of hot groups
-    is at most rows / ``hot_rows``.
+    is at most rows / ``hot_rows``. Without ordinary groups no pass is made for them.
     """
     plain = [F.percentile(c, F.lit(float(p))).alias(n) for n, (c, p) in wanted.items()]
-    counted = df.groupBy(*keys).count() if sizes is None else sizes
+    counted = settle(df.groupBy(*keys).count()) if sizes is None else sizes
     hot = settle(counted.where(F.col("count") > hot_rows).select(*keys))
     if hot.isEmpty():
         return df.groupBy(*keys).agg(*plain)
+    if counted.where(F.col("count") <= hot_rows).isEmpty():
+        return hot.join(narrowed_quantiles(df, keys, wanted), list(keys), "left")
     cold = df.join(hot, list(keys), "left_anti").groupBy(*keys).agg(*plain)
-    columns = sorted({c for c, _ in wanted.values()})
-    long = melt(df.join(hot, list(keys), "left_semi"), keys, columns)
-    levels = sorted({p for _, p in wanted.values()})
-    found = exact_quantiles(long, [*keys, "metric"], "value", {f"q{i}": p for i, p in enumerate(levels)})
-    wide = found.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("metric") == c, F.col(f"q{levels.index(p)}"))).alias(n)
-            for n, (c, p) in wanted.items()
-        ]
-    )
+    wide = narrowed_quantiles(df.join(hot, list(keys), "left_semi"), keys, wanted)
     return cold.unionByName(hot.join(wide, list(keys), "left"))

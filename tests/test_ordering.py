@@ -51,6 +51,44 @@ def test_hot_groups_take_the_other_way(skewed):
     assert np.allclose(got["med"], grouped.median()) and np.allclose(got["p90"], grouped.quantile(0.9))
 
 
+def cells_ranked(monkeypatch):
+    """Rows handed to running totals, call by call."""
+    seen, original = [], ordering.running_totals
+    monkeypatch.setattr(ordering, "running_totals", lambda df, *rest: seen.append(df.count()) or original(df, *rest))
+    return seen
+
+
+def test_hot_quantiles_rank_few_of_many_distinct_values(spark, monkeypatch):
+    """Neither memory nor shuffle holds a cell for each distinct value of a hot group."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"key": np.where(np.arange(20_000) % 4 == 0, "a", "b"), "x": rng.lognormal(1, 2, 20_000), "y": rng.normal(0, 50, 20_000)})
+    seen = cells_ranked(monkeypatch)
+    wanted = {"med": ("x", 0.5), "q90": ("x", 0.9), "mid": ("y", 0.5)}
+    df = spark.createDataFrame(pdf)
+    got = ordering.group_quantiles(df, ["key"], wanted, hot_rows=1000).toPandas().set_index("key").sort_index()
+    plain = ordering.group_quantiles(df, ["key"], wanted).toPandas().set_index("key").sort_index()
+    assert got.equals(plain[got.columns]) and len(seen) == 1 and 0 < seen[0] < 3000
+
+
+def test_hot_quantiles_of_odd_values(spark):
+    """Narrow ranges, infinities, NaN, zeros of both signs, nulls only, groups of one value."""
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "narrow": [1e6 + i / 1000 for i in range(101)], "wide": [10.0**e * s for e in range(-300, 300, 7) for s in (1, -1)],
+        "infinite": [inf, -inf, 1.0, 2.0, 3.0, inf, -inf, 4.0], "nan": [nan, 1.0, nan, nan, 2.0, nan], "zero": [0.0, -0.0, 0.0, -1.0, -0.0, 1.0],
+        "one": [7.5] * 9, "none": [None] * 8, "some": [None, 3.0, None, 1.0, 2.0, None], "small": [1.0, 4.0],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "key string, x double")
+    wanted = {"low": ("x", 0.0), "q3": ("x", 0.3), "med": ("x", 0.5), "q9": ("x", 0.9), "high": ("x", 1.0)}
+
+    def by_key(frame):
+        return {r.key: [repr(r[n] + 0.0 if r[n] is not None else None) for n in wanted] for r in frame.collect()}
+
+    plain = by_key(ordering.group_quantiles(df, ["key"], wanted))
+    assert by_key(ordering.group_quantiles(df, ["key"], wanted, hot_rows=1)) == plain
+    assert by_key(ordering.group_quantiles(df, ["key"], wanted, hot_rows=5)) == plain
+
+
 def test_ranks_share_ties_and_skip_nulls(spark):
     pdf = pd.DataFrame(
         {"source_id": list("abcdef"), "country": ["x", "x", "y", "y", "y", "x"], "v": [1.0, 2.0, 100.0, 200.0, 200.0, None]}
