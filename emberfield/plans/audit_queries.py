@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberfield.operators import audit
 from emberfield.plans.registry import CTES, query
-from emberfield.session import scratch_folder
+from emberfield.session import scratch_folder, settle
 from emberfield.sources import ingest
 from emberfield.sources.bindings import detections, faulty_detections
 
@@ -272,6 +272,7 @@ def b11(spark, folder):
         F.col("dn_N_pct").alias("night"),
         F.col("frp_med").alias("median_frp"),
     )
+    files = settle(files)  # one row a file, read by three means
     parts = [
         audit.weighted_mean(files, by, name, digits).select(F.lit(name).alias("measure"), F.col(by).alias("member"), F.col(name).alias("value"))
         for by, name, digits in (("sensor", "saturation", 2), ("country", "night", 1), ("sensor", "median_frp", 2))

@@ -48,3 +48,9 @@ def test_python_stays_out_of_the_metrics(spark):
     rows = bindings.predictions(spark, SMALL).withColumn("score", F.col("score_visual"))
     text = plan(evaluation.average_precision(rows, ["country"]))
     assert "Python" not in text and "Pandas" not in text
+
+
+def test_file_profile_is_read_once_by_its_means(spark):
+    """The three weighted means take written files' rows; none profiles the detections again."""
+    files = QUERIES["b11_weighted_mean"](spark, SMALL).inputFiles()
+    assert files and not any("lineitem" in f for f in files)
