@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 # Instrument folders, their sensors and the raw column order.
 SENSOR_OF_FOLDER = {"modis": "MODIS", "viirs_snpp": "VIIRS_SNPP", "viirs_noaa20": "VIIRS_N20"}
-FILE_PATTERN = r"/([a-z0-9-]+)_(\d{4})_([A-Za-z0-9]+)\.csv$"
-FOLDER_PATTERN = r"/(?:instrument=)?(modis|viirs_snpp|viirs_noaa20)/"
+FILE_PATTERN = r"^[a-z0-9-]+_\d{4}_[A-Za-z0-9]+\.csv$"
 MODIS_BANDS = ("brightness", "bright_t31")
 VIIRS_BANDS = ("bright_ti4", "bright_ti5")
 
@@ -77,18 +76,20 @@ def normalise_types(df: DataFrame) -> DataFrame:
     )
 
 
-def name_parts(path) -> dict:
-    """Sensor, year and country from a file path; a path that does not parse is an error."""
-    folder = F.regexp_extract(path, FOLDER_PATTERN, 1)
-    year = F.regexp_extract(path, FILE_PATTERN, 2)
-    sensor = F.create_map(*[F.lit(v) for pair in SENSOR_OF_FOLDER.items() for v in pair])[folder]
-    fail = F.raise_error(F.concat(F.lit("unparseable detection file name: "), path))
-    good = (folder != "") & (year != "")
-    return {
-        "sensor": F.when(good, sensor).otherwise(fail.cast("string")),
-        "year": F.when(good, year).otherwise(fail.cast("string")).cast("short"),
-        "country": F.when(good, F.regexp_extract(path, FILE_PATTERN, 3)).otherwise(fail.cast("string")),
+def name_parts(path, folder: str) -> dict:
+    """Sensor of an instrument folder, year and country from a file path; a name that does not parse is an error.
+
+    Each row carries its path, so the short name alone is matched and then cut at its underscores.
+    """
+    name = F.substring_index(path, "/", -1)
+    fail = F.raise_error(F.concat(F.lit("unparseable detection file name: "), path)).cast("string")
+    parts = {
+        "sensor": F.lit(SENSOR_OF_FOLDER[folder]),
+        "year": F.substring_index(F.substring_index(name, "_", 2), "_", -1),
+        "country": F.substring_index(F.substring_index(name, "_", -1), ".", 1),
     }
+    told = {n: F.when(name.rlike(FILE_PATTERN), part).otherwise(fail) for n, part in parts.items()}
+    return told | {"year": told["year"].cast("short")}
 
 
 def read_detections(spark: SparkSession, root: str, folders: Sequence[str] = tuple(SENSOR_OF_FOLDER), files_a_batch: int | None = None) -> DataFrame:
@@ -104,7 +105,7 @@ def read_detections(spark: SparkSession, root: str, folders: Sequence[str] = tup
             .option("recursiveFileLookup", True)
             .csv(f"{root}/{folder}")
         )
-        parts.append(unify_bands(raw).withColumns(name_parts(F.col("_metadata.file_path"))).drop("instrument"))
+        parts.append(unify_bands(raw).withColumns(name_parts(F.col("_metadata.file_path"), folder)).drop("instrument"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -44,6 +44,15 @@ def test_reads_both_families(spark, raw):
     assert rows["VIIRS_N20"]["year"] == 2023 and rows["VIIRS_N20"]["t_lwir"] == 295.0
 
 
+def test_sensor_is_that_of_the_folder_read(spark, raw):
+    """Not of a folder of that name further up; a row's path is not searched for its parts."""
+    write_raw(raw / "modis" / "again", "viirs_snpp", "viirs-snpp_2021_Libya.csv", "bright_ti4", "bright_ti5",
+              ["30.5,17.25,330,0.4,0.4,2021-03-01,2359,1,VIIRS,h,2,295,3.5,D,0"])
+    got = ingest.read_detections(spark, str(raw / "modis" / "again"), ["viirs_snpp"])
+    assert [(r.sensor, r.year, r.country) for r in got.collect()] == [("VIIRS_SNPP", 2021, "Libya")]
+    assert "regexp_extract" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_unparseable_name_is_an_error(spark, raw):
     write_raw(raw, "modis", "notes.csv", "brightness", "bright_t31", ["1,1,300,1,1,2022-01-01,1,T,M,1,1,290,1,N,0"])
     with pytest.raises(Exception, match="unparseable"):
