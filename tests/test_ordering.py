@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from compare import SMALL
 from pyspark.sql import functions as F
 
 from emberfield.operators import ordering
+from emberfield.sources import bindings
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +72,16 @@ def test_hot_quantiles_rank_few_of_many_distinct_values(spark, monkeypatch):
     assert got.equals(plain[got.columns]) and len(seen) == 1 and 0 < seen[0] < 3000
 
 
+def test_medians_of_faulty_files_rank_few_values(spark, monkeypatch):
+    """Unknown and negative powers of large files: the built-in medians, without a cell for each power."""
+    faulty = bindings.faulty_detections(spark, SMALL)
+    keys, wanted = ["country", "sensor", "year"], {"frp_med": ("frp", 0.5), "tmir_med": ("t_mir", 0.5)}
+    seen = cells_ranked(monkeypatch)
+    got = ordering.group_quantiles(faulty, keys, wanted, hot_rows=10).toPandas().set_index(keys).sort_index()
+    plain = ordering.group_quantiles(faulty, keys, wanted).toPandas().set_index(keys).sort_index()
+    assert got.equals(plain[got.columns]) and len(seen) == 1 and 0 < seen[0] < faulty.count() / 4
+
+
 def test_hot_quantiles_of_odd_values(spark):
     """Narrow ranges, infinities, NaN, zeros of both signs, nulls only, groups of one value."""
     inf, nan = float("inf"), float("nan")
