@@ -76,16 +76,19 @@ def interleave(panel: DataFrame) -> DataFrame:
 def stable_panel(
     df: DataFrame, country: str, n: int, positive_quota: int, seed: int, complete: bool = True
 ) -> DataFrame:
-    """Frozen, interleaved panel of one country; the same rows on any engine."""
+    """Frozen, interleaved panel of one country; the same rows on any engine.
+
+    Unless ``complete``, a country all of whose sources are known sites gives those it can.
+    """
     if n < 30 or not 1 <= positive_quota < n:
         raise ValueError("need n >= 30 and 1 <= positive_quota < n")
-    frame = require_panel(df.where(F.col("country") == country))
+    frame = require_panel(df.where(F.col("country") == country), complete)
     quotas = df.sparkSession.createDataFrame([(country, n)], "country string, n int")
     return interleave(enriched_panel(frame, quotas, positive_quota, seed, complete))
 
 
-def require_panel(df: DataFrame) -> DataFrame:
-    return require(df, coordinates=True)
+def require_panel(df: DataFrame, both_labels: bool = True) -> DataFrame:
+    return require(df, coordinates=True, both_labels=both_labels)
 
 
 def quota_pilot(

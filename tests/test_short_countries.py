@@ -40,3 +40,12 @@ def test_sample_keeps_countries_without_free_sources(spark, rows, monkeypatch):
     assert sum(r.sources for r in tq.e9(spark, "").collect()) == 4
     with pytest.raises(ValueError, match="free unlabelled"):
         temporal.hard_negative_sample(pool, 2, 13, "C5")
+
+
+def test_stable_panel_of_known_sites_alone(spark, rows, monkeypatch):
+    """On large part tables every cell of C5 lies near a site; the SQL then gives known sites only."""
+    known = rows.where("is_eog_flare = 1")
+    monkeypatch.setattr(sq, "labels", lambda *_: known)
+    assert {(r.source_id, r.batch_order) for r in sq.g2(spark, "").collect()} == {("c", 0), ("d", 1)}
+    with pytest.raises(ValueError, match="one label"):
+        sampling.stable_panel(known, "C5", 60, 20, 13013)
