@@ -336,7 +336,9 @@ FROM placed p LEFT JOIN stats USING (chip_id, scene_id) WHERE place <= 8"""
 
 
 def scene_tables(spark, folder):
-    meta, cells = (exact_means(spark, folder, CTES[n]) for n in ("scene_meta", "scene_pixels"))
+    # The SQL's casts round a band to the nearest integer; Spark's would cut its digits off.
+    rounded = re.sub(r"CAST\((M\w\w\(\w+\) \* \d+) AS INT\)", r"CAST(RINT(\1) AS INT)", CTES["scene_pixels"])
+    meta, cells = (exact_means(spark, folder, text) for text in (CTES["scene_meta"], rounded))
     return meta.withColumnRenamed("offset_", "offset"), cells
 
 

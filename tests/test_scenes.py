@@ -6,6 +6,7 @@ import contextlib
 import io
 from collections import defaultdict
 
+import duckdb
 import pytest
 from compare import SMALL, connect, difference
 
@@ -14,6 +15,7 @@ from emberfield.operators import raster as rs
 from emberfield.plans import geo_queries as geo
 from emberfield.plans import raster_queries as rq
 from emberfield.plans.catalogue import ORACLES, QUERIES
+from emberfield.plans.registry import with_ctes
 
 
 @pytest.mark.parametrize("name", ["f13_record_constraints", "f14_scenes_from_pixels", "f14_scene_statistics", "c10_grid_sweep", "e6_robust_scale"])
@@ -90,3 +92,16 @@ def test_cloud_cover_on_a_rounding_half(spark, tmp_path, name):
         assert got.count() == 2
     else:
         assert got.first().reasons.split(":")[0] == "A1" and got.first().rejected == 2
+
+
+def test_bands_round_to_integers_as_in_the_sql(spark, tmp_path):
+    """Bands of 112.99999999999999 and 12.5 read 113 and 12; one of 499.6 is 500, which lies above the low limit."""
+    rows = [(1, 1, order, "R", q, 30000.0, 0.05, 0.08) for order, q in enumerate([1.13, 0.125, 0.375, 4.996] + [40.0] * 12)]
+    table = spark.createDataFrame(rows, "l_suppkey bigint, l_linenumber int, l_orderkey bigint, l_returnflag string, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    table.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    _, cells = rq.scene_tables(spark, str(tmp_path))
+    assert difference(cells.toPandas(), con.execute(with_ctes("SELECT * FROM scene_pixels")).df()) is None
+    for name in ("f14_scene_statistics", "f14_scenes_from_pixels"):
+        assert difference(QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(ORACLES[name]).df()) is None
