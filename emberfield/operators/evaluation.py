@@ -25,8 +25,11 @@ BUDGETS = (0.1, 0.2, 0.3)
 SCORES_AT_ONCE = 256
 """Distinct scores that a bootstrap task spreads over all repeats at once."""
 
+CELLS_AT_ONCE = 1 << 18
+"""Score cells, roughly, that meet a block of drawn units in one bootstrap task; a block with more meets them in several."""
+
 DRAWS_AT_ONCE = 1 << 22
-"""Draws of a bootstrap that one group of slots holds; a tile of slots makes a quarter of them."""
+"""Draws of a bootstrap that one block of slots counts; a tile of slots makes a quarter of them."""
 
 GATES = (0.001, 0.0025, 0.005, 0.01, 0.02)
 
@@ -344,26 +347,47 @@ def _tile_draws(country: str, stratum: int, size: int, first: int, last: int, re
         yield (np.frombuffer(digests, ">u8") >> np.uint64(4)).astype("int64") % size
 
 
-def drawn_repeats(df: DataFrame, unit: str, repeats: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """(keys, country, unit, drawn): the repeats that draw each unit, within country and label stratum.
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the narrowest type that holds them, byte by byte of their value, compressed."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    planes = values.ravel().astype(kind).view("u1").reshape(-1, kind.itemsize).T.tobytes()
+    return np.array([kind.itemsize, values.size], "<u4").tobytes() + pa.compress(planes, "zstd", asbytes=True)
 
-    A unit drawn five times in a repeat has that repeat five times in its array, so
-    multiplicities stand for row copies. A draw depends on country, stratum, slot and size
-    alone, so keys of one size share theirs. Tiles of slots draw for all repeats and send
-    their draws packed, four bytes each, to blocks of drawn slots of bounded size.
-    """
-    place, pool = [*by, "country", "stratum"], ["country", "stratum", "size"]
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    width, size = (int(v) for v in np.frombuffer(packed, "<u4", 2))
+    planes = np.frombuffer(pa.decompress(packed[8:], width * size, "zstd", asbytes=True), "u1")
+    return planes.reshape(width, size).T.copy().view(f"<u{width}").ravel()
+
+
+POOL = ["country", "stratum", "size"]
+
+
+def _places(df: DataFrame, unit: str, by: Sequence[str]) -> DataFrame:
+    """(keys, country, stratum, unit, slot, size): the place of each unit among those of its country and label stratum."""
+    place = [*by, "country", "stratum"]
     units = df.groupBy(*by, "country", unit).agg(F.max(LABEL).alias("stratum"))
     placed = row_numbers(units, place, [F.col(unit)], "slot").select(
         *place, unit, (F.col("slot") - 1).alias("slot"), F.col("slot_group").alias("size")
     )
-    placed = settle(placed)
-    block = max(1, DRAWS_AT_ONCE // repeats)
-    tile = max(1, DRAWS_AT_ONCE // (4 * repeats))
-    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
-    named = ", ".join(f"{c} {kinds[c]}" for c in pool)
+    return settle(placed)
+
+
+def _slots_at_once(repeats: int) -> int:
+    return max(1, DRAWS_AT_ONCE // repeats)
+
+
+def _drawn_blocks(placed: DataFrame, repeats: int, seed: int) -> DataFrame:
+    """(country, stratum, size, start, packed): how often each repeat draws each slot of a block, slots x repeats.
+
+    A draw depends on country, stratum, slot and size alone, so keys of one size share theirs. Tiles of slots draw for
+    all repeats and send sorted draws as packed gaps to blocks of drawn slots of bounded size, which count them.
+    """
+    block, tile = _slots_at_once(repeats), max(1, DRAWS_AT_ONCE // (4 * repeats))
+    spark = placed.sparkSession
+    named = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in POOL) + ", start bigint, packed binary"
     first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(tile).cast("bigint")))
-    tiles = placed.select(*pool).na.drop().distinct().withColumn("first", first)
+    tiles = placed.select(*POOL).na.drop().distinct().withColumn("first", first)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,94 +398,159 @@ def drawn_repeats(df: DataFrame, unit: str, repeats: int, seed: int, by: Sequenc
                 codes = np.sort((slots * repeats + np.arange(repeats)[:, None]).ravel())
                 starts = np.arange(0, size, block)
                 cuts = np.searchsorted(codes, np.append(starts, size) * repeats)
-                packed = [
-                    (codes[lo:hi] - start * repeats).astype("<i4").tobytes()
-                    for start, lo, hi in zip(starts, cuts[:-1], cuts[1:])
-                ]
-                whole = [pa.array([row[c]] * len(starts), batch.schema.field(c).type) for c in pool]
-                yield pa.RecordBatch.from_arrays([*whole, pa.array(starts), pa.array(packed, pa.binary())], [*pool, "start", "packed"])
-
-    def unpack(part: pa.Table) -> pa.Table:
-        codes = np.sort(np.frombuffer(b"".join(part.column("packed").to_pylist()), "<i4"))
-        slots, sizes = np.unique(codes // repeats, return_counts=True)
-        drawn = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype("int32"), codes % repeats)
-        whole = [pa.array([part.column(c)[0].as_py()] * len(slots), part.schema.field(c).type) for c in pool]
-        return pa.Table.from_arrays([*whole, pa.array(slots.astype("int64") + part.column("start")[0].as_py()), drawn], [*pool, "slot", "drawn"])
-
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+                hit = np.flatnonzero(np.diff(cuts))
+                gaps = [_packed(np.diff(codes[cuts[i] : cuts[i + 1]], prepend=starts[i] * repeats)) for i in hit]
+                whole = [pa.array([row[c]] * len(hit), batch.schema.field(c).type) for c in POOL]
+                yield pa.RecordBatch.from_arrays([*whole, pa.array(starts[hit]), pa.array(gaps, pa.binary())], [*POOL, "start", "packed"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if counts is None:
+                head = batch.slice(0, 1).select([*POOL, "start"])
+                slots = min(block, head.column("size")[0].as_py() - head.column("start")[0].as_py())
+                counts = np.zeros(slots * repeats, "u4")
+            codes = np.concatenate([np.cumsum(_unpacked(p), dtype="i8") for p in batch.column("packed").to_pylist()])
+            counts += np.bincount(codes, minlength=len(counts)).astype("u4")
+        if counts is not None:
+            yield pa.RecordBatch.from_arrays([*head.columns, pa.array([_packed(counts)], pa.binary())], [*POOL, "start", "packed"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # A number of its own: a few small rows stand for much work, so they must not be merged.
-    packed = tiles.repartition(tasks, *pool, "first").mapInArrow(draw, f"{named}, start bigint, packed binary")
-    drawn = packed.groupBy(*pool, "start").applyInArrow(unpack, f"{named}, slot bigint, drawn array<int>")
-    return settle(drawn).join(placed, [*pool, "slot"]).select(*by, "country", unit, "drawn")
-
-
-def _drawn_counts(part: pa.Table, repeats: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows and positives of each distinct score in every repeat, from the highest score down, some scores at a time."""
-    part = part.sort_by([("score", "descending")])
-    score = part.column("score").to_numpy()
-    cell = np.cumsum(np.append(False, score[1:] != score[:-1]))
-    lists = part.column("drawn").combine_chunks()
-    starts, repeat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    n, pos = (part.column(c).to_numpy().astype("float64") for c in ("n", "pos"))
-    for first in range(0, int(cell[-1]) + 1, SCORES_AT_ONCE):
-        lo, hi = np.searchsorted(cell, [first, first + SCORES_AT_ONCE])
-        sizes, width = np.diff(starts[lo : hi + 1]), int(cell[hi - 1]) - first + 1
-        at = np.repeat(cell[lo:hi] - first, sizes) * repeats + repeat[starts[lo] : starts[hi]]
-        yield tuple(np.bincount(at, np.repeat(w[lo:hi], sizes), width * repeats).reshape(width, repeats) for w in (n, pos))
+    gaps = tiles.repartition(tasks, *POOL, "first").mapInArrow(draw, named)
+    return gaps.groupBy(*POOL, "start").applyInArrow(count, named)
+
+
+def drawn_repeats(df: DataFrame, unit: str, repeats: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """(keys, country, unit, drawn): the repeats that draw each unit, within country and label stratum.
+
+    A unit drawn five times in a repeat has that repeat five times in its array, so multiplicities stand for row copies.
+    """
+    placed = _places(df, unit, by)
+    named = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in POOL)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                counts = _unpacked(row["packed"]).reshape(-1, repeats)
+                slots = np.flatnonzero(counts.any(1))
+                values = np.repeat(np.tile(np.arange(repeats, dtype="i4"), len(slots)), counts[slots].ravel())
+                ends = np.append(0, np.cumsum(counts[slots].sum(1, dtype="i8"))).astype("i4")
+                whole = [pa.array([row[c]] * len(slots), batch.schema.field(c).type) for c in POOL]
+                yield pa.RecordBatch.from_arrays([*whole, pa.array(slots + row["start"]), pa.ListArray.from_arrays(ends, values)], [*POOL, "slot", "drawn"])
+
+    drawn = settle(_drawn_blocks(placed, repeats, seed)).mapInArrow(unpack, f"{named}, slot bigint, drawn array<int>")
+    return drawn.join(placed, [*POOL, "slot"]).select(*by, "country", unit, "drawn")
+
+
+def _weighted(counts: np.ndarray, slot: np.ndarray, place: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Rows of drawn counts summed by place (ascending from 0, no gaps) with their weights, some rows at a time."""
+    sums = np.zeros((int(place[-1]) + 1, counts.shape[1]), "i8")
+    for lo in range(0, len(slot), SCORES_AT_ONCE):
+        at = place[lo : lo + SCORES_AT_ONCE]
+        heads = np.append(0, np.flatnonzero(np.diff(at)) + 1)
+        rows = counts[slot[lo : lo + SCORES_AT_ONCE]] * weight[lo : lo + SCORES_AT_ONCE, None]
+        sums[at[heads]] += np.add.reduceat(rows, heads, axis=0)
+    return sums
+
+
+def _score_slices(cells: DataFrame, keys: Sequence[str], repeats: int) -> tuple[DataFrame, DataFrame]:
+    """Cells with the block of their slot and a chunk of it, slice and place of their score from the highest down; chunks of each block."""
+    ranks = row_numbers(cells.select(*keys, "score").distinct(), keys, [F.col("score").desc()], "_rank")
+    above = F.col("_rank") - 1
+    ranks = lookup(
+        ranks.select(
+            *keys, "score", F.floor(above / SCORES_AT_ONCE).cast("int").alias("_slice"), (above % SCORES_AT_ONCE).cast("int").alias("_place")
+        )
+    )
+    start = F.lit(_slots_at_once(repeats)).cast("bigint")
+    blocked = cells.withColumn("start", F.col("slot") - F.col("slot") % start)
+    chunks = lookup(blocked.groupBy(*POOL, "start").agg(F.ceil(F.count(F.lit(1)) / CELLS_AT_ONCE).cast("int").alias("chunks")))
+    spot = F.pmod(F.xxhash64(*keys, "_slice"), F.col("chunks")).cast("int")
+    return blocked.join(ranks, [*keys, "score"]).join(chunks, [*POOL, "start"]).withColumn("chunk", spot), chunks
 
 
 def bootstrap_precision(df: DataFrame, unit: str, repeats: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """(repeat, keys, country, branch, pr_auc) over resampled units; no AP where a repeat has no positive.
 
-    Rows meet their unit's array of repeats, not the repeats themselves. They are
-    range-partitioned by (country, branch, score) and each slice works on arrays over all
-    repeats: first its totals, then, on top of the totals of the slices before it, its
-    part of every repeat's AP. A hot block or country spans many slices.
+    Draws never meet rows one by one. A block of units holds its counts, units x repeats, once for all keys and branches;
+    its rows sum them by score there, so what moves on are sums for each distinct score and block, packed. Slices of a
+    key's scores add the blocks' sums as these come in, and each works out its part of every repeat's AP on top of
+    the totals of the slices above it. A hot block or country spans many slices.
     """
-    weights = drawn_repeats(df, unit, repeats, seed, by)
     keys = [*by, "country", "branch"]
-    cells = score_cells(df, [*keys, unit]).join(weights, [*by, "country", unit])
-    placed = settle(
-        cells.select(*keys, "score", "n", "pos", "drawn")
-        .repartitionByRange(*keys, F.col("score").desc())
-        .withColumn("_slice", F.spark_partition_id())
-    )
-
-    def totals(part: pa.Table) -> pa.Table:
-        n, pos = np.zeros(repeats), np.zeros(repeats)
-        for more, hits in _drawn_counts(part, repeats):
-            n, pos = n + more.sum(0), pos + hits.sum(0)
-        return part.slice(0, 1).select([*keys, "_slice"]).append_column("n", pa.array([n])).append_column("pos", pa.array([pos]))
+    placed = _places(df, unit, by)
+    cells = settle(score_cells(df, [*keys, unit]).join(placed, [*by, "country", unit]).select(*keys, "stratum", "size", "slot", "score", "n", "pos"))
+    sliced, chunks = _score_slices(cells, keys, repeats)
+    spot, groups = [*POOL, "start", "chunk"], [*keys, "_slice"]
+    each_chunk = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    blocks = _drawn_blocks(placed, repeats, seed).join(chunks, [*POOL, "start"]).select(*POOL, "start", "packed", each_chunk)
+
+    def weigh(drawn: pa.Table, part: pa.Table) -> pa.Table:
+        kinds = [*[part.schema.field(c) for c in groups], pa.field("places", pa.list_(pa.int32())), pa.field("n", pa.binary()), pa.field("pos", pa.binary())]
+        if not (drawn.num_rows and part.num_rows):
+            return pa.schema(kinds).empty_table()
+        counts = _unpacked(drawn.column("packed")[0].as_py()).reshape(-1, repeats)
+        part = part.sort_by([(c, "ascending") for c in (*groups, "_place")]).combine_chunks()
+        slot = part.column("slot").to_numpy() - part.column("start")[0].as_py()
+        place, n, pos = (part.column(c).to_numpy() for c in ("_place", "n", "pos"))
+        codes = [part.column(c).dictionary_encode().combine_chunks().indices.to_numpy() for c in groups]
+        edges = np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1
+        rows = []
+        for lo, hi in zip([0, *edges], [*edges, part.num_rows]):
+            places, dense = np.unique(place[lo:hi], return_inverse=True)
+            sums = {"n": _packed(_weighted(counts, slot[lo:hi], dense, n[lo:hi])), "pos": None}
+            if pos[lo:hi].any():
+                sums["pos"] = _packed(_weighted(counts, slot[lo:hi], dense, pos[lo:hi]))
+            rows.append({c: part.column(c)[int(lo)].as_py() for c in groups} | {"places": places.tolist()} | sums)
+        return pa.Table.from_pylist(rows, pa.schema(kinds))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, head = np.zeros((2, SCORES_AT_ONCE, repeats), "i8"), None
+        for batch in batches:
+            head = batch.slice(0, 1).select(groups) if batch.num_rows else head
+            for row in batch.select(["places", "n", "pos"]).to_pylist():
+                for total, packed in zip(sums, (row["n"], row["pos"])):
+                    if packed is not None:
+                        total[row["places"]] += _unpacked(packed).reshape(-1, repeats)
+        if head is not None:
+            packed = [pa.array([_packed(s)], pa.binary()) for s in sums]
+            totals = [pa.array([s.sum(0).astype("f8")]) for s in sums]
+            yield pa.RecordBatch.from_arrays([*head.columns, *packed, *totals], [*groups, "cells_n", "cells_pos", "n", "pos"])
 
     def offsets(part: pa.Table) -> pa.Table:
         part = part.sort_by("_slice")
-        out = part.select([*keys, "_slice"])
+        out = part.select(groups)
         for name in ("n", "pos"):
             sums = np.stack(part.column(name).to_numpy())
             out = out.append_column(name, pa.array(list(np.cumsum(sums, 0) - sums)))
-            out = out.append_column(f"{name}_all", pa.array([sums.sum(0)] * len(sums)))
-        return out
-
-    def precision(part: pa.Table, before: pa.Table) -> pa.Table:
-        above, hits_above, positives = (np.asarray(before.column(c)[0].as_py()) for c in ("n", "pos", "pos_all"))
-        gain = np.zeros(repeats)
-        for n, pos in _drawn_counts(part, repeats):
-            seen, found = np.cumsum(n, 0) + above, np.cumsum(pos, 0) + hits_above
-            gain += np.divide(pos * found, seen, out=np.zeros_like(seen), where=seen > 0).sum(0)
-            above, hits_above = seen[-1], found[-1]
-        return before.select(keys).append_column("gain", pa.array([gain])).append_column("positives", pa.array([positives]))
-
-    named = ", ".join(f"{k} {placed.schema[k].dataType.simpleString()}" for k in keys)
-    sums = settle(placed.groupBy(*keys, "_slice").applyInArrow(totals, f"{named}, _slice int, n array<double>, pos array<double>"))
-    starts = sums.groupBy(*keys).applyInArrow(  # one row for each slice
-        offsets, f"{named}, _slice int, n array<double>, n_all array<double>, pos array<double>, pos_all array<double>"
+        return out.append_column("positives", pa.array([sums.sum(0)] * len(sums)))
+
+    def precision(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                n, pos = (_unpacked(row.column(c)[0].as_py()).reshape(-1, repeats) for c in ("cells_n", "cells_pos"))
+                above, hits_above = (np.asarray(row.column(c)[0].as_py()) for c in ("n", "pos"))
+                seen, found = np.cumsum(n, 0, dtype="f8") + above, np.cumsum(pos, 0, dtype="f8") + hits_above
+                gain = np.divide(pos * found, seen, out=np.zeros_like(seen), where=seen > 0).sum(0)
+                out = row.select([*keys, "positives"])
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([gain])], [*out.schema.names, "gain"])
+
+    named = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
+    summed = blocks.groupBy(*spot).cogroup(sliced.groupBy(*spot)).applyInArrow(weigh, f"{named}, _slice int, places array<int>, n binary, pos binary")
+    merged = settle(
+        summed.groupBy(*groups).applyInArrow(merge, f"{named}, _slice int, cells_n binary, cells_pos binary, n array<double>, pos array<double>")
     )
-    parts = placed.groupBy(*keys, "_slice").cogroup(settle(starts).groupBy(*keys, "_slice")).applyInArrow(
-        precision, f"{named}, gain array<double>, positives array<double>"
+    starts = merged.select(*groups, "n", "pos").groupBy(*keys).applyInArrow(  # one row for each slice
+        offsets, f"{named}, _slice int, n array<double>, pos array<double>, positives array<double>"
     )
+    parts = merged.drop("n", "pos").join(lookup(starts), groups).mapInArrow(precision, f"{named}, positives array<double>, gain array<double>")
     each = parts.select(*keys, F.posexplode(F.arrays_zip("gain", "positives")).alias("repeat", "v"))
-    summed = each.groupBy("repeat", *keys).agg(F.sum("v.gain").alias("gain"), F.max("v.positives").alias("positives"))
-    return summed.select("repeat", *keys, F.when(F.col("positives") > 0, F.col("gain") / F.col("positives")).alias("pr_auc"))
+    rated = each.groupBy("repeat", *keys).agg(F.sum("v.gain").alias("gain"), F.max("v.positives").alias("positives"))
+    return rated.select("repeat", *keys, F.when(F.col("positives") > 0, F.col("gain") / F.col("positives")).alias("pr_auc"))
 
 
 def bootstrap_differences(

@@ -132,3 +132,44 @@ def test_draws_move_packed_in_bounded_blocks(spark, monkeypatch, capsys):
     assert got == want
     drawn.explain()
     assert "collect_list" not in capsys.readouterr().out
+
+
+def _two_seeds(spark, units):
+    """Rows of two seeds, two countries and two branches whose scores repeat; a third of the units are positive."""
+    unit = F.col("id")
+    seeds = F.explode(F.array(F.lit(1), F.lit(2)))
+    rows = spark.range(units).select(
+        F.concat(F.lit("s"), F.lpad(unit.cast("string"), 6, "0")).alias("source_id"), F.concat(F.lit("C"), (unit % 2).cast("string")).alias("country"),
+        F.concat(F.lit("b"), (unit % 7).cast("string")).alias("block_id"), (unit % 3 == 0).cast("int").alias("is_eog_flare"), seeds.alias("seed"), unit,
+    )
+    branch = F.explode(F.array(F.lit("u"), F.lit("v")))
+    score = F.round((F.col("id") * 7919 + F.length("branch") * F.col("seed")) % 23 / 23 + F.when(F.col("branch") == "u", 0.1 * F.col("is_eog_flare")).otherwise(0.0), 3)
+    return rows.withColumn("branch", branch).withColumn("score", score).drop("id")
+
+
+def test_bootstrap_stores_less_than_its_draws(spark, monkeypatch):
+    """Sums by score move on, not an array of repeats for each row of each key: 2,000 units x 500 repeats are a million draws."""
+    from emberfield import session
+
+    stored = []
+
+    def settle(df):
+        table = session.settle(df)
+        stored.append(session.stored_bytes(table))
+        return table
+
+    monkeypatch.setattr(ev, "settle", settle)
+    got = ev.bootstrap_differences(_two_seeds(spark, 2000), "source_id", "u", "v", 500, 3, ["seed"])
+    assert got.count() == 1000
+    assert sum(stored) < 500_000
+
+
+@pytest.mark.parametrize("unit", ["source_id", "block_id"])
+def test_bootstrap_in_many_blocks_chunks_and_slices(spark, monkeypatch, unit):
+    df = _two_seeds(spark, 120)
+    rate = lambda: {(r.seed, r.repeat, r.country, r.branch): r.pr_auc for r in ev.bootstrap_precision(df, unit, 5, 3, ["seed"]).collect()}
+    whole = rate()
+    for name, value in (("SCORES_AT_ONCE", 4), ("CELLS_AT_ONCE", 10), ("DRAWS_AT_ONCE", 60)):
+        monkeypatch.setattr(ev, name, value, raising=False)
+    assert rate() == pytest.approx(whole)
+    assert len(whole) == 2 * 5 * 2 * 2
